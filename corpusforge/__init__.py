@@ -1,0 +1,8 @@
+"""A document analytics and retrieval engine on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run on executors travel with their code, so that the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
