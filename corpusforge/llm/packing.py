@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import ASCII_SPACE, Stored, gather_runs, mix, small_batches, strings, text_slices
+from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, mix, small_batches, strings, text_slices
 
 #: Dimensions of the curve, bits of each, and places of the hashed vector.
 DIMS, BITS, PLACES = 4, 10, 256
-#: Distinct words a worker remembers between slices.
-REMEMBERED = 400_000
+#: Distinct pieces a worker remembers between slices.
+REMEMBERED = 500_000
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -58,8 +58,27 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((PLACES, DIMS)) / np.sqrt(PLACES)
 
 
+_ASCII = np.arange(256) < 128
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of pieces that a tokenizer encodes alike with and without their neighbours, if it drops white space and splits between
+    letters and other characters: at white space, from a letter to another ASCII character, and back but after an apostrophe."""
+    space = ASCII_SPACE[data]
+    letter = _LETTER[data]
+    other = _ASCII[data] & ~letter & ~space
+    ends = letter.copy()  # a letter ends here: of ASCII, or of two bytes from C3 80 on but the signs of multiplication and division
+    ends[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    begin = np.zeros(len(data), bool)
+    begin[1:] = space[:-1] | (ends[:-1] & other[1:]) | (other[:-1] & (data[:-1] != 39) & letter[1:])
+    begin[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(begin & ~space)
+
+
 class Tokens:
-    """Encodes slices of a text column word by word; a word's ids don't depend on its neighbours for a tokenizer that drops white space."""
+    """Encodes slices of a text column piece by piece, for a tokenizer that lowers case and drops white space; used in one task."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -71,49 +90,67 @@ class Tokens:
         self.known: dict[bytes, int] = {}
         self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def words(self, found: list[bytes]) -> np.ndarray:
-        """The number of each word in self.start and self.length."""
+    @staticmethod
+    def of_worker(path: str) -> Tokens:
+        """The one of this Python worker. It stays on a module that all tasks of the worker share, for this code travels by value."""
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_corpusforge_tokens", {})
+        if path not in held:
+            held[path] = Tokens(path)
+        return held[path]
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """The number of each piece in self.start and self.length."""
         new = [w for w in found if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
             new = found
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))])
+        ids, lengths = [self.ids], [self.length]
+        for k in range(0, len(new), 20_000):
+            part = [w.decode() for w in new[k : k + 20_000]]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begin = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            first = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded))
+            ids.append(np.array(coded.ids, np.uint32))
+            lengths.append(np.bincount(np.searchsorted(begin, first, "right"), minlength=len(part)))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ids, self.length = np.concatenate(ids), np.concatenate(lengths)
+        self.start = np.cumsum(self.length) - self.length
         return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """For slices of the column: all ids, the number of ids of each text, texts."""
-        for i, j, data, offsets in text_slices(column, 8 << 20):
-            space = ASCII_SPACE[data]
-            begin = np.zeros(len(data), bool)
-            begin[1:] = space[:-1]
-            begin[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-            at = np.flatnonzero(begin & ~space)
+        for i, j, data, offsets in text_slices(column, 4 << 20):
+            if b"<|" in data.tobytes():  # the strings of special tokens: such a slice is encoded text by text
+                whole = [self.tokenizer.encode(bytes(data[offsets[k] : offsets[k + 1]]).decode(), add_special_tokens=False).ids for k in range(j - i)]
+                yield np.array([x for w in whole for x in w], np.uint32), np.array([len(w) for w in whole], np.int64), j - i
+                continue
+            at = _pieces(data, offsets)
             if not len(at):
                 yield np.zeros(0, np.uint32), np.zeros(j - i, np.int64), j - i
                 continue
-            # a word's range runs to the next word; the white space within is what the tokenizer drops
-            ranges = strings(data[at[0] :], at - at[0], np.append(at[1:], len(data)) - at[0])
-            coded = pc.dictionary_encode(pc.ascii_trim_whitespace(ranges.cast(pa.string())))
-            number = self.words([w.encode() for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+            # a piece's range runs to the next piece; the white space at its end goes
+            ranges = strings(LOWER[data[at[0] :]], at - at[0], np.append(at[1:], len(data)) - at[0])
+            coded = pc.dictionary_encode(pc.ascii_rtrim_whitespace(ranges.cast(pa.string())))
+            number = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()]
             n = self.length[number]
             doc = np.searchsorted(offsets, at, "right") - 1
             yield self.ids[gather_runs(self.start[number], n)], np.bincount(doc, n, j - i).astype(np.int64), j - i
 
 
+def _unit(vocabulary: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, curve (the Hilbert key), n, ids (binary, little-endian unsigned 32 bits): every whole text's ids, then end_id."""
+    """id, curve (the Hilbert key), n, ids (binary, little-endian, of 16 bits if all ids fit, else 32): every whole text's ids, then end_id."""
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, project = Tokens(tokenizer_path), _projection()
+        coder, project = Tokens.of_worker(tokenizer_path), _projection()
+        unit = np.dtype(_unit(coder.tokenizer.get_vocab_size(), end_id))
         for batch in batches:
             done = 0
             for flat, n, rows in coder.encode(batch.column(1)):
@@ -125,12 +162,12 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
                 point = counts / np.maximum(norm, 1e-12) @ project
                 cells = np.clip(((point * 3 + 0.5) * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
                 key = hilbert(cells)
-                whole = np.empty(len(flat) + rows, "<u4")
+                whole = np.empty(len(flat) + rows, unit)
                 end = np.cumsum(n + 1) - 1
                 keep = np.ones(len(whole), bool)
                 keep[end] = False
                 whole[keep], whole[end] = flat, end_id
-                offsets = np.append(0, (end + 1) * 4).astype(np.int32)
+                offsets = np.append(0, (end + 1) * unit.itemsize).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, rows), pa.array(key), pa.array(n + 1), ids], [id_col, "curve", "n", "ids"])
                 done += rows
@@ -173,9 +210,9 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048
             first = np.maximum(begin[row], sequence * length)
             end = np.minimum(begin[row] + n[row], (sequence + 1) * length)
             start = first - begin[row]
-            whole = [memoryview(x) for x in (ids[i].as_buffer() for i in range(len(n)))]
-            parts = (whole[r][4 * s : 4 * e] for r, s, e in zip(row.tolist(), start.tolist(), (end - begin[row]).tolist(), strict=True))
-            held = pa.array([zlib.crc32(p) for p in parts], pa.int64()) if out == "digest" else pa.array([np.frombuffer(p, "<u4").astype(np.int64) for p in parts], pa.list_(pa.int64()))
+            whole = [np.frombuffer(ids[i].as_buffer(), f"<u{ids[i].as_buffer().size // n[i]}").astype("<u4") for i in range(len(n))]
+            parts = (whole[r][s:e] for r, s, e in zip(row.tolist(), start.tolist(), (end - begin[row]).tolist(), strict=True))
+            held = pa.array([zlib.crc32(p) for p in parts], pa.int64()) if out == "digest" else pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64()))
             columns = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - first), held, pa.array(n[row]), pa.array(sequence), pa.array(first - sequence * length)]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "start", "length", last.split()[0], "doc_tokens", "sequence_id", "offset"])
 
