@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import ann, bpe, html_text, language, packing, secrets, topk
+from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, secrets, topk
 from corpusforge.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_graph": op1_ann_graph,
     "op3_topk_exact": op3_topk_exact,
     "op4_html_text": op4_html_text,
+    "op5_ngram_join": op5_ngram_join,
     "op6_secrets": op6_secrets,
     "op7_pack_curve": op7_pack_curve,
     "op8_bpe": op8_bpe,
