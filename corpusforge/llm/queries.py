@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, secrets, topk
+from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, secrets, suffix_dedup, topk
 from corpusforge.llm.common import documents
 
 
@@ -47,6 +47,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).withColumn("held_out", held_out)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_graph": op1_ann_graph,
     "op3_topk_exact": op3_topk_exact,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pack_curve": op7_pack_curve,
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
