@@ -185,28 +185,47 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             text = batch.column(1)
-            letter = np.array([bool(LETTER.search(text[r].as_py() or "")) for r in range(len(text))], bool) & bool(model.languages)
-            pred, score, runs = np.full(len(text), len(names) - 1), np.zeros(len(text)), [[] for _ in range(len(text))]
+            if not spans:
+                pred, score = _predict(model, text)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[pred].tolist(), pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
+                continue
+            runs: list[list[dict]] = [[] for _ in range(len(text))]
+            letter = [bool(LETTER.search(x.as_py() or "")) for x in text]
             done = 0
             for base, at, end, doc, label, size in model.label(text) if model.languages else ():
-                rows = len(size)
-                top = size.argmax(1)
-                own = slice(done, done + rows)
-                pred[own] = np.where(letter[own], top, len(names) - 1)
-                score[own] = np.where(letter[own], size[np.arange(rows), top] / np.maximum(size.sum(1), 1), 0)
-                if spans and len(at):
-                    cut = np.append(True, (np.diff(doc) != 0) | (np.diff(label) != 0))
-                    start = np.flatnonzero(cut)
-                    stop = np.append(start[1:], len(at)) - 1
-                    for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-                        d = int(doc[s])
-                        if letter[done + d]:
-                            runs[done + d].append({"lang": names[label[s]], "start": int(at[s] - base[d]), "end": int(end[e] - base[d])})
-                done += rows
-            if spans:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [id_col, "spans"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[pred].tolist(), pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
+                start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(label) != 0))) if len(at) else at
+                for s, e in zip(start.tolist(), (np.append(start[1:], len(at)) - 1).tolist(), strict=True):
+                    if letter[done + int(doc[s])]:
+                        runs[done + int(doc[s])].append({"lang": names[label[s]], "start": int(at[s] - base[doc[s]]), "end": int(end[e] - base[doc[s]])})
+                done += len(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [id_col, "spans"])
 
     schema = "spans array<struct<lang: string, start: long, end: long>>" if spans else "lang_pred string, score double"
     return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+
+
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language (is not "und")."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, _ = _predict(model, batch.column(at))
+            yield batch.filter(pa.array(pred < len(model.languages), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _predict(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each text's language (that after the last for none), and the share of the bytes that carry it."""
+    none = len(model.languages)
+    letter = np.array([bool(LETTER.search(x.as_py() or "")) for x in text], bool)
+    pred, score, done = np.full(len(text), none), np.zeros(len(text)), 0
+    for _, _, _, _, _, size in model.label(text) if none else ():
+        own = slice(done, done + len(size))
+        top = size.argmax(1)
+        pred[own] = np.where(letter[own], top, none)
+        score[own] = np.where(letter[own], size[np.arange(len(size)), top] / np.maximum(size.sum(1), 1), 0)
+        done += len(size)
+    return pred, score

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, secrets, suffix_dedup, topk
+from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, quality, secrets, suffix_dedup, topk
 from corpusforge.llm.common import documents
 
 
@@ -16,6 +16,12 @@ def op1_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources, paths their languages within a source."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -53,6 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_graph": op1_ann_graph,
+    "op2_quality": op2_quality,
     "op3_topk_exact": op3_topk_exact,
     "op4_html_text": op4_html_text,
     "op5_ngram_join": op5_ngram_join,
