@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Stored
+from corpusforge.llm.common import Stored, tidy_table
 from corpusforge.llm.vectors import matrix, merge_top, shard_of, shards_for, usable
 
 #: Vectors in a shard, queries in a block, edges of a node, beam width, and the relaxation of pruning.
@@ -139,7 +139,7 @@ def search(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
         return pa.table({"shard": table["shard"].slice(0, 1), "dim": table["dim"].slice(0, 1), "start": [start], "ids": [ids[by].tobytes()], "node": [of[by].astype(np.int32).tobytes()], "x": [distinct.tobytes()], "graph": [graph.astype(np.int32).tobytes()]})
 
     schema = "shard int, dim int, start long, ids binary, node binary, x binary, graph binary"
-    built = Stored(rows.withColumn("shard", shard_of(F.col("vec_id"), shards)).groupBy("shard", "dim").applyInArrow(index, schema), "graphs")
+    built = Stored(rows.withColumn("shard", shard_of(F.col("vec_id"), shards)).groupBy("shard", "dim").applyInArrow(tidy_table(index), schema), "graphs")
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

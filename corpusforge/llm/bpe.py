@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import ASCII_SPACE, gather_runs, small_batches, strings, text_slices
+from corpusforge.llm.common import ASCII_SPACE, gather_runs, small_batches, strings, text_slices, tidy
 
 #: White space of the pattern's \s that isn't among the six ASCII ones at which slices of text are cut.
 OTHER_SPACE = regex.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -210,4 +210,4 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(tidy(run), schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of the vectorised code holds at once (a longer single text is taken alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that go to Python by bytes, so that very long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -121,3 +121,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; further ones, whatever their names, stay behind."""
     return df.select(*[F.col(f"`{x}`") for x in names])
+
+
+def free() -> None:
+    """Gives memory that this Python worker no longer uses back to the machine; idle workers would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library has no such call
+        pass
+
+
+def tidy(run):
+    """A function of batches that frees memory at the end of its task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return wrapped
+
+
+def tidy_table(work):
+    """A function of one table that frees memory afterwards."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            free()
+
+    return wrapped

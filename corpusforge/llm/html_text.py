@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import small_batches
+from corpusforge.llm.common import small_batches, tidy
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -244,4 +244,4 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     columns = [F.col(f"`{x}`") for x in (*names, html_col)]
-    return df.select(*columns).mapInArrow(run, ", ".join(f"`{x}` {kinds[x]}" for x in names) + ", text string, n_chars long")
+    return df.select(*columns).mapInArrow(tidy(run), ", ".join(f"`{x}` {kinds[x]}" for x in names) + ", text string, n_chars long")

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import ASCII_SPACE, LOWER, small_batches, text_slices
+from corpusforge.llm.common import ASCII_SPACE, LOWER, small_batches, text_slices, tidy
 
 #: Rows of each language that the model is fitted on, the first by a hash of the id: documented bound of the sample.
 SAMPLE_PER_LANGUAGE = 1500
@@ -73,7 +73,7 @@ class Model:
     def label(self, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         """For slices of the column: texts' offsets, words' starts, ends, texts, labels (numbers of languages), and each text's bytes by label."""
         k = len(self.languages)
-        for i, j, data, offsets in text_slices(column, 2 << 20):
+        for i, j, data, offsets in text_slices(column):
             at, end, doc = _words(data, offsets)
             if not len(at):
                 yield offsets, at, end, doc, at, np.zeros((j - i, k))
@@ -160,7 +160,7 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
 
     languages = sorted(limits)
     totals = {x: np.zeros(PLACES + len(SCRIPTS), np.int64) for x in languages}
-    for r in rows.where(keep).select("lang", "text").coalesce(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for r in rows.where(keep).select("lang", "text").coalesce(8).mapInArrow(tidy(count), "lang string, counts binary").toLocalIterator():
         totals[r["lang"]] += np.frombuffer(r["counts"], np.int64)
     counts = np.stack([totals[x][:PLACES] for x in languages], 1) + 0.1
     scripts = np.stack([totals[x][PLACES:] for x in languages], 1).astype(np.float64)
@@ -201,7 +201,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [id_col, "spans"])
 
     schema = "spans array<struct<lang: string, start: long, end: long>>" if spans else "lang_pred string, score double"
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(tidy(run), f"`{id_col}` {kind}, {schema}")
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -214,7 +214,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> Data
             pred, _ = _predict(model, batch.column(at))
             yield batch.filter(pa.array(pred < len(model.languages), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def _predict(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

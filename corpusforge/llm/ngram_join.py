@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, mix, powers, small_batches, text_slices
+from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, mix, powers, small_batches, text_slices, tidy, tidy_table
 
 #: Words in a shingle; two documents link when HUNDREDTHS * union <= 100 * intersection.
 WORDS, HUNDREDTHS = 5, 80
@@ -203,7 +203,7 @@ def _summed(counts: DataFrame, chunk: str, blob: str, kind: type, f: np.ufunc) -
             total = x.copy() if total is None else f(total, x)
         return pa.table({chunk: table[chunk].slice(0, 1), blob: pa.array([total.tobytes()], pa.binary())})
 
-    rows = counts.groupBy(chunk).applyInArrow(add, f"{chunk} int, {blob} binary")
+    rows = counts.groupBy(chunk).applyInArrow(tidy_table(add), f"{chunk} int, {blob} binary")
     return {r[chunk]: np.frombuffer(r[blob], kind) for r in rows.toLocalIterator()}
 
 
@@ -249,7 +249,7 @@ class Join:
                 kind = batch.schema.field(0).type
                 for i, j, data, offsets in text_slices(batch.column(1)):
                     h, bounds = shingles(data, offsets, words)
-                    counts += np.bincount((h >> np.uint64(8)).astype(np.int64) % places, minlength=places).astype(np.uint32)
+                    np.add.at(counts, (h >> np.uint64(8)).astype(np.int64) % places, np.uint32(1))
                     minima = [_reduce(np.minimum, mix(h ^ mix(np.array([77 + k], np.uint64))), bounds, 0).view(np.int64) for k in range(MINIMA)]
                     rows = j - i
                     columns = [batch.column(0).slice(i, rows), pa.array(np.diff(bounds)), _fixed(classes(h, bounds), 16), _fixed(bit_maps(h, bounds), MAP * 8), *[pa.array(m) for m in minima], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
@@ -261,7 +261,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([*empty, pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names)
 
         minima = ", ".join(f"m{i} long" for i in range(MINIMA))
-        return Stored(self.docs.mapInArrow(run, f"id {self.id_kind}, n long, cid binary, map binary, {minima}, chunk int, counts binary"), "classes")
+        return Stored(self.docs.mapInArrow(tidy(run), f"id {self.id_kind}, n long, cid binary, map binary, {minima}, chunk int, counts binary"), "classes")
 
     def sets(self, wanted: DataFrame, n: int) -> DataFrame:
         """cid, set (binary) of the classes in `wanted` (cid); a Bloom filter of bounded size keeps most others from being sent."""
@@ -275,7 +275,7 @@ class Join:
             blobs = [packed[k : k + 65536].tobytes() for k in range(0, len(packed), 65536)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "bits"])
 
-        chunks = _summed(wanted.select("cid").coalesce(self.parts).mapInArrow(fill, "chunk int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or)
+        chunks = _summed(wanted.select("cid").coalesce(self.parts).mapInArrow(tidy(fill), "chunk int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or)
         bloom = self.spark.sparkContext.broadcast(b"".join(chunks[i].tobytes() for i in sorted(chunks)))
         words = self.words
 
@@ -298,7 +298,7 @@ class Join:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["cid", "set"])
 
-        found = self.docs.select("text").mapInArrow(run, "cid binary, `set` binary")
+        found = self.docs.select("text").mapInArrow(tidy(run), "cid binary, `set` binary")
         return found.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
 
     def run(self) -> DataFrame:
@@ -347,7 +347,7 @@ class Join:
             return pa.concat_tables(out) if out else _pairs([])
 
         bucket = F.pmod(F.xxhash64(F.lit(5), key), F.lit(self.parts * 4)).cast("int")
-        return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "a binary, b binary")
+        return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(tidy_table(run), "a binary, b binary")
 
     def by_prefix(self, one: DataFrame, labels: DataFrame) -> DataFrame | None:
         """Links that the minima left: among classes of different components that share a shingle of their prefixes."""
@@ -383,7 +383,7 @@ class Join:
 
         a = sets.read().select(F.col("cid").alias("a"), F.col("set").alias("x"))
         b = sets.read().select(F.col("cid").alias("b"), F.col("set").alias("y"))
-        few = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+        few = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a binary, b binary")
         many = self._by_block(dense.select("job", F.col("a").alias("cid"), F.col("b").alias("label")).join(sets.read(), "cid"), "job", lambda t: _linked(t, hundredths))
         return few.union(many)
 
@@ -451,8 +451,8 @@ class Join:
             gid = np.repeat(sign, size)[keep].view(np.int64)
             return pa.table({"gid": gid, "cid": _fixed(key[keep], 16)})
 
-        blobs = self.docs.select("text").mapInArrow(run, "bucket int, entries binary")
-        return blobs.groupBy("bucket").applyInArrow(gather, "gid long, cid binary")
+        blobs = self.docs.select("text").mapInArrow(tidy(run), "bucket int, entries binary")
+        return blobs.groupBy("bucket").applyInArrow(tidy_table(gather), "gid long, cid binary")
 
     def block_pairs(self, left: DataFrame) -> DataFrame:
         """job, side, cid, label: the pairs of blocks of each open group. A large component of a group has blocks of its own,
@@ -504,7 +504,7 @@ class Join:
             return pa.table({"job": pa.array([x[0] for x in out], pa.int64()), "a": _binary([x[1] for x in out]), "b": _binary([x[2] for x in out])})
 
         bucket = F.pmod(F.xxhash64(F.lit(9), "job"), F.lit(self.parts * 4)).cast("int")
-        return jobs.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, "job long, a binary, b binary")
+        return jobs.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(tidy_table(run), "job long, a binary, b binary")
 
 
 def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, mix, small_batches, strings, text_slices
+from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, mix, small_batches, strings, text_slices, tidy
 
 #: Dimensions of the curve, bits of each, and places of the hashed vector.
 DIMS, BITS, PLACES = 4, 10, 256
@@ -121,7 +121,7 @@ class Tokens:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """For slices of the column: all ids, the number of ids of each text, texts."""
-        for i, j, data, offsets in text_slices(column, 4 << 20):
+        for i, j, data, offsets in text_slices(column, 2 << 20):
             if b"<|" in data.tobytes():  # the strings of special tokens: such a slice is encoded text by text
                 whole = [self.tokenizer.encode(bytes(data[offsets[k] : offsets[k + 1]]).decode(), add_special_tokens=False).ids for k in range(j - i)]
                 yield np.array([x for w in whole for x in w], np.uint32), np.array([len(w) for w in whole], np.int64), j - i
@@ -172,7 +172,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, rows), pa.array(key), pa.array(n + 1), ids], [id_col, "curve", "n", "ids"])
                 done += rows
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, curve long, n long, ids binary")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(tidy(run), f"`{id_col}` {kind}, curve long, n long, ids binary")
 
 
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", out: str = "digest") -> DataFrame:
@@ -187,7 +187,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048
     tokens = Stored(tokenize(df, tokenizer_path, end_id, id_col, text_col), "tokens")
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.read().repartitionByRange(parts, "curve", f"`{id_col}`").sortWithinPartitions("curve", f"`{id_col}`")
-    ordered = Stored(ordered.mapInArrow(_placed, T.StructType([*ordered.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])), "curve")
+    ordered = Stored(ordered.mapInArrow(tidy(_placed), T.StructType([*ordered.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])), "curve")
     tokens.drop()
     # one number a partition goes to the driver, so its size doesn't grow with a partition's rows
     totals = {r["part"]: r["total"] for r in ordered.read().groupBy("part").agg(F.sum("n").alias("total")).collect()}
@@ -217,7 +217,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048
             yield pa.RecordBatch.from_arrays(columns, [id_col, "start", "length", last.split()[0], "doc_tokens", "sequence_id", "offset"])
 
     placed = ordered.read().select(F.col(f"`{id_col}`"), "n", "ids", "part", "before")
-    return placed.mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, {last}, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(tidy(cut), f"`{id_col}` {kind}, start long, length long, {last}, doc_tokens long, sequence_id long, offset long")
 
 
 def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, mix, powers, small_batches, text_slices
+from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, mix, powers, small_batches, text_slices, tidy
 
 #: Labelled rows that the classifier is fitted on, the first by a hash of the id: documented bound of the sample.
 SAMPLE = 6000
@@ -85,7 +85,7 @@ def _featured(df: DataFrame, classifier: Classifier | None, names: list[str]) ->
             value = pa.array(list(x), pa.list_(pa.float64())) if classifier is None else pa.array(classifier.probability(x))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], value], [*names, "x" if classifier is None else "p"])
 
-    return df.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + (", x array<double>" if classifier is None else ", p double"))
+    return df.mapInArrow(tidy(run), ", ".join(f"`{n}` {kinds[n]}" for n in names) + (", x array<double>" if classifier is None else ", p double"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Classifier | None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Stored, gather_runs, mix, powers, small_batches, text_slices
+from corpusforge.llm.common import Stored, gather_runs, mix, powers, small_batches, text_slices, tidy, tidy_table
 from corpusforge.llm.ngram_join import _summed
 
 #: Bytes of a string, and of the grams that anchors are chosen from.
@@ -29,7 +29,7 @@ FEW, MANY = 32, 2000
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -323,12 +323,12 @@ class Dedup:
             ids = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, 16 * len(x) + 16, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(key))])
             return pa.table({"gram": x["gram"].astype(np.int64), "block": x["block"].astype(np.int64), "key": ids, "s": x["s"].astype(np.int64), "w": x["w"].astype(np.int32), "edge": alone})
 
-        packed = self.docs.select("text").mapInArrow(run, "bucket int, entries binary")
-        return packed.groupBy("bucket").applyInArrow(gather, "gram long, block long, key binary, s long, w int, edge boolean")
+        packed = self.docs.select("text").mapInArrow(tidy(run), "bucket int, entries binary")
+        return packed.groupBy("bucket").applyInArrow(tidy_table(gather), "gram long, block long, key binary, s long, w int, edge boolean")
 
     def contexts(self, found: DataFrame, edges: int) -> DataFrame:
         """gram, block, off, w, context of distinct blocks whose anchor has an edge: chosen by a Bloom filter of bounded size, so with a few more."""
-        bits = 1 << min(27, max(16, (12 * edges).bit_length()))
+        bits = 1 << min(26, max(16, (12 * edges).bit_length()))
 
         def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.zeros(bits, bool)
@@ -338,7 +338,7 @@ class Dedup:
             parts = [packed[k : k + 65536].tobytes() for k in range(0, len(packed), 65536)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "bits"])
 
-        chunks = _summed(found.where("edge").select("gram").coalesce(self.parts).mapInArrow(fill, "chunk int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or)
+        chunks = _summed(found.where("edge").select("gram").coalesce(self.parts).mapInArrow(tidy(fill), "chunk int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or)
         bloom = self.spark.sparkContext.broadcast(b"".join(chunks[i].tobytes() for i in sorted(chunks)))
         length, gram = self.length, self.gram
 
@@ -357,7 +357,7 @@ class Dedup:
                         parts = [data[s : s + w - 1 + length].tobytes() for s, w in zip(take["s"].tolist(), take["w"].tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([pa.array(take["gram"].view(np.int64)), pa.array(take["block"].view(np.int64)), pa.array(take["off"].astype(np.int32)), pa.array(take["w"].astype(np.int32)), pa.array(parts, pa.binary())], ["gram", "block", "off", "w", "context"])
 
-        return self.docs.select("text").mapInArrow(run, "gram long, block long, off int, w int, context binary")
+        return self.docs.select("text").mapInArrow(tidy(run), "gram long, block long, off int, w int, context binary")
 
     def resolve(self, contexts: DataFrame, edges: int) -> DataFrame:
         """gram, block, lo, hi: starts in a block whose strings are in another block of the anchor."""
@@ -383,7 +383,7 @@ class Dedup:
             return pa.table(dict(zip(("gram", "block", "lo", "hi"), (c.astype(np.int64) for c in columns), strict=True)))
 
         count = max(self.parts, edges // 10_000)
-        return contexts.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(count)).cast("int")).groupBy("bucket").applyInArrow(run, "gram long, block long, lo long, hi long")
+        return contexts.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(count)).cast("int")).groupBy("bucket").applyInArrow(tidy_table(run), "gram long, block long, lo long, hi long")
 
     def resolve_hot(self, contexts: DataFrame) -> DataFrame:
         """The same for anchors of very many blocks: strings are counted by 128-bit hash, combined in each task before they are sent."""
@@ -404,7 +404,7 @@ class Dedup:
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(lo), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["gram", "block", "lo", "a", "b"])
 
-        strings = contexts.mapInArrow(run, "gram long, block long, lo long, a long, b long")
+        strings = contexts.mapInArrow(tidy(run), "gram long, block long, lo long, a long, b long")
         twice = strings.groupBy("a", "b").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x <> y").select("a", "b")
         return strings.join(twice, ["a", "b"], "left_semi").select("gram", "block", "lo", F.col("lo").alias("hi")).distinct()
 
@@ -455,4 +455,4 @@ def dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
             names = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if digest else ("text",)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in found], t) for c, t in enumerate(types)], *batch.columns[4:]], [id_col, *names, *keep])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
