@@ -38,7 +38,7 @@ def sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     raw = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/docs/*.json").withColumn("source", F.regexp_extract(F.input_file_name(), r"/([^/]+)/docs/[^/]+$", 1))
     docs = raw.where(F.col("_corrupt_record").isNull() & F.col("uuid").isNotNull() & F.col("content").isNotNull())
     docs = docs.select("uuid", "vws_id", parse_date(F.col("create_date")).alias("create_date"), "type", "link", parse_list(F.col("attachment_links")).alias("attachment_links"), "content", "source")
-    texts = spark.read.text(f"{root}/*/description.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/description\.txt$", 1).alias("name"), F.trim("value").alias("description"))
+    texts = spark.read.text(f"{root}/*/description.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/description\.txt$", 1).alias("name"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("description"))
     names = docs.select(F.col("source").alias("name")).distinct()
     return docs, names.join(texts, "name", "left").withColumn("description", F.coalesce("description", F.lit("")))
 
