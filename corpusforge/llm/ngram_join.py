@@ -193,18 +193,18 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)
 
 
-def _summed(counts: DataFrame, chunk: str, blob: str, kind: type, f: np.ufunc) -> dict[int, np.ndarray]:
+def _summed(counts: DataFrame, chunk: str, blob: str, kind: type, f: np.ufunc, wide: type | None = None) -> dict[int, np.ndarray]:
     """Fixed-size vectors of tasks, cut to chunks, combined chunk by chunk on the executors; their size doesn't grow with the data."""
 
     def add(table: pa.Table) -> pa.Table:
         total = None
         for b in table[blob]:
-            x = np.frombuffer(b.as_buffer(), kind)
-            total = x.copy() if total is None else f(total, x)
+            x = np.frombuffer(b.as_buffer(), kind).astype(wide or kind)
+            total = x if total is None else f(total, x)
         return pa.table({chunk: table[chunk].slice(0, 1), blob: pa.array([total.tobytes()], pa.binary())})
 
     rows = counts.groupBy(chunk).applyInArrow(tidy_table(add), f"{chunk} int, {blob} binary")
-    return {r[chunk]: np.frombuffer(r[blob], kind) for r in rows.toLocalIterator()}
+    return {r[chunk]: np.frombuffer(r[blob], wide or kind) for r in rows.toLocalIterator()}
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -255,7 +255,7 @@ class Join:
                     columns = [batch.column(0).slice(i, rows), pa.array(np.diff(bounds)), _fixed(classes(h, bounds), 16), _fixed(bit_maps(h, bounds), MAP * 8), *[pa.array(m) for m in minima], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names)
             if kind is not None:
-                c = np.minimum(counts, 255).astype(np.uint8)
+                c = np.minimum(counts, 65535).astype(np.uint16)
                 blobs = [c[k : k + chunk].tobytes() for k in range(0, places, chunk)]
                 empty = [pa.nulls(len(blobs), t) for t in (kind, pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * MINIMA)]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names)
@@ -323,8 +323,10 @@ class Join:
         return docs.join(known, "cid", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
 
     def _counts(self, rows: DataFrame) -> np.ndarray:
-        chunks = _summed(rows.where("chunk is not null").select("chunk", "counts").withColumn("counts", F.col("counts")), "chunk", "counts", np.uint8, _saturating)
-        return np.concatenate([chunks[i] for i in sorted(chunks)]) if chunks else np.zeros(self.places, np.uint8)
+        chunks = _summed(rows.where("chunk is not null").select("chunk", "counts"), "chunk", "counts", np.uint16, np.add, np.uint32)
+        counts = np.concatenate([chunks[i] for i in sorted(chunks)]) if chunks else np.zeros(self.places, np.uint32)
+        # levels of three hundredths of a doubling: the order has 10 bits for them
+        return np.minimum(32 * np.log2(1.0 + counts), 1023).astype(np.uint16)
 
     def by_minima(self, one: DataFrame) -> DataFrame:
         """Links among classes with one minimum hash, in blocks of about BLOCK of them."""
@@ -394,15 +396,15 @@ class Join:
         entry = np.dtype([("g", np.uint64), ("c", "S16")])
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            frequent = np.frombuffer(counts.value, np.uint8)
+            frequent = np.frombuffer(counts.value, np.uint16)
             for batch in batches:
                 found = []
                 for _, _, data, offsets in text_slices(batch.column(0)):
                     h, bounds = shingles(data, offsets, words)
                     keys = classes(h, bounds)
                     rank = frequent[(h >> np.uint64(8)).astype(np.int64) % len(frequent)]
-                    # an order of all shingles from rare to frequent, by hash where equal: 8 bits of the count, 56 of the hash
-                    order = (rank.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                    # an order of all shingles from rare to frequent, by hash where equal: 10 bits of the count, 54 of the hash
+                    order = (rank.astype(np.uint64) << np.uint64(54)) | (h >> np.uint64(10))
                     _, first = np.unique(keys, axis=0, return_index=True)
                     for d in first.tolist():
                         s = slice(bounds[d], bounds[d + 1])
@@ -507,10 +509,6 @@ class Join:
         return jobs.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(tidy_table(run), "job long, a binary, b binary")
 
 
-def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
-
-
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, hundredths: int = HUNDREDTHS) -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links lead to, the row's own included) of every row.
 
