@@ -194,7 +194,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             done = 0
             for base, at, end, doc, label, size in model.label(text) if model.languages else ():
                 start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(label) != 0))) if len(at) else at
-                for s, e in zip(start.tolist(), (np.append(start[1:], len(at)) - 1).tolist(), strict=True):
+                last = np.append(start[1:], len(at))[: len(start)] - 1
+                for s, e in zip(start.tolist(), last.tolist(), strict=True):
                     if letter[done + int(doc[s])]:
                         runs[done + int(doc[s])].append({"lang": names[label[s]], "start": int(at[s] - base[doc[s]]), "end": int(end[e] - base[doc[s]])})
                 done += len(size)
