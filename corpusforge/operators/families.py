@@ -73,14 +73,28 @@ def process(families: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.select("family_key", "base_document", combine(F.col("content"), F.col("attachments")).alias("content"))
 
 
+def hash_numbers(rows: DataFrame, key: str, seed: str) -> DataFrame:
+    """Adds number: the place (from 0) of each row in the order of a hash of its key, ties by the key.
+
+    No task sees all rows: they are numbered in 65,536 buckets of the hash, and a bucket's rows follow those of the buckets before."""
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)))).withColumn("_b", F.substring("_h", 1, 4))
+    sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return hashed.withColumn("_own", own).join(before, "_b").withColumn("number", F.col("_before") + F.col("_own") - 1).drop("_h", "_b", "_own", "_before")
+
+
 def split_by_family(rows: DataFrame, n: int, seed: str = "42", family_col: str = "Family") -> DataFrame:
     """Adds worker: families dealt in turn, in an order by hash; a family stays together."""
-    families = rows.select(family_col).distinct()
-    order = F.row_number().over(Window.orderBy(F.md5(F.concat(F.coalesce(family_col, F.lit("")), F.lit(seed))), family_col))
-    dealt = families.withColumn("worker", ((order - 1) % n).cast("int"))
-    return rows.join(dealt, rows[family_col].eqNullSafe(dealt[family_col]), "left").drop(dealt[family_col])
+    dealt = hash_numbers(rows.select(family_col).distinct(), family_col, seed)
+    dealt = dealt.select(F.col(family_col).alias("_family"), (F.col("number") % n).cast("int").alias("worker"))
+    return rows.join(dealt, rows[family_col].eqNullSafe(F.col("_family")), "left").drop("_family")
 
 
 def split_even(rows: DataFrame, n: int, id_col: str = "ID", seed: str = "42") -> DataFrame:
-    """Adds worker: n parts of sizes that differ by one at most, in an order by hash."""
-    return rows.withColumn("worker", (F.ntile(n).over(Window.orderBy(F.md5(F.concat(id_col, F.lit(seed))), id_col)) - 1).cast("int"))
+    """Adds worker: n parts of sizes that differ by one at most, the first ones larger, in an order by hash."""
+    total = rows.count()
+    small, larger = divmod(total, n)
+    i, edge = F.col("number"), larger * (small + 1)
+    part = F.when(i < edge, F.floor(i / (small + 1))).otherwise(larger + F.floor((i - edge) / max(small, 1)))
+    return hash_numbers(rows, id_col, seed).withColumn("worker", part.cast("int")).drop("number")
