@@ -33,6 +33,8 @@ NOISE = frozenset("script style noscript nav footer aside form button select opt
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notification overlay pagination popup promo promotion recommended related rail search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget alert contentinfo complementary replies reply respond".split()
 )
+#: Those of them that also name frames around an article, after what else is in them.
+FRAME_WORDS = frozenset("banner footer form header hidden masthead menu modal nav navbar navigation notice overlay rail search sidebar sidebars toolbar topbar widget".split())
 #: Elements that begin and end a block of text; br and table cells are white space in one.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset(("br", "td", "th", "wbr", "img"))
@@ -44,7 +46,7 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 class _Node:
     __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum", "mark")
 
-    def __init__(self, tag: str, parent: _Node | None, noise: bool) -> None:
+    def __init__(self, tag: str, parent: _Node | None, noise: int) -> None:
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[_Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -52,17 +54,35 @@ class _Node:
         self.mark = False
 
 
-def _is_noise(tag: str, attributes: str, parent: _Node) -> bool:
+def _is_noise(tag: str, attributes: str, parent: _Node) -> int:
+    """2 if the element is no part of an article, 1 if it is called like a part or a frame, else 0."""
     if tag in NOISE:
-        return not (tag == "header" and _within(parent, "article"))
+        return 0 if tag == "header" and _within(parent, "article") else 2
     if attributes:
         for m in _ATTR.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(_NAME.findall(value)):
-                return True
-    return False
+                return 2
+            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and (found := NOISE_WORDS.intersection(_NAME.findall(value))):
+                return 1 if found <= FRAME_WORDS else 2
+    return 0
+
+
+def _settle(nodes: list[_Node]) -> None:
+    """Hands noise down. A frame's names around the page's article, or its first heading, tell of other parts and don't count."""
+    frames, heading = set(), False
+    for node in nodes:
+        if node.tag in ("article", "main") or node.tag == "h1" and not heading:
+            heading = heading or node.tag == "h1"
+            up = node.parent
+            while up is not None:
+                frames.add(up)
+                up = up.parent
+    for node in nodes:
+        if node.noise == 1 and node in frames:
+            node.noise = 0
+        if node.parent is not None and node.parent.noise:
+            node.noise = 2
 
 
 def _within(node: _Node | None, tag: str) -> _Node | None:
@@ -76,7 +96,7 @@ def _within(node: _Node | None, tag: str) -> _Node | None:
 
 def _tree(page: str) -> tuple[_Node, list[_Node]]:
     """The root, and all nodes in page order."""
-    root = _Node("#", None, False)
+    root = _Node("#", None, 0)
     here, nodes, at, lower = root, [root], 0, None
     n = len(page)
     while at < n:
@@ -114,7 +134,7 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
                 if up.tag in _ENDS[tag]:
                     here = up.parent
                 up = up.parent
-        node = _Node(tag, here, here.noise or _is_noise(tag, m[3], here))
+        node = _Node(tag, here, _is_noise(tag, m[3], here))
         here.children.append(node)
         nodes.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
@@ -194,6 +214,7 @@ def extract_text(page: str | None) -> str:
     if not page:
         return ""
     root, nodes = _tree(page)
+    _settle(nodes)
     _measure(nodes)
     _mark(nodes)
     blocks: list[str] = []

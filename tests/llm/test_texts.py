@@ -96,10 +96,14 @@ PAGE = """<html><body><div class="site-header">Site</div><ul class="menu"><li><a
 <p>Another one.</div><div id=sidebar>links <a>a</a></div><div class="comments"><p>Nice post, I liked it very much indeed, a lot of it</p></div><script>var a = "<p>no</p>";</script><footer>c</footer>"""
 
 
+FRAMED = '<body class="has-nav"><div class="layout with-sidebar"><div class="post"><h1>Head line of it</h1><p>The text of this page is long enough, with commas, and more.</p><p>And a second one of the same kind, so that it is most of the page.</p></div><div class="sidebar"><p>Side</p></div></div></body>'
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
         (None, ""), ("", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<script>x</script>", ""), ("<", "<"), ("<p>1 < 2 &lt; 3</p>", "1 < 2 < 3"),
+        (FRAMED, "Head line of it\nThe text of this page is long enough, with commas, and more.\nAnd a second one of the same kind, so that it is most of the page."),
         (PAGE, "Title of it\nFirst para with words that are long enough to count. Second line goes on & on.\nMore text in the body, of a story with link in it.\nAnother one."),
     ],
 )
