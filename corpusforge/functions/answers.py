@@ -95,3 +95,13 @@ def falsy_to_null(c: Column) -> Column:
 
 def stamp(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def document_json(*columns: str) -> Column:
+    """A row as JSON: empty strings are null, ids are strings, dates ISO."""
+    return F.to_json(F.struct(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
+def frame_data(frame: Column, schema: str) -> Column:
+    """The data of an event frame; null for an empty one or one that doesn't parse."""
+    return F.from_json(F.regexp_extract(frame, r"(?m)^data: (.*)$", 1), schema)

@@ -141,3 +141,9 @@ def markdown_issues(c: Column) -> Column:
         ("ocr_artifacts", leftovers & ~table),
     ]
     return F.array_compact(F.array(*[F.when(test, name) for name, test in tests]))
+
+
+def first_good(*versions: Column) -> Column:
+    """Of converted versions of a text, from the cheapest to the dearest, the first without issues; else the last there is."""
+    good = [F.when(F.size(markdown_issues(v)) == 0, v) for v in versions]
+    return F.coalesce(*good, *reversed(versions))

@@ -97,3 +97,24 @@ def collisions(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 def unmatched(scraped: DataFrame, reports: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Scraped rows with what existing reports add, and those that no report knows."""
     return scraped.join(reports, key, "left"), scraped.join(reports.select(key), key, "left_anti")
+
+
+def combine(parts: list[DataFrame], key: str = "ID") -> DataFrame:
+    """The results of several workers as one table, the columns by name, the first row of a key."""
+    out = None
+    for i, part in enumerate(parts):
+        part = part.withColumn("_part", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_part"))
+    return out.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_part")
+
+
+def to_document(rows: DataFrame) -> DataFrame:
+    """Standard documents of rows of metadata and converted text; what is missing is empty."""
+    empty = F.array().cast("array<string>")
+    have = lambda name, other: F.coalesce(F.col(f"`{name}`"), other) if name in rows.columns else other
+    text = F.lit("")
+    return rows.select(
+        have("uuid", F.lit(None).cast("string")).alias("uuid"), have("ID", text).alias("vws_id"), have("Datum", text).alias("create_date"), have("File Type", text).alias("type"),
+        have("Document Link", text).alias("link"), have("attachment_links", empty).alias("attachment_links"), have("content", text).alias("content"),
+    )

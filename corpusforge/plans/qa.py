@@ -90,3 +90,28 @@ def invariants(answers: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     strays = found.join(docs, "doc", "left_anti").select("query_id", F.lit("unknown document").alias("broken"))
     twice = answers.where(F.size("chunk_ids") != F.size(F.array_distinct("chunk_ids"))).select("query_id", F.lit("chunk cited twice").alias("broken"))
     return strays.union(twice)
+
+
+def intermediate_answer(pieces, trace, question):
+    """From the two latest pieces of context and the answer before (the last that the trace has): the best sentences, after it."""
+    from corpusforge.functions.answers import trace_answer
+    from corpusforge.operators.context import most_recent
+
+    before = F.element_at(F.filter(F.transform(trace, trace_answer), lambda x: x.isNotNull()), -1)
+    before = F.when(F.size(F.filter(F.transform(trace, trace_answer), lambda x: x.isNotNull())) > 0, before)
+    return F.concat_ws(" ", before, F.array_join(F.transform(most_recent(pieces), lambda p: F.trim(best_sentence(question, p))), " "))
+
+
+def suggestions(uncovered, n: int = 3):
+    """struct<suggestions, explanation>: questions by a template for words still open, without unsafe ones, which are told of."""
+    from corpusforge.plans.judge import safe_suggestions
+
+    made = F.transform(F.slice(uncovered, 1, n), lambda w: F.concat(F.lit("Wat staat er over "), w, F.lit("?")))
+    safe = safe_suggestions(made)
+    told = F.when(F.size(safe) < F.size(made), "Sommige suggesties zijn weggelaten. ").otherwise("")
+    return F.struct(safe.alias("suggestions"), F.concat(told, F.lit("Woorden van de vraag zonder antwoord.")).alias("explanation"))
+
+
+def verified(question, chunk, least: float = 0.5):
+    """Whether a chunk can answer a made question: enough of its words are there."""
+    return overlap(question, chunk) >= least

@@ -93,3 +93,13 @@ def benchmark_items(clusters: DataFrame, chunks: DataFrame, size: int = 3) -> Da
     ranked = clusters.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(order, "doc"))).where(F.col("r") <= size)
     multi = ranked.groupBy("cluster").agg(F.sort_array(F.collect_list(F.col("doc").cast("string"))).alias("relevant_uuids")).where(F.size("relevant_uuids") == size)
     return specific.union(document).union(multi.select(F.lit("multi_document").alias("type"), "relevant_uuids"))
+
+
+def safety_model(texts: DataFrame, label: str = "label", text: str = "text"):
+    """A logistic model of TF-IDF features for labelled texts (text, label 0/1)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+
+    words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[\p{L}\p{N}_]+", gaps=False)
+    return Pipeline(stages=[words, HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 12), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol=label, regParam=0.01)]).fit(texts)

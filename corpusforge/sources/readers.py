@@ -94,3 +94,10 @@ def questions(spark: SparkSession, path: str, limit: int | None = None) -> DataF
 
 def benchmark(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(BENCHMARK).json(path)
+
+
+def excel(spark: SparkSession, path: str) -> DataFrame:
+    """An inventory as a spreadsheet, read on the driver: such files are small. Needs an Excel reader for pandas."""
+    import pandas as pd
+
+    return spark.createDataFrame(pd.read_excel(path, dtype=str))
