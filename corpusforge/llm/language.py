@@ -20,6 +20,8 @@ from corpusforge.llm.common import ASCII_SPACE, LOWER, small_batches, text_slice
 
 #: Rows of each language that the model is fitted on, the first by a hash of the id: documented bound of the sample.
 SAMPLE_PER_LANGUAGE = 1500
+#: Tasks that count the sample; each sends one table a language to the driver.
+TASKS = 8
 #: Log-odds that a switch of language costs.
 SWITCH = 12.0
 #: Places of the trigram table.
@@ -129,8 +131,8 @@ def _viterbi(score: np.ndarray, doc: np.ndarray, docs: int, switch: float) -> np
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fits trigram tables on at most per_language rows of each language, the first by a hash of the id; whole texts.
 
-    Rows of null language or text aren't used. Counts are made on the executors; a table of PLACES numbers for each language
-    and task comes to the driver, summed by language before.
+    Rows of null language or text aren't used. The sample is counted by TASKS tasks, so that a fixed number of tables comes to
+    the driver.
     """
     small_batches(df.sparkSession)
     from pyspark.sql import Window
@@ -160,7 +162,7 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
 
     languages = sorted(limits)
     totals = {x: np.zeros(PLACES + len(SCRIPTS), np.int64) for x in languages}
-    for r in rows.where(keep).select("lang", "text").coalesce(8).mapInArrow(tidy(count), "lang string, counts binary").toLocalIterator():
+    for r in rows.where(keep).select("lang", "text").repartition(TASKS).mapInArrow(tidy(count), "lang string, counts binary").collect():
         totals[r["lang"]] += np.frombuffer(r["counts"], np.int64)
     counts = np.stack([totals[x][:PLACES] for x in languages], 1) + 0.1
     scripts = np.stack([totals[x][PLACES:] for x in languages], 1).astype(np.float64)

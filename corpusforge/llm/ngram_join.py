@@ -204,7 +204,7 @@ def _summed(counts: DataFrame, chunk: str, blob: str, kind: type, f: np.ufunc, w
         return pa.table({chunk: table[chunk].slice(0, 1), blob: pa.array([total.tobytes()], pa.binary())})
 
     rows = counts.groupBy(chunk).applyInArrow(tidy_table(add), f"{chunk} int, {blob} binary")
-    return {r[chunk]: np.frombuffer(r[blob], wide or kind) for r in rows.toLocalIterator()}
+    return {r[chunk]: np.frombuffer(r[blob], wide or kind) for r in rows.collect()}
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
