@@ -145,7 +145,8 @@ def sentence_split(spark, d):
 
 @query("sentence_context", _D + f", s AS (SELECT doc_id, {_SENTENCES} AS p FROM docs) SELECT doc_id, list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[greatest(i - 1, 1):i + 1], ' ')) AS context FROM s")
 def sentence_context(spark, d):
-    return documents(spark, d).select("doc_id", chunking.sentence_context(X.sentences(F.col("content"))).alias("context"))
+    rows = documents(spark, d).select("doc_id", X.sentences(F.col("content")).alias("s"))
+    return rows.select("doc_id", chunking.sentence_context(F.col("s")).alias("context"))
 
 
 @query("chunk_naive")

@@ -59,7 +59,7 @@ def chunks(docs: DataFrame, made: Column, uuid: str = "uuid") -> DataFrame:
 
 
 def sentence_context(parts: Column, c: int = 1) -> Column:
-    """Each sentence with c before and c after it."""
+    """Each sentence with c before and c after it. Give it a column, not an expression: a lambda would split the text anew for each."""
     return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.greatest(i - c, F.lit(0)) + 1, F.least(i + c, F.size(parts) - 1) - F.greatest(i - c, F.lit(0)) + 1), " "))
 
 
