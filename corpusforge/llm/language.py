@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.common import ASCII_SPACE, LOWER, small_batches, text_slices, tidy
 
-#: Rows of each language that the model is fitted on, the first by a hash of the id: documented bound of the sample.
+#: Rows of each language that the model is fitted on, drawn by a hash of the id: documented bound of the sample, met on average.
 SAMPLE_PER_LANGUAGE = 1500
 #: Tasks that count the sample; each sends one table a language to the driver.
 TASKS = 8
@@ -129,23 +129,20 @@ def _viterbi(score: np.ndarray, doc: np.ndarray, docs: int, switch: float) -> np
 
 
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits trigram tables on at most per_language rows of each language, the first by a hash of the id; whole texts.
+    """Fits trigram tables on about per_language rows of each language, drawn by a hash of the id (all, if there are fewer); whole texts.
 
     Rows of null language or text aren't used. The sample is counted by TASKS tasks, so that a fixed number of tables comes to
     the driver.
     """
     small_batches(df.sparkSession)
-    from pyspark.sql import Window
-
-    rows = df.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("lang is not null and text is not null")
-    ranked = rows.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("most"))
-    limits = {r["lang"]: r["most"] for r in limits.collect()}
-    if not limits:
+    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 30))
+    rows = df.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), place.alias("h")).where("lang is not null and text is not null")
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not totals:
         return Model([], np.zeros((PLACES, 0)), np.zeros((len(SCRIPTS), 0), bool))
     keep: Column = F.lit(False)
-    for lang, most in limits.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("h") <= most))
+    for lang, n in totals.items():
+        keep = keep | ((F.col("lang") == lang) & (F.col("h") < int((1 << 30) * min(1.0, per_language / n))))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -160,12 +157,12 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
                     t[PLACES:] += np.bincount(lead[a:b], minlength=len(SCRIPTS))
         yield pa.RecordBatch.from_arrays([pa.array(list(tables)), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["lang", "counts"])
 
-    languages = sorted(limits)
-    totals = {x: np.zeros(PLACES + len(SCRIPTS), np.int64) for x in languages}
+    languages = sorted(totals)
+    tables = {x: np.zeros(PLACES + len(SCRIPTS), np.int64) for x in languages}
     for r in rows.where(keep).select("lang", "text").repartition(TASKS).mapInArrow(tidy(count), "lang string, counts binary").collect():
-        totals[r["lang"]] += np.frombuffer(r["counts"], np.int64)
-    counts = np.stack([totals[x][:PLACES] for x in languages], 1) + 0.1
-    scripts = np.stack([totals[x][PLACES:] for x in languages], 1).astype(np.float64)
+        tables[r["lang"]] += np.frombuffer(r["counts"], np.int64)
+    counts = np.stack([tables[x][:PLACES] for x in languages], 1) + 0.1
+    scripts = np.stack([tables[x][PLACES:] for x in languages], 1).astype(np.float64)
     may = scripts / np.maximum(scripts.sum(0), 1) > 0.01
     may[0] = True
     may[~may.any(1)] = True
