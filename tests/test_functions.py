@@ -281,8 +281,8 @@ def test_metadata_round_trip(spark, tmp_path):
 
 
 def test_abbreviations(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"VWS": "ministerie"}')
-    assert readers.abbreviations(spark, str(tmp_path / "a.json")) == {"VWS": "ministerie"}
+    (tmp_path / "a.json").write_text('{"AB": "a b"}')
+    assert readers.abbreviations(spark, str(tmp_path / "a.json")) == {"AB": "a b"}
     assert readers.abbreviations(spark, str(tmp_path / "absent.json")) == {}
 
 
