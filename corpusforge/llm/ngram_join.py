@@ -333,10 +333,10 @@ class Join:
         keyed = one.select("cid", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"m{i}").alias("m")) for i in range(MINIMA)])).alias("x")).select("cid", "x.k", "x.m")
         sizes = keyed.groupBy("k", "m").agg(F.count("*").alias("size")).where("size > 1")
         salt = F.pmod(F.xxhash64("cid", "k"), F.ceil(F.col("size") / BLOCK)).cast("int")
-        blocks = Stored(keyed.join(sizes, ["k", "m"]).select("cid", F.xxhash64("k", "m", salt).alias("block")), "blocks")
-        sets = self.sets(blocks.read(), blocks.read().count())
-        hundredths = self.hundredths
-        return self._by_block(blocks.read().join(sets, "cid"), "block", lambda t: _linked(t, hundredths))
+        blocks = keyed.join(sizes, ["k", "m"]).select("cid", F.xxhash64("k", "m", salt).alias("job"))
+        jobs = blocks.join(one.select("cid", "n", "map"), "cid").select("job", F.lit(0).alias("side"), "cid", F.col("cid").alias("label"), "n", "map")
+        links = self.verify(jobs)
+        return links if links is not None else self.spark.createDataFrame([], "a binary, b binary")
 
     def _by_block(self, rows: DataFrame, key: str, work) -> DataFrame:
         """Applies work (table of one block -> links) to blocks, many to a call."""
@@ -364,8 +364,12 @@ class Join:
         left = Stored(labelled.join(open_, "gid"), "open")
         if not left.read().limit(1).count():
             return None
-        jobs = Stored(self.block_pairs(left.read()).join(one.select("cid", "n", "map"), "cid"), "pairs")
-        found = Stored(self._candidates(jobs.read()).dropDuplicates(["job", "a", "b"]), "candidates")
+        return self.verify(self.block_pairs(left.read()).join(one.select("cid", "n", "map"), "cid"))
+
+    def verify(self, jobs: DataFrame) -> DataFrame | None:
+        """Links among the classes of each job (job, side, cid, label, n, map): sizes and bit maps first, and only the sets of what
+        they leave are sent and compared; None if they leave nothing."""
+        found = Stored(self._candidates(jobs).dropDuplicates(["job", "a", "b"]), "candidates")
         pairs = found.read().where("job is null").select("a", "b").distinct()
         dense = found.read().where("job is not null")
         wanted = Stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(dense.select(F.col("a").alias("cid"))).distinct(), "wanted")
