@@ -302,7 +302,7 @@ class Join:
         return found.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
 
     def run(self) -> DataFrame:
-        self.places = 1 << 22
+        self.places = 1 << 21
         described = self.describe()
         rows = described.read()
         self.counts = self._counts(rows)
