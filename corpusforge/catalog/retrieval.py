@@ -74,6 +74,12 @@ def bm25_document_vectors(spark, d):
     return index.document_vectors(_index(spark, d)).where("doc % 50 = 0").select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
+@query("bm25_document_vectors_all", f"WITH {_INDEX} SELECT doc, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avg_len)), 6) AS weight FROM postings JOIN terms USING (term) JOIN lens USING (doc) CROSS JOIN corpus")
+def bm25_document_vectors_all(spark, d):
+    """Of every document."""
+    return index.document_vectors(_index(spark, d)).select("doc", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("index_save_load", f"WITH {_INDEX} SELECT term, df FROM terms WHERE df >= 20")
 def index_save_load(spark, d):
     from corpusforge.catalog.corpus import _folder
