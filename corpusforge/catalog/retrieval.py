@@ -111,6 +111,28 @@ def vector_topk_candidates(spark, d):
     return search.vector_topk_candidates(_query_vectors(spark, d), _vectors(spark, d).select("id", "v"), candidates, 5).select("query_id", "id", "rank")
 
 
+def _every_fiftieth(spark, d):
+    return _vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query"))
+
+
+@query("vector_topk_all", f"SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10")
+def vector_topk_all(spark, d):
+    """Every row whose id is divisible by 50 against all rows."""
+    return search.vector_topk(_every_fiftieth(spark, d), _vectors(spark, d).select("id", "v"), 10)
+
+
+_COARSE = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: floor(16 * p[1]::DOUBLE) * floor(16 * p[2]::DOUBLE)))"
+
+
+@query("vector_topk_candidates_all", f"WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score, {_COARSE} AS coarse FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coarse DESC, id) AS place FROM pairs) WHERE place <= 200) SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM first) WHERE rank <= 5")
+def vector_topk_candidates_all(spark, d):
+    """The same queries; a first stage over all rows, by vectors of small integers, gives each its 200 candidates."""
+    coarse = lambda v: F.transform(v, lambda x: F.floor(x.cast("double") * 16).cast("double"))
+    asked, vectors = _every_fiftieth(spark, d), _vectors(spark, d).select("id", "v")
+    first = search.vector_topk(asked.withColumn("query", coarse("query")), vectors.withColumn("v", coarse("v")), 200)
+    return search.vector_topk_candidates(asked, vectors, first.select("query_id", "id"), 5).select("query_id", "id", "rank")
+
+
 @query("vector_adjacent_similarity", f"SELECT b.vec_id, {_DOT} AS similarity, {_DOT} < 0.1 AS boundary FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vector_adjacent_similarity(spark, d):
     v = table(spark, d, "embeddings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,46 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Vectors of a shard and queries of a block, which one task compares; queries whose scores stand in memory at once.
+SHARD, BLOCK, ROWS = 8192, 2048, 256
+
+
+def _tile(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            q, v = (c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) for c in (left["query"], right["v"]))
+            who, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            for at in range(0, len(q), ROWS):
+                score = np.round(q[at : at + ROWS] @ v.T, 6)
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else score.min(1)
+                row, col = np.nonzero(score >= least[:, None])
+                by = np.lexsort((col, -score[row, col], row))
+                row, col = row[by], col[by]
+                take = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[take], col[take]
+                found.append((who[at : at + ROWS][row], ids[col], score[row, col]))
+        return pa.table({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("query_id", "id", "score"))})
+
+    return run
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: a stated set of queries (query_id, query) against all vectors (id, v). Equal lengths, unit
-    vectors: the order by inner product is that of the distance."""
-    pairs = vectors.crossJoin(queries)
-    return ranked(pairs.select("query_id", "id", dot(F.col("v"), F.col("query")).alias("score")), k, key="id")
+    """query_id, id, score, rank: all queries (query_id, query) against all vectors (id, v). Equal lengths, unit vectors: the
+    order by inner product is that of the distance. Blocks of queries meet shards of vectors, both dealt by a hash of the id;
+    vectors that are null or hold a null take no part, and those of other lengths aren't compared."""
+    part = lambda df, id_, v: df.select(F.col(id_).cast("long").alias(id_), F.col(v).cast("array<double>").alias(v)).where(F.col(id_).isNotNull() & F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull()) & (F.size(v) > 0)).withColumn("dim", F.size(v))
+    queries, vectors = part(queries, "query_id", "query"), part(vectors, "id", "v")
+    blocks, shards = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // SHARD))
+    deal = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = queries.withColumn("block", deal("query_id", blocks)).withColumn("shard", every(shards))
+    vectors = vectors.withColumn("shard", deal("id", shards)).withColumn("block", every(blocks))
+    keys = ["shard", "block", "dim"]
+    lists = queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(_tile(k), "query_id long, id long, score double")
+    return ranked(lists, k, key="id")
 
 
 def vector_topk_candidates(queries: DataFrame, vectors: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

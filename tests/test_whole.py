@@ -4,7 +4,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from corpusforge import catalog
+from corpusforge.plans import search
 
 catalog.load()
 
@@ -33,3 +36,20 @@ def test_vectors_of_all_documents(spark, tmp_path):
             want[doc, t] = math.log(1 + (len(DOCS) - df[t] + 0.5) / (df[t] + 0.5)) * n / (n + 1.5 * (0.25 + 0.75 * c.total() / mean))
     got = {(r["doc"], r["term"]): r["weight"] for r in catalog.QUERIES["bm25_document_vectors_all"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def test_vector_searches_of_all_queries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "SHARD", 64)
+    monkeypatch.setattr(search, "BLOCK", 2)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((330, 8)).astype(np.float32)
+    x[200:260] = x[7]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = save(spark, tmp_path, "embeddings", [(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    score = np.round(x.astype(np.float64) @ x.astype(np.float64).T, 6)
+    best = lambda q, k: sorted(range(330), key=lambda i: (-score[q, i], i))[:k]
+    queries = range(0, 330, 50)
+    got = catalog.QUERIES["vector_topk_all"](spark, d).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(q, n + 1, i) for q in queries for n, i in enumerate(best(q, 10))]
+    got = catalog.QUERIES["vector_topk_candidates_all"](spark, d).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(q, n + 1, i) for q in queries for n, i in enumerate(best(q, 5))]
