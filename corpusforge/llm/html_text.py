@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 Every DOM node gets a density: its characters per tag, lowered as links hold more of it. A node's density sum is that of its
-children; the node with the largest sum is the core of the page, and the least density on its path to the body is the
+children, or its own density if there is no block in it; the node with the largest sum is the core of the page, and the least density on its path to the body is the
 threshold. From the body downwards, each node at or above the threshold marks the largest-sum subtree in it as content.
 Subtrees that are no article by tag, role, class or id count for nothing and are left out.
 """
@@ -44,7 +44,7 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum", "mark")
+    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum", "mark", "whole")
 
     def __init__(self, tag: str, parent: _Node | None, noise: int) -> None:
         self.tag, self.parent, self.noise = tag, parent, noise
@@ -52,6 +52,7 @@ class _Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.mark = False
+        self.whole = tag not in BLOCK and tag not in ("td", "th")  # an inline element: it stands in a block
 
 
 def _is_noise(tag: str, attributes: str, parent: _Node) -> int:
@@ -163,6 +164,7 @@ def _measure(nodes: list[_Node]) -> None:
                 node.tags += x.tags + 1
                 node.link_chars += x.chars if x.tag == "a" else x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
+                node.whole = node.whole and x.whole
     body = next((x for x in nodes if x.tag == "body"), nodes[0])
     share = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
@@ -172,7 +174,9 @@ def _measure(nodes: list[_Node]) -> None:
         inner = c / max(1, lc) * t / max(1, lt)
         base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
         node.density = c / t * (math.log(max(inner, 1.0)) / math.log(base) if base > 1.0001 else math.log(max(inner, 1.0)))
-        node.sum = sum(x.density for x in node.children if not isinstance(x, str))
+        # a leaf block has no block in it; its own density counts
+        inside = [x for x in node.children if not isinstance(x, str)]
+        node.sum = node.density if all(x.whole for x in inside) else sum(x.density for x in inside)
 
 
 def _largest(node: _Node) -> _Node:
@@ -181,7 +185,7 @@ def _largest(node: _Node) -> _Node:
         x = stack.pop()
         if x.sum > best.sum:
             best = x
-        stack += [y for y in reversed(x.children) if not isinstance(y, str) and not y.noise]
+        stack += [y for y in reversed(x.children) if not isinstance(y, str) and not y.noise and not y.whole]
     return best
 
 
@@ -198,17 +202,12 @@ def _mark(nodes: list[_Node]) -> None:
         node = stack.pop()
         if node.noise or node.mark or node.density < threshold or not node.chars:
             continue
-        # the core is known; beside it, only what has paragraphs of its own is content
-        inside = _largest(node)
-        if inside.sum >= core.sum * 0.5:
-            inside.mark = True
+        _largest(node).mark = True
+        if node.mark:
+            continue
         stack += [x for x in node.children if not isinstance(x, str)]
 
 
-def _link_list(node: _Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.link_tags >= 3 and node.link_chars > 0.6 * node.chars
-
-
 def extract_text(page: str | None) -> str:
     """The main text: blocks in page order, joined by newlines; white space inside a block is one space. Empty if there is none."""
     if not page:
@@ -234,11 +233,8 @@ def extract_text(page: str | None) -> str:
             if on:
                 now.append(html.unescape(x) if "&" in x else x)
         elif not x.noise:
-            on = on or x.mark
-            if on and not x.mark and _link_list(x):
-                flush()
-                continue
-            if x.tag in BLOCK or x.mark:
+            begins, on = x.mark and not on, on or x.mark
+            if x.tag in BLOCK or begins:
                 flush()
                 stack.append((None, on))
             elif on and x.tag in SPACED:

@@ -111,6 +111,18 @@ def test_page(page, text):
     assert html_text.extract_text(page) == text
 
 
+_SENTENCE = "The text of this part is long, and it goes on for a while. "
+LEAD = f"<body><h1>{'A head line of this page ' * 10}</h1><p>{_SENTENCE * 6}</p><div>" + f"<p>{_SENTENCE * 2}</p>" * 12 + "</div></body>"
+SECTIONS = "<body><div><section>" + f"<p>{_SENTENCE * 5}</p>" * 10 + f"</section><section><p>{_SENTENCE * 9} with <b>{_SENTENCE}</b> in it</p><p>{_SENTENCE * 9}</p></section></div></body>"
+LINKS = f"<body><div><p>{_SENTENCE * 7}</p><p>{_SENTENCE * 7}</p><ul>" + "".join(f"<li><a href={i}>Source {i} of it</a></li>" for i in range(5)) + "</ul></div></body>"
+
+
+@pytest.mark.parametrize("page", [LEAD, SECTIONS, LINKS])
+def test_pages_without_article(page):
+    blocks = [" ".join(re.sub(r"</?[ab]\b[^>]*>", "", b).split()) for b in re.split(r"</?(?:body|div|section|p|h1|ul|li)>", page)]
+    assert html_text.extract_text(page) == "\n".join(b for b in blocks if b)
+
+
 @given(st.text(alphabet="<>/ab p=\"'!-&;", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(page):
