@@ -161,6 +161,15 @@ def test_network():
     assert hit[y == 1].mean() >= 0.9 and hit[y == 0].mean() <= 0.05
 
 
+def test_network_sees_whole_candidates():
+    net, path = secrets.trained(), "see com/some/long/path/of/words/and/names/"
+    key = "Zk3fQ9xWb7LtR2vNc8HsJ5mYp4DgA6eU"
+    (found,) = secrets.find(net, [f"{path}{key} and so on"])
+    assert found == [("learned", 4, len(path + key))]
+    long = "/".join(["words", "and", "names"] * 40)
+    assert [[x[0] for x in s] for s in secrets.find(net, [f"see {long}/{key}/{long}/7 on", f"see {long}/{long}/7 on"])] == [["learned"], []]
+
+
 def test_redact():
     assert secrets.redact("a SECRET b SECRET", [("x", 2, 8), ("y", 4, 8), ("x", 11, 17)]) == "a [SECRET] b [SECRET]"
 
