@@ -71,6 +71,15 @@ def date_order(spark, d):
     return docs.select("doc_id", F.row_number().over(Window.orderBy(*filters.by_date(docs))).cast("long").alias("place"))
 
 
+@query("date_order_all", _D + "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY create_date NULLS LAST, doc_id) AS place FROM docs")
+def date_order_all(spark, d):
+    """All sources, ordered within each."""
+    from pyspark.sql import Window
+
+    docs = documents(spark, d).withColumn("rank", F.col("doc_id"))
+    return docs.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(*filters.by_date(docs))).cast("long").alias("place"))
+
+
 @query("history_page", "WITH " + HISTORY_SQL + " SELECT timestamp, conv_id, turn, role FROM history ORDER BY timestamp DESC, conv_id, turn LIMIT 20 OFFSET 10")
 def history_page(spark, d):
     return lookup.page(history(spark, d), 20, 10, "conv_id", "turn").select("timestamp", "conv_id", "turn", "role")
@@ -253,3 +262,14 @@ def history_append(spark, d):
     writers.history(rows.where("conv_id % 2 = 0"), at)
     writers.history(rows.where("conv_id % 2 = 1"), at)
     return spark.read.schema(rows.schema).parquet(at)
+
+
+@query("history_append_all", "WITH " + HISTORY_SQL + " SELECT timestamp, conv_id, turn, role, text FROM history")
+def history_append_all(spark, d):
+    """All turns, whole."""
+    from corpusforge.sources import writers
+
+    at, rows = _folder(spark, "history"), history(spark, d)
+    writers.history(rows.where("conv_id % 2 = 0"), at)
+    writers.history(rows.where("not (conv_id % 2 <=> 0)"), at)
+    return spark.read.schema(rows.schema).parquet(at)

@@ -63,6 +63,13 @@ def context_text(spark, d):
     return documents(spark, d).select("doc_id", answers.numbered(F.array(piece, F.lit("x"))).alias("block"), answers.tokens(F.col("content")).alias("tokens"))
 
 
+@query("context_text_all", "SELECT doc_id, '[1] [' || lang || ' ' || source || '] ' || text || chr(10) || chr(10) || '[2] x' AS block, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")
+def context_text_all(spark, d):
+    """The context of whole texts."""
+    piece = answers.piece_text(F.col("lang"), F.col("source"), F.col("content"))
+    return documents(spark, d).select("doc_id", answers.numbered(F.array(piece, F.lit("x"))).alias("block"), answers.tokens(F.col("content")).alias("tokens"))
+
+
 @query("context_distinct", "SELECT DISTINCT source AS query_id, doc_id // 2 AS chunk_id FROM documents")
 def context_distinct(spark, d):
     rows = documents(spark, d).select(F.col("source").alias("query_id"), F.floor(F.col("doc_id") / 2).alias("chunk_id"))

@@ -37,6 +37,11 @@ def bm25_term_stats(spark, d):
     return _index(spark, d).terms.where("df >= 5").select("term", "df")
 
 
+@query("bm25_term_stats_all", f"WITH {_INDEX} SELECT term, df FROM terms")
+def bm25_term_stats_all(spark, d):
+    return _index(spark, d).terms.select("term", "df")
+
+
 @query("bm25_topk", f"WITH {_INDEX} SELECT query_id, doc, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def bm25_topk(spark, d):
     return search.bm25(_index(spark, d), _questions(spark, d), 10).select("query_id", "doc", "score", "rank")
@@ -89,6 +94,17 @@ def index_save_load(spark, d):
     return index.load(spark, at, ("terms",))["terms"].where("df >= 20").select("term", "df")
 
 
+@query("index_save_load_all", f"WITH {_INDEX} SELECT p.term, doc, tf, len, df, n, avg_len FROM postings p JOIN terms USING (term) JOIN lens USING (doc) CROSS JOIN corpus")
+def index_save_load_all(spark, d):
+    """All tables are saved and loaded: each posting with its term's and its corpus's statistics."""
+    from corpusforge.catalog.corpus import _folder
+
+    at, built = _folder(spark, "index"), _index(spark, d)
+    index.save({"postings": built.postings, "terms": built.terms, "corpus": built.corpus}, at)
+    held = index.load(spark, at)
+    return held["postings"].join(held["terms"], ["scope", "term"]).join(held["corpus"], "scope").select("term", "doc", "tf", F.col("len").cast("long").alias("len"), "df", "n", "avg_len")
+
+
 _DOT = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
 
 
