@@ -70,6 +70,27 @@ def test_graph_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_graph_recall_of_full_shards(spark):
+    """With the default parameters, over several full shards."""
+    path = "/root/testdata/check_l/embeddings.parquet"
+    table = pq.read_table(path).sort_by("vec_id")
+    x, ids = np.array(table["embedding"].to_pylist(), np.float64), table["vec_id"].to_numpy()
+    assert len(ids) >= 4 * ann.SHARD
+    got = ann.search(spark.read.parquet(path)).toPandas()
+    hits = total = 0
+    queries = np.flatnonzero(ids % 100 == 0)
+    for at in range(0, len(queries), 64):
+        rows = queries[at : at + 64]
+        d = (x[rows] ** 2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x[rows] @ x.T
+        d[np.arange(len(rows)), rows] = np.inf
+        near = np.argpartition(d, 10, axis=1)[:, :10]
+        for q, found in zip(rows, near, strict=True):
+            own = got.vec_id[got.query_id == ids[q]]
+            hits, total = hits + len(set(own) & set(ids[found])), total + 10
+    print("recall", hits / total, "of", len(queries), "queries,", len(ids), "vectors")
+    assert hits / total >= 0.9
+
+
 def test_graph_with_equal_vectors(spark, vectors):
     got = ann.search(frame(spark, [r for r in vectors[:-1]]), k=10, every=300).collect()
     own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == 300)
