@@ -170,6 +170,24 @@ def test_network_sees_whole_candidates():
     assert [[x[0] for x in s] for s in secrets.find(net, [f"see {long}/{key}/{long}/7 on", f"see {long}/{long}/7 on"])] == [["learned"], []]
 
 
+def test_candidates_that_meet_base_spans():
+    net, path = secrets.trained(), "com/5f2c9d1e7a3b4c6d8e9f/names/"
+    key = "Zk3fQ9xWb7LtR2vNc8HsJ5mYp4DgA6eU"
+    text = f"see {path}{key} on"
+    (found,) = secrets.find(net, [text])
+    assert found == [("learned", 4, 4 + len(path + key)), ("hex", 8, 28)]
+    assert secrets.redact(text, found) == "see [SECRET] on"
+    assert secrets.candidates(f"password={key}", secrets.base_spans(f"password={key}")) == []
+
+
+def test_threshold_follows_recall():
+    net = secrets.trained()
+    items, y = secrets.labelled_findings()
+    order = np.random.default_rng(7).permutation(len(y))
+    held = [i for i in order[: int(len(y) * secrets.HELD_OUT)] if y[i]]
+    assert net.threshold == np.quantile(net.scores([items[i] for i in held]), 1 - secrets.RECALL)
+
+
 def test_redact():
     assert secrets.redact("a SECRET b SECRET", [("x", 2, 8), ("y", 4, 8), ("x", 11, 17)]) == "a [SECRET] b [SECRET]"
 
