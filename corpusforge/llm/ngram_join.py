@@ -9,6 +9,7 @@ and what stays is counted exactly. Components come from the links by star contra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, mix, powers, smal
 
 #: Words in a shingle; two documents link when HUNDREDTHS * union <= 100 * intersection.
 WORDS, HUNDREDTHS = 5, 80
-#: 64-bit words of a class's bit map, minimum hashes of a class, classes of a block.
-MAP, MINIMA, BLOCK = 16, 2, 256
+#: Least bits of a class's map, minimum hashes of a class, classes of a block, tables that one call adds, bytes of text of a slice.
+MAP, MINIMA, BLOCK, FAN, SLICE = 128, 2, 256, 64, 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _PLACE = mix(np.arange(11, 11 + 8, dtype=np.uint64)) | np.uint64(1)
@@ -93,13 +94,56 @@ def _fixed(rows: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(data)])
 
 
-def bit_maps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The parity map of each set: each element flips one bit. Sets that differ in k elements have maps that differ in k bits at most."""
-    docs = len(bounds) - 1
-    doc = np.repeat(np.arange(docs), np.diff(bounds))
-    bit = (mix(h ^ np.uint64(0x8BB84B93962EACC9)) >> np.uint64(40)).astype(np.int64) % (MAP * 64)
-    odd = np.bincount(doc * (MAP * 64) + bit, minlength=docs * MAP * 64).reshape(docs, MAP * 64) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+def bit_maps(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The parity map of each set: each element flips one bit. Sets that differ in k elements have maps that differ in k bits at most.
+
+    A map has a power of two of bits, as many as the set has elements or more, and MAP at least; folded(), it compares with
+    the smaller map of another set."""
+    n = np.diff(bounds)
+    bits = np.maximum(MAP, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    flips = np.zeros(int(bits.sum()), np.uint8)
+    hashed = (mix(h ^ np.uint64(0x8BB84B93962EACC9)) >> np.uint64(16)).astype(np.int64)
+    np.add.at(flips, np.repeat(begin, n) + (hashed & (np.repeat(bits, n) - 1)), np.uint8(1))
+    packed = np.packbits(flips & 1, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(bits) // 8).astype(np.int32)), pa.py_buffer(packed)])
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps (a row each, of 64-bit words) brought down to `words` by laying halves over each other."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+class Maps:
+    """The maps of a table's rows, those of one size side by side."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        blobs = [x.as_buffer() for x in column]
+        self.words = np.array([b.size // 8 for b in blobs], np.int64)
+        self.at = np.zeros(len(blobs), np.int64)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.at[rows] = np.arange(len(rows))
+            self.held[w, w] = np.frombuffer(b"".join(blobs[i] for i in rows.tolist()), np.uint64).reshape(-1, w)
+
+    def of(self, words: int, to: int) -> np.ndarray:
+        if (words, to) not in self.held:
+            self.held[words, to] = folded(self.held[words, words], to)
+        return self.held[words, to]
+
+    def apart(self, x: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits, at least, row x differs from each of the others."""
+        own, out = int(self.words[x]), np.zeros(len(others), np.int64)
+        size = self.words[others]
+        for w in np.unique(size).tolist():
+            some, to = np.flatnonzero(size == w), min(own, w)
+            out[some] = np.bitwise_count(self.of(w, to)[self.at[others[some]]] ^ self.of(own, to)[self.at[x]]).sum(1, dtype=np.int64)
+        return out
 
 
 def enough(n_a: np.ndarray, n_b: np.ndarray, overlap: np.ndarray, hundredths: int) -> np.ndarray:
@@ -193,18 +237,34 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)
 
 
-def _summed(counts: DataFrame, chunk: str, blob: str, kind: type, f: np.ufunc, wide: type | None = None) -> dict[int, np.ndarray]:
-    """Fixed-size vectors of tasks, cut to chunks, combined chunk by chunk on the executors; their size doesn't grow with the data."""
+def _summed(counts: DataFrame, chunk: str, blob: str, kind: type, f: np.ufunc, tasks: int, wide: type | None = None) -> dict[int, np.ndarray]:
+    """Fixed-size vectors of tasks (part, from 0 to tasks), cut to chunks, combined chunk by chunk on the executors as a tree of
+    FAN to a call; neither what a call gathers nor what comes to the driver grows with the data."""
+    wide = wide or kind
 
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for b in table[blob]:
-            x = np.frombuffer(b.as_buffer(), kind).astype(wide or kind)
-            total = x if total is None else f(total, x)
-        return pa.table({chunk: table[chunk].slice(0, 1), blob: pa.array([total.tobytes()], pa.binary())})
+    def added(first: bool):
+        def add(table: pa.Table) -> pa.Table:
+            total = None
+            for b in table[blob]:
+                x = np.frombuffer(b.as_buffer(), kind if first else wide).astype(wide)
+                total = x if total is None else f(total, x)
+            return pa.table({chunk: table[chunk].slice(0, 1), "part": table["part"].slice(0, 1), blob: pa.array([total.tobytes()], pa.binary())})
 
-    rows = counts.groupBy(chunk).applyInArrow(tidy_table(add), f"{chunk} int, {blob} binary")
-    return {r[chunk]: np.frombuffer(r[blob], wide or kind) for r in rows.collect()}
+        return add
+
+    rows, first = counts.select(chunk, "part", blob), True
+    while first or tasks > 1:
+        tasks = -(-tasks // FAN)
+        group = F.floor(F.col("part") / FAN).cast("int")
+        rows = rows.withColumn("part", group).groupBy(chunk, "part").applyInArrow(tidy_table(added(first)), f"{chunk} int, part int, {blob} binary")
+        first = False
+    return {r[chunk]: np.frombuffer(r[blob], wide) for r in rows.collect()}
+
+
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -244,24 +304,24 @@ class Join:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(places, np.uint32)
             kind = None
-            names = ["id", "n", "cid", "map", *[f"m{i}" for i in range(MINIMA)], "chunk", "counts"]
+            names = ["id", "n", "cid", "map", *[f"m{i}" for i in range(MINIMA)], "chunk", "part", "counts"]
             for batch in batches:
                 kind = batch.schema.field(0).type
-                for i, j, data, offsets in text_slices(batch.column(1)):
+                for i, j, data, offsets in text_slices(batch.column(1), SLICE):
                     h, bounds = shingles(data, offsets, words)
                     np.add.at(counts, (h >> np.uint64(8)).astype(np.int64) % places, np.uint32(1))
                     minima = [_reduce(np.minimum, mix(h ^ mix(np.array([77 + k], np.uint64))), bounds, 0).view(np.int64) for k in range(MINIMA)]
                     rows = j - i
-                    columns = [batch.column(0).slice(i, rows), pa.array(np.diff(bounds)), _fixed(classes(h, bounds), 16), _fixed(bit_maps(h, bounds), MAP * 8), *[pa.array(m) for m in minima], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                    columns = [batch.column(0).slice(i, rows), pa.array(np.diff(bounds)), _fixed(classes(h, bounds), 16), bit_maps(h, bounds), *[pa.array(m) for m in minima], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names)
             if kind is not None:
                 c = np.minimum(counts, 65535).astype(np.uint16)
                 blobs = [c[k : k + chunk].tobytes() for k in range(0, places, chunk)]
                 empty = [pa.nulls(len(blobs), t) for t in (kind, pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * MINIMA)]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*empty, pa.array(range(len(blobs)), pa.int32()), pa.array([_task()] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names)
 
         minima = ", ".join(f"m{i} long" for i in range(MINIMA))
-        return Stored(self.docs.mapInArrow(tidy(run), f"id {self.id_kind}, n long, cid binary, map binary, {minima}, chunk int, counts binary"), "classes")
+        return Stored(self.docs.mapInArrow(tidy(run), f"id {self.id_kind}, n long, cid binary, map binary, {minima}, chunk int, part int, counts binary"), "classes")
 
     def sets(self, wanted: DataFrame, n: int) -> DataFrame:
         """cid, set (binary) of the classes in `wanted` (cid); a Bloom filter of bounded size keeps most others from being sent."""
@@ -273,9 +333,9 @@ class Join:
                 own[_places(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2), bits).ravel()] = True
             packed = np.packbits(own)
             blobs = [packed[k : k + 65536].tobytes() for k in range(0, len(packed), 65536)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array([_task()] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "bits"])
 
-        chunks = _summed(wanted.select("cid").coalesce(self.parts).mapInArrow(tidy(fill), "chunk int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or)
+        chunks = _summed(wanted.select("cid").coalesce(self.parts).mapInArrow(tidy(fill), "chunk int, part int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or, self.parts)
         bloom = self.spark.sparkContext.broadcast(b"".join(chunks[i].tobytes() for i in sorted(chunks)))
         words = self.words
 
@@ -283,7 +343,7 @@ class Join:
             have = np.unpackbits(np.frombuffer(bloom.value, np.uint8)).astype(bool) if bloom.value else np.zeros(bits, bool)
             sent: set[bytes] = set()
             for batch in batches:
-                for _, _, data, offsets in text_slices(batch.column(0)):
+                for _, _, data, offsets in text_slices(batch.column(0), SLICE):
                     h, bounds = shingles(data, offsets, words)
                     keys = classes(h, bounds)
                     hit = have[_places(keys, bits)].all(0) & (np.diff(bounds) > 0)
@@ -309,34 +369,46 @@ class Join:
         docs = rows.where("chunk is null").select("id", "n", "cid")
         own = [F.first(c).alias(c) for c in ("n", "map", *[f"m{i}" for i in range(MINIMA)])]
         one = Stored(rows.where("chunk is null and n > 0").groupBy("cid").agg(*own, F.min("id").alias("least")), "reps")
-        first = Stored(self.by_minima(one.read()), "links")
-        labels = components(first.read())
-        labels = Stored(labels, "labels")
+        first = self.by_minima(one.read())
+        labels = Stored(components(first.read()), "labels")
         more = self.by_prefix(one.read(), labels.read())
-        links = first.read().union(more) if more is not None else first.read()
-        final = components(links)
-        held = one.read().select("cid", "least")
-        named = final.withColumnRenamed("node", "cid").join(held, "cid")
-        least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-        of = Stored(named.select("cid", "label").join(least, "label").select("cid", "component_id"), "components")
-        known = held.join(of.read(), "cid", "left").select("cid", F.coalesce("component_id", "least").alias("component_id"))
-        return docs.join(known, "cid", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
+        labels.drop()
+        links = first.read().union(more.read()) if more is not None else first.read()
+        final = Stored(components(links), "labels")
+        for table in (first, more):
+            if table is not None:
+                table.drop()
+        held = Stored(one.read().select("cid", "least"), "least")
+        one.drop()
+        named = final.read().withColumnRenamed("node", "cid").join(held.read(), "cid")
+        # a row for each component, however large: what a task reads of one is combined before it is sent
+        least = Stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "components")
+        of = final.read().withColumnRenamed("node", "cid").join(least.read(), "label").select("cid", "component_id")
+        known = Stored(held.read().join(of, "cid", "left").select("cid", F.coalesce("component_id", "least").alias("component_id")), "known")
+        for table in (final, held, least):
+            table.drop()
+        return docs.join(known.read(), "cid", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
 
     def _counts(self, rows: DataFrame) -> np.ndarray:
-        chunks = _summed(rows.where("chunk is not null").select("chunk", "counts"), "chunk", "counts", np.uint16, np.add, np.uint32)
+        tables = rows.where("chunk is not null").select("chunk", "part", "counts")
+        tasks = (tables.agg(F.max("part")).first()[0] or 0) + 1
+        chunks = _summed(tables, "chunk", "counts", np.uint16, np.add, tasks, np.uint32)
         counts = np.concatenate([chunks[i] for i in sorted(chunks)]) if chunks else np.zeros(self.places, np.uint32)
         # levels of three hundredths of a doubling: the order has 10 bits for them
         return np.minimum(32 * np.log2(1.0 + counts), 1023).astype(np.uint16)
 
-    def by_minima(self, one: DataFrame) -> DataFrame:
+    def by_minima(self, one: DataFrame) -> Stored:
         """Links among classes with one minimum hash, in blocks of about BLOCK of them."""
         keyed = one.select("cid", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"m{i}").alias("m")) for i in range(MINIMA)])).alias("x")).select("cid", "x.k", "x.m")
-        sizes = keyed.groupBy("k", "m").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = Stored(keyed.groupBy("k", "m").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         salt = F.pmod(F.xxhash64("cid", "k"), F.ceil(F.col("size") / BLOCK)).cast("int")
-        blocks = Stored(keyed.join(sizes, ["k", "m"]).select("cid", F.xxhash64("k", "m", salt).alias("block")), "blocks")
+        blocks = Stored(keyed.join(sizes.read(), ["k", "m"]).select("cid", F.xxhash64("k", "m", salt).alias("block")), "blocks")
+        sizes.drop()
         sets = self.sets(blocks.read(), blocks.read().count())
         hundredths = self.hundredths
-        return self._by_block(blocks.read().join(sets, "cid"), "block", lambda t: _linked(t, hundredths))
+        links = Stored(self._by_block(blocks.read().join(sets, "cid"), "block", lambda t: _linked(t, hundredths)), "links")
+        blocks.drop()
+        return links
 
     def _by_block(self, rows: DataFrame, key: str, work) -> DataFrame:
         """Applies work (table of one block -> links) to blocks, many to a call."""
@@ -351,21 +423,29 @@ class Join:
         bucket = F.pmod(F.xxhash64(F.lit(5), key), F.lit(self.parts * 4)).cast("int")
         return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(tidy_table(run), "a binary, b binary")
 
-    def by_prefix(self, one: DataFrame, labels: DataFrame) -> DataFrame | None:
+    def by_prefix(self, one: DataFrame, labels: DataFrame) -> Stored | None:
         """Links that the minima left: among classes of different components that share a shingle of their prefixes."""
         total = one.agg(F.sum("n")).first()[0] or 0
         if not total:
             return None
         buckets = max(self.parts, int(total * (100 - self.hundredths) / 100 / 500_000))
         groups = Stored(self.prefix_groups(buckets).dropDuplicates(["gid", "cid"]), "groups")
-        of = F.coalesce("label", "cid").alias("label")
-        labelled = groups.read().join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", of)
-        open_ = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("gid", "size")
-        left = Stored(labelled.join(open_, "gid"), "open")
+        # sizes in bands, so that sets that can link are in one band or in neighbours
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(self.hundredths, 99)) - 1e-9).cast("int").alias("band")
+        classes_ = one.select("cid", band).join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "band", F.coalesce("label", "cid").alias("label"))
+        labelled = Stored(groups.read().join(classes_, "cid").select("gid", "cid", "band", "label"), "labelled")
+        groups.drop()
+        # each of these joins meets a written table, so that Spark can split the rows of one group among tasks
+        open_ = Stored(labelled.read().groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid"), "open")
+        left = Stored(labelled.read().join(open_.read(), "gid"), "left")
+        labelled.drop()
+        open_.drop()
         if not left.read().limit(1).count():
+            left.drop()
             return None
-        jobs = Stored(self.block_pairs(left.read()).join(one.select("cid", "n", "map"), "cid"), "pairs")
-        found = Stored(self._candidates(jobs.read()).dropDuplicates(["job", "a", "b"]), "candidates")
+        jobs = self.block_pairs(left, one.select("cid", "n", "map"))
+        found = Stored(self._candidates(jobs.read(), jobs.read().count()).dropDuplicates(["job", "a", "b"]), "candidates")
+        jobs.drop()
         pairs = found.read().where("job is null").select("a", "b").distinct()
         dense = found.read().where("job is not null")
         wanted = Stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(dense.select(F.col("a").alias("cid"))).distinct(), "wanted")
@@ -373,6 +453,7 @@ class Join:
         if not n:
             return None
         sets = Stored(self.sets(wanted.read(), n), "sets")
+        wanted.drop()
         hundredths = self.hundredths
 
         def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +468,10 @@ class Join:
         b = sets.read().select(F.col("cid").alias("b"), F.col("set").alias("y"))
         few = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a binary, b binary")
         many = self._by_block(dense.select("job", F.col("a").alias("cid"), F.col("b").alias("label")).join(sets.read(), "cid"), "job", lambda t: _linked(t, hundredths))
-        return few.union(many)
+        links = Stored(few.union(many), "links")
+        found.drop()
+        sets.drop()
+        return links
 
     def prefix_groups(self, buckets: int) -> DataFrame:
         """gid, cid: groups of classes that share a shingle of their prefixes; groups with one membership have one gid."""
@@ -399,7 +483,7 @@ class Join:
             frequent = np.frombuffer(counts.value, np.uint16)
             for batch in batches:
                 found = []
-                for _, _, data, offsets in text_slices(batch.column(0)):
+                for _, _, data, offsets in text_slices(batch.column(0), SLICE):
                     h, bounds = shingles(data, offsets, words)
                     keys = classes(h, bounds)
                     rank = frequent[(h >> np.uint64(8)).astype(np.int64) % len(frequent)]
@@ -456,24 +540,33 @@ class Join:
         blobs = self.docs.select("text").mapInArrow(tidy(run), "bucket int, entries binary")
         return blobs.groupBy("bucket").applyInArrow(tidy_table(gather), "gid long, cid binary")
 
-    def block_pairs(self, left: DataFrame) -> DataFrame:
-        """job, side, cid, label: the pairs of blocks of each open group. A large component of a group has blocks of its own,
-        and pairs of blocks of one component are left out."""
-        sizes = left.groupBy("gid", "label").agg(F.count("*").alias("own"))
-        small = sizes.where(F.col("own") <= BLOCK).groupBy("gid").agg(F.sum("own").alias("small"))
-        rows = left.join(sizes, ["gid", "label"]).join(small, "gid", "left")
-        alone = F.col("own") > BLOCK
-        block: Column = F.when(alone, F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.ceil(F.col("own") / BLOCK)))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("small") / BLOCK)))
-        rows = rows.select("gid", "cid", "label", block.alias("block"))
-        blocks = rows.groupBy("gid", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        a = blocks.select("gid", F.col("block").alias("p"), F.col("low").alias("pl"), F.col("high").alias("ph"))
-        b = blocks.select("gid", F.col("block").alias("q"), F.col("low").alias("ql"), F.col("high").alias("qh"))
+    def block_pairs(self, left: Stored, maps: DataFrame) -> Stored:
+        """job, side, cid, label, n, map: the pairs of blocks of each open group, as far as their bands can link. A large component
+        of a group has blocks of its own, and pairs of blocks of one component are left out. Drops `left`."""
+        sizes = Stored(left.read().groupBy("gid", "label", "band").agg(F.count("*").alias("own")), "sizes")
+        small = sizes.read().where(F.col("own") <= BLOCK).groupBy("gid", "band").agg(F.sum("own").alias("small"))
+        sized = sizes.read().join(small, ["gid", "band"], "left")
+        salt = F.pmod(F.xxhash64("cid"), F.ceil(F.col("own") / BLOCK))
+        block: Column = F.when(F.col("own") > BLOCK, F.xxhash64("band", "label", salt)).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("label"), F.ceil(F.col("small") / BLOCK))))
+        held = Stored(sized, "sized")
+        rows = Stored(left.read().join(held.read(), ["gid", "label", "band"]).select("gid", "cid", "label", "band", block.alias("block")), "rows")
+        for table in (left, sizes, held):
+            table.drop()
+        blocks = Stored(rows.read().groupBy("gid", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("band").alias("band")), "blocks")
+        a = blocks.read().select("gid", F.col("block").alias("p"), F.col("low").alias("pl"), F.col("high").alias("ph"), F.col("band").alias("pb"))
+        b = blocks.read().select("gid", F.col("block").alias("q"), F.col("low").alias("ql"), F.col("high").alias("qh"), F.col("band").alias("qb"))
         one_label = (F.col("pl") == F.col("ph")) & (F.col("ql") == F.col("qh")) & (F.col("pl") == F.col("ql"))
-        pairs = a.join(b, "gid").where((F.col("p") <= F.col("q")) & ~one_label).select("gid", F.xxhash64("gid", "p", "q").alias("job"), "p", "q")
+        near = F.abs(F.col("pb") - F.col("qb")) <= 1
+        pairs = a.join(b, "gid").where((F.col("p") <= F.col("q")) & near & ~one_label).select("gid", F.xxhash64("gid", "p", "q").alias("job"), "p", "q")
         ends = pairs.select("gid", "job", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("side"), F.col("p").alias("block")), F.struct(F.when(F.col("p") == F.col("q"), 0).otherwise(1).alias("side"), F.col("q").alias("block"))))).alias("x"))
-        return ends.select("gid", "job", "x.side", "x.block").join(rows, ["gid", "block"]).select("job", "side", "cid", "label")
-
-    def _candidates(self, jobs: DataFrame) -> DataFrame:
+        ends = Stored(ends.select("gid", "job", "x.side", "x.block"), "ends")
+        blocks.drop()
+        jobs = Stored(ends.read().join(rows.read(), ["gid", "block"]).select("job", "side", "cid", "label").join(maps, "cid"), "pairs")
+        ends.drop()
+        rows.drop()
+        return jobs
+
+    def _candidates(self, jobs: DataFrame, rows: int) -> DataFrame:
         """Pairs of a job that sizes and bit maps don't rule out: (null, a, b) each; where they are many, the job's members (job, cid, label)."""
         hundredths = self.hundredths
 
@@ -483,7 +576,7 @@ class Join:
             label_of = table["label"].to_pylist()
             label = np.unique(np.array(label_of, "S16"), return_inverse=True)[1]
             side, n = table["side"].to_numpy(), table["n"].to_numpy()
-            bits = np.frombuffer(b"".join(table["map"].to_pylist()), np.uint64).reshape(-1, MAP)
+            maps = Maps(table["map"])
             order = np.argsort(job, kind="stable")
             out: list[tuple[int | None, bytes, bytes]] = []
             for rows in np.split(order, np.flatnonzero(np.diff(job[order])) + 1):
@@ -495,8 +588,7 @@ class Join:
                     other = right[i + 1 :] if alone else right
                     other = other[label[other] != label[x]]
                     other = other[(n[other] * hundredths <= 100 * n[x]) & (n[x] * hundredths <= 100 * n[other])]
-                    apart = np.bitwise_count(bits[other] ^ bits[x]).sum(1, dtype=np.int64)
-                    most = (n[other] + n[x] - apart) // 2
+                    most = (n[other] + n[x] - maps.apart(x, other)) // 2
                     hits += [(x, y) for y in other[enough(n[other], n[x], most, hundredths)].tolist()]
                 if len(hits) > 8 * len(rows):
                     members = {x for h in hits for x in h}
@@ -505,7 +597,7 @@ class Join:
                     out += [(None, min(cid[x], cid[y]), max(cid[x], cid[y])) for x, y in hits]
             return pa.table({"job": pa.array([x[0] for x in out], pa.int64()), "a": _binary([x[1] for x in out]), "b": _binary([x[2] for x in out])})
 
-        bucket = F.pmod(F.xxhash64(F.lit(9), "job"), F.lit(self.parts * 4)).cast("int")
+        bucket = F.pmod(F.xxhash64(F.lit(9), "job"), F.lit(max(self.parts * 4, rows // 20_000))).cast("int")
         return jobs.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(tidy_table(run), "job long, a binary, b binary")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import Stored, gather_runs, mix, powers, small_batches, text_slices, tidy, tidy_table
-from corpusforge.llm.ngram_join import _summed
+from corpusforge.llm.ngram_join import _summed, _task
 
 #: Bytes of a string, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 400, 200
@@ -336,9 +336,9 @@ class Dedup:
                 own[_bloom(batch.column(0).to_numpy().view(np.uint64), bits).ravel()] = True
             packed = np.packbits(own)
             parts = [packed[k : k + 65536].tobytes() for k in range(0, len(packed), 65536)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([_task()] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part", "bits"])
 
-        chunks = _summed(found.where("edge").select("gram").coalesce(self.parts).mapInArrow(tidy(fill), "chunk int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or)
+        chunks = _summed(found.where("edge").select("gram").coalesce(self.parts).mapInArrow(tidy(fill), "chunk int, part int, bits binary"), "chunk", "bits", np.uint8, np.bitwise_or, self.parts)
         bloom = self.spark.sparkContext.broadcast(b"".join(chunks[i].tobytes() for i in sorted(chunks)))
         length, gram = self.length, self.gram
 

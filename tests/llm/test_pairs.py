@@ -7,6 +7,7 @@ import re
 import pytest
 
 from corpusforge.llm import ngram_join, suffix_dedup
+from corpusforge.llm.common import Stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,7 +68,7 @@ def test_join(spark):
 def test_join_without_the_first_round(spark, monkeypatch):
     """The prefix round alone finds all links, in small blocks too."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join.Join, "by_minima", lambda self, one: self.spark.createDataFrame([], "a binary, b binary"))
+    monkeypatch.setattr(ngram_join.Join, "by_minima", lambda self, one: Stored(self.spark.createDataFrame([], "a binary, b binary"), "links"))
     docs = list(enumerate(family(random.Random(2), 60) + EDGE))
     assert joined(spark, docs) == brute_components(docs)
 
