@@ -28,16 +28,23 @@ def negatives_exact(positives: DataFrame, retrieved: DataFrame, chunks: DataFram
 
 
 def negatives_contained(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per query the first chunk of another document that holds a retrieved text. A join on containment compares all pairs, so
-    both sides are met first on a word that containment implies: the rarest of the retrieved text."""
+    """Per query the first chunk of another document that holds a retrieved text."""
+    rows = containing(retrieved.select(F.struct("query_id", "anchor_doc", F.md5("content").alias("part_md5")).alias("asked"), F.col("content").alias("part")).distinct(), chunks.select(F.struct("chunk_id", "doc").alias("held"), "content"), "asked", "held")
+    rows = rows.select("asked.query_id", "asked.anchor_doc", "held.chunk_id", "held.doc").where("doc <> anchor_doc")
+    return rows.groupBy("query_id").agg(F.min_by("chunk_id", F.struct("doc", "chunk_id")).alias("negative_id"))
+
+
+def containing(parts: DataFrame, wholes: DataFrame, asked: str, held: str) -> DataFrame:
+    """Pairs of keys (asked, held) of a part and a content that holds it. They meet on the rarest word of the part; only words and
+    keys go through that join, and the texts of the pairs that are left come after it. A part without a word holds nothing."""
     from corpusforge.plans.index import tokens
 
-    words = chunks.select("chunk_id", "doc", "content", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
+    words = wholes.select(held, F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
     rare = words.groupBy("word").agg(F.count("*").alias("df"))
-    asked = retrieved.select("query_id", "anchor_doc", F.col("content").alias("part"), F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
-    key = asked.join(rare, "word").groupBy("query_id", "anchor_doc", "part").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    rows = words.join(key, "word").where(F.contains("content", F.col("part")) & (F.col("doc") != F.col("anchor_doc")))
-    return rows.groupBy("query_id").agg(F.min_by("chunk_id", F.struct("doc", "chunk_id")).alias("negative_id"))
+    wanted = parts.select(asked, F.explode(F.array_distinct(tokens(F.col("part")))).alias("word"))
+    key = wanted.join(rare, "word").groupBy(asked).agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    pairs = words.join(key, "word").select(asked, held)
+    return pairs.join(parts.select(asked, "part"), asked).join(wholes.select(held, "content"), held).where(F.contains("content", F.col("part"))).select(asked, held).distinct()
 
 
 def pair_negatives(positives: DataFrame, negatives: DataFrame) -> DataFrame:
