@@ -63,21 +63,10 @@ def sample_documents(spark, d):
     return lookup.sample(documents(spark, d), 25, "doc_id").select("doc_id")
 
 
-@query("date_order", _D + "SELECT doc_id, row_number() OVER (ORDER BY create_date NULLS LAST, doc_id) AS place FROM docs WHERE source = 'src1'")
+@query("date_order", _D + "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY create_date NULLS LAST, doc_id) AS place FROM docs")
 def date_order(spark, d):
-    from pyspark.sql import Window
-
-    docs = documents(spark, d).where("source = 'src1'").withColumn("rank", F.col("doc_id"))
-    return docs.select("doc_id", F.row_number().over(Window.orderBy(*filters.by_date(docs))).cast("long").alias("place"))
-
-
-@query("date_order_all", _D + "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY create_date NULLS LAST, doc_id) AS place FROM docs")
-def date_order_all(spark, d):
     """All sources, ordered within each."""
-    from pyspark.sql import Window
-
-    docs = documents(spark, d).withColumn("rank", F.col("doc_id"))
-    return docs.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(*filters.by_date(docs))).cast("long").alias("place"))
+    return filters.places_by_date(documents(spark, d).withColumn("rank", F.col("doc_id")), "source").select("source", "doc_id", "place")
 
 
 @query("history_page", "WITH " + HISTORY_SQL + " SELECT timestamp, conv_id, turn, role FROM history ORDER BY timestamp DESC, conv_id, turn LIMIT 20 OFFSET 10")
@@ -253,19 +242,8 @@ def stream_event_windows(spark, d):
     return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("history_append", "WITH " + HISTORY_SQL + " SELECT timestamp, conv_id, role FROM history WHERE turn = 0")
+@query("history_append", "WITH " + HISTORY_SQL + " SELECT timestamp, conv_id, turn, role, text FROM history")
 def history_append(spark, d):
-    at = _folder(spark, "history")
-    rows = history(spark, d).where("turn = 0").select("timestamp", "conv_id", "role")
-    from corpusforge.sources import writers
-
-    writers.history(rows.where("conv_id % 2 = 0"), at)
-    writers.history(rows.where("conv_id % 2 = 1"), at)
-    return spark.read.schema(rows.schema).parquet(at)
-
-
-@query("history_append_all", "WITH " + HISTORY_SQL + " SELECT timestamp, conv_id, turn, role, text FROM history")
-def history_append_all(spark, d):
     """All turns, whole."""
     from corpusforge.sources import writers
 

@@ -57,14 +57,8 @@ def verified_questions(spark, d):
     return documents(spark, d).select("doc_id", qa.verified(F.lit("the zzz"), F.col("content")).alias("valid"))
 
 
-@query("context_text", "SELECT doc_id, '[1] [' || lang || ' ' || source || '] ' || substr(text, 1, 40) || chr(10) || chr(10) || '[2] x' AS block, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")
+@query("context_text", "SELECT doc_id, '[1] [' || lang || ' ' || source || '] ' || text || chr(10) || chr(10) || '[2] x' AS block, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")
 def context_text(spark, d):
-    piece = answers.piece_text(F.col("lang"), F.col("source"), F.substring("content", 1, 40))
-    return documents(spark, d).select("doc_id", answers.numbered(F.array(piece, F.lit("x"))).alias("block"), answers.tokens(F.col("content")).alias("tokens"))
-
-
-@query("context_text_all", "SELECT doc_id, '[1] [' || lang || ' ' || source || '] ' || text || chr(10) || chr(10) || '[2] x' AS block, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")
-def context_text_all(spark, d):
     """The context of whole texts."""
     piece = answers.piece_text(F.col("lang"), F.col("source"), F.col("content"))
     return documents(spark, d).select("doc_id", answers.numbered(F.array(piece, F.lit("x"))).alias("block"), answers.tokens(F.col("content")).alias("tokens"))

@@ -24,21 +24,39 @@ scored AS (SELECT query_id, p.doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored)"""
 
 
-def _index(spark, d, scope=None):
-    return index.build(documents(spark, d), scope=scope)
+_STORED: dict[tuple, str] = {}
+
+
+def _once(spark, key, make):
+    """The folder of what make(folder) has written, the first time that a session asks for it."""
+    from corpusforge.catalog.corpus import _folder
+
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        at = _folder(spark, key[1])
+        make(at)
+        _STORED[key] = at
+    return _STORED[key]
+
+
+def _index(spark, d, by_source=False):
+    """The stored index of the corpus, whole or by source: searches read the postings of their terms from it."""
+
+    def make(at):
+        built = index.build(documents(spark, d), scope=F.col("source") if by_source else None)
+        postings = index.save({"postings": built.postings}, at) or index.load(spark, at, ("postings",))["postings"]
+        stored = index.LexicalIndex(postings, index.term_counts(postings), built.corpus)
+        index.save({"terms": stored.terms, "corpus": stored.corpus}, at)
+
+    return index.LexicalIndex(**index.load(spark, _once(spark, ("index", d, by_source), make)))
 
 
 def _questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("bm25_term_stats", f"WITH {_INDEX} SELECT term, df FROM terms WHERE df >= 5")
+@query("bm25_term_stats", f"WITH {_INDEX} SELECT term, df FROM terms")
 def bm25_term_stats(spark, d):
-    return _index(spark, d).terms.where("df >= 5").select("term", "df")
-
-
-@query("bm25_term_stats_all", f"WITH {_INDEX} SELECT term, df FROM terms")
-def bm25_term_stats_all(spark, d):
     return _index(spark, d).terms.select("term", "df")
 
 
@@ -70,39 +88,20 @@ scored AS (SELECT query_id, scope, p.doc, round(sum(ln(1 + (n - df + 0.5) / (df
 @query("bm25_by_source", f"WITH {_SCOPED} SELECT query_id, scope, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 5")
 def bm25_by_source(spark, d):
     asked = _questions(spark, d).withColumn("source", F.concat(F.lit("src"), F.col("query_id") % 20))
-    return search.bm25(_index(spark, d, F.col("source")), asked, 5, scope="source").select("query_id", "scope", "doc", "score")
+    return search.bm25(_index(spark, d, by_source=True), asked, 5, scope="source").select("query_id", "scope", "doc", "score")
 
 
-@query("bm25_document_vectors", f"WITH {_INDEX} SELECT doc, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avg_len)), 6) AS weight FROM postings JOIN terms USING (term) JOIN lens USING (doc) CROSS JOIN corpus WHERE doc % 50 = 0")
+@query("bm25_document_vectors", f"WITH {_INDEX} SELECT doc, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avg_len)), 6) AS weight FROM postings JOIN terms USING (term) JOIN lens USING (doc) CROSS JOIN corpus")
 def bm25_document_vectors(spark, d):
-    """Of every fiftieth document, as a report; the statistics are those of all."""
-    return index.document_vectors(_index(spark, d)).where("doc % 50 = 0").select("doc", "term", F.round("weight", 6).alias("weight"))
-
-
-@query("bm25_document_vectors_all", f"WITH {_INDEX} SELECT doc, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avg_len)), 6) AS weight FROM postings JOIN terms USING (term) JOIN lens USING (doc) CROSS JOIN corpus")
-def bm25_document_vectors_all(spark, d):
     """Of every document."""
     return index.document_vectors(_index(spark, d)).select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("index_save_load", f"WITH {_INDEX} SELECT term, df FROM terms WHERE df >= 20")
+@query("index_save_load", f"WITH {_INDEX} SELECT p.term, doc, tf, len, df, n, avg_len FROM postings p JOIN terms USING (term) JOIN lens USING (doc) CROSS JOIN corpus")
 def index_save_load(spark, d):
-    from corpusforge.catalog.corpus import _folder
-
-    at, built = _folder(spark, "index"), _index(spark, d)
-    index.save({"terms": built.terms, "corpus": built.corpus}, at)
-    return index.load(spark, at, ("terms",))["terms"].where("df >= 20").select("term", "df")
-
-
-@query("index_save_load_all", f"WITH {_INDEX} SELECT p.term, doc, tf, len, df, n, avg_len FROM postings p JOIN terms USING (term) JOIN lens USING (doc) CROSS JOIN corpus")
-def index_save_load_all(spark, d):
-    """All tables are saved and loaded: each posting with its term's and its corpus's statistics."""
-    from corpusforge.catalog.corpus import _folder
-
-    at, built = _folder(spark, "index"), _index(spark, d)
-    index.save({"postings": built.postings, "terms": built.terms, "corpus": built.corpus}, at)
-    held = index.load(spark, at)
-    return held["postings"].join(held["terms"], ["scope", "term"]).join(held["corpus"], "scope").select("term", "doc", "tf", F.col("len").cast("long").alias("len"), "df", "n", "avg_len")
+    """All tables, saved and loaded: each posting with its term's and its corpus's statistics."""
+    held = _index(spark, d)
+    return held.postings.join(held.terms, ["scope", "term"]).join(held.corpus, "scope").select("term", "doc", "tf", F.col("len").cast("long").alias("len"), "df", "n", "avg_len")
 
 
 _DOT = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
@@ -112,27 +111,12 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def _query_vectors(spark, d):
-    return _vectors(spark, d).where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("query"))
-
-
-@query("vector_topk", f"SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20)) WHERE rank <= 10")
-def vector_topk(spark, d):
-    return search.vector_topk(_query_vectors(spark, d), _vectors(spark, d).select("id", "v"), 10)
-
-
-@query("vector_topk_candidates", f"SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.vec_id % 20 = a.vec_id)) WHERE rank <= 5")
-def vector_topk_candidates(spark, d):
-    candidates = _vectors(spark, d).select((F.col("id") % 20).alias("query_id"), "id")
-    return search.vector_topk_candidates(_query_vectors(spark, d), _vectors(spark, d).select("id", "v"), candidates, 5).select("query_id", "id", "rank")
-
-
 def _every_fiftieth(spark, d):
     return _vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query"))
 
 
-@query("vector_topk_all", f"SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10")
-def vector_topk_all(spark, d):
+@query("vector_topk", f"SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10")
+def vector_topk(spark, d):
     """Every row whose id is divisible by 50 against all rows."""
     return search.vector_topk(_every_fiftieth(spark, d), _vectors(spark, d).select("id", "v"), 10)
 
@@ -140,8 +124,8 @@ def vector_topk_all(spark, d):
 _COARSE = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: floor(16 * p[1]::DOUBLE) * floor(16 * p[2]::DOUBLE)))"
 
 
-@query("vector_topk_candidates_all", f"WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score, {_COARSE} AS coarse FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coarse DESC, id) AS place FROM pairs) WHERE place <= 200) SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM first) WHERE rank <= 5")
-def vector_topk_candidates_all(spark, d):
+@query("vector_topk_candidates", f"WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score, {_COARSE} AS coarse FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coarse DESC, id) AS place FROM pairs) WHERE place <= 200) SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM first) WHERE rank <= 5")
+def vector_topk_candidates(spark, d):
     """The same queries; a first stage over all rows, by vectors of small integers, gives each its 200 candidates."""
     coarse = lambda v: F.transform(v, lambda x: F.floor(x.cast("double") * 16).cast("double"))
     asked, vectors = _every_fiftieth(spark, d), _vectors(spark, d).select("id", "v")
@@ -174,9 +158,12 @@ def long_text_score(spark, d):
 
 
 def _chunks(spark, d):
-    docs = documents(spark, d)
-    made = chunking.chunks(docs, chunking.naive(F.col("content")))
-    return made.join(docs.select(F.col("uuid").alias("doc_uuid"), F.col("doc_id").alias("doc")), "doc_uuid").select("chunk_id", "doc", "doc_uuid", "content")
+    def make(at):
+        docs = documents(spark, d)
+        made = chunking.chunks(docs, chunking.naive(F.col("content")))
+        made.join(docs.select(F.col("uuid").alias("doc_uuid"), F.col("doc_id").alias("doc")), "doc_uuid").select("chunk_id", "doc", "doc_uuid", "content").write.parquet(at)
+
+    return spark.read.parquet(_once(spark, ("chunks", d), make))
 
 
 def _docs(spark, d):
@@ -241,7 +228,7 @@ def answer_adaptive(spark, d):
         df.write.parquet(at)
         return spark.read.schema(df.schema).parquet(at)
 
-    return qa.answer_adaptive(_index(spark, d), _docs(spark, d), cut(_chunks(spark, d)), _questions(spark, d), checkpoint=cut)
+    return qa.answer_adaptive(_index(spark, d), _docs(spark, d), _chunks(spark, d), _questions(spark, d), checkpoint=cut)
 
 
 _REL = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -250,13 +237,9 @@ _KINDS = "CASE query_id % 3 WHEN 0 THEN 'specific' WHEN 1 THEN 'document' ELSE '
 
 
 def _relevant(spark, d):
-    """Pairs of a question and a document that holds it: met on the question's rarest word first, then compared."""
-    docs = documents(spark, d)
-    words = docs.select(F.col("doc_id").alias("id"), "content", F.explode(F.array_distinct(index.tokens(F.col("content")))).alias("word"))
-    rare = words.groupBy("word").agg(F.count("*").alias("df"))
-    asked = _questions(spark, d).select("query_id", "text", F.explode(F.array_distinct(index.tokens(F.col("text")))).alias("word"))
-    key = asked.join(rare, "word").groupBy("query_id", "text").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    return words.join(key, "word").where(F.contains("content", F.col("text"))).select("query_id", "id")
+    """Pairs of a question and a document that holds it."""
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "content")
+    return training.containing(_questions(spark, d).withColumnRenamed("text", "part"), docs, "query_id", "id")
 
 
 def _hits(spark, d):

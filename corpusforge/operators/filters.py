@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,14 @@ def judged_relevant(chunks: DataFrame, indices: str = "indices", pos: str = "pos
 def by_date(df: DataFrame, rank: str = "rank") -> list[Column]:
     """The earliest first, without a date last, then as they stood."""
     return [F.col("create_date").asc_nulls_last(), F.col(rank).asc()]
+
+
+def places_by_date(df: DataFrame, group: str, rank: str = "rank") -> DataFrame:
+    """Adds place (from 1): the order by date within each group. No task sees all rows of a group: they are numbered within their
+    date, after the rows of the dates before, of which there is one count each."""
+    sizes = df.groupBy(group, "create_date").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy(F.col("create_date").asc_nulls_last())) - F.col("_n")
+    sizes = sizes.select(F.col(group).alias("_group"), F.col("create_date").alias("_date"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group, "create_date").orderBy(rank))
+    rows = df.withColumn("_own", own).join(sizes, F.col(group).eqNullSafe(F.col("_group")) & F.col("create_date").eqNullSafe(F.col("_date")))
+    return rows.withColumn("place", F.col("_before") + F.col("_own")).drop("_own", "_group", "_date", "_before")

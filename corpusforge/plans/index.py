@@ -31,18 +31,23 @@ def build(docs: DataFrame, doc: str = "doc_id", content: str = "content", scope:
     lengths = rows.select("scope", "doc", F.size("ts").alias("len"))
     each = rows.select("scope", "doc", F.size("ts").alias("len"), F.explode("ts").alias("term"))
     postings = each.groupBy("scope", "term", "doc").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    terms = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    terms = term_counts(postings)
     corpus = lengths.groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     return LexicalIndex(postings, terms, corpus)
 
 
+def term_counts(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+
+
 def save(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Writes tables of an index; postings and terms are clustered by term, so that a query reads few row groups."""
+    """Writes tables of an index; postings and terms in the order of terms, so that a term's rows stand together in few row groups.
+    They are cut by ranges, and the postings of a frequent term go to as many files as they need."""
     for name, df in tables.items():
-        if "term" in df.columns:
-            df = df.repartition(F.col("term")).sortWithinPartitions("term")
-        writer = df.write.mode(mode)
-        (writer.partitionBy("scope") if "scope" in df.columns else writer).parquet(f"{path}/{name}")
+        keys = [c for c in ("term", "doc") if c in df.columns]
+        if "term" in keys:
+            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        df.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str, names: tuple[str, ...] = ("postings", "terms", "corpus")) -> dict[str, DataFrame]:

@@ -94,6 +94,17 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_intersect(words, tokens(text))) / F.size(words))
 
 
+def overlaps(found: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Adds score: overlap() of each question and chunk that were found (query_id, doc, chunk_id), by their words: a question's
+    words meet those of the chunks of its documents, and no text goes through the joins."""
+    words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("words"))
+    words = words.select("query_id", F.size("words").alias("of"), F.explode("words").alias("word"))
+    held = chunks.select("chunk_id", "doc", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
+    asked = found.select("query_id", "doc").distinct().join(words, "query_id")
+    hits = held.join(asked, ["doc", "word"]).groupBy("query_id", "chunk_id").agg((F.count("*") / F.first("of")).alias("score"))
+    return found.join(hits, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def rerank(rows: DataFrame, score: Column, k: int, query: str = "query_id", before: str = "rank") -> DataFrame:
     """By score, equal ones as they stood; rows that have no score stay as they stood, after the others."""
     rows = rows.withColumn("pair_score", F.round(score, 6)).withColumnRenamed(before, "_before")
@@ -127,8 +138,8 @@ def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataF
         kept = kept.withColumn("place", place).where(F.col("place") <= settings.initial_documents_k).drop("place")
     order = by_date(kept) if earlier_first else [F.col("rank").asc()]
     kept = kept.withColumn("doc_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    found = kept.select("query_id", "doc", "doc_rank").join(chunks, "doc").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
-    scored = found.withColumn("score", overlap(F.col("question"), F.col("content")))
+    found = kept.select("query_id", "doc", "doc_rank").join(chunks.select("chunk_id", "doc"), "doc")
+    scored = overlaps(found, chunks, queries)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_rank", "chunk_id"))
     near = scored.withColumn("rank", rank).where(F.col("rank") <= settings.initial_chunks_k)
     return rerank(near, F.col("score"), settings.final_chunks_k).select("query_id", "chunk_id", "doc", "rank", "pair_score")

@@ -34,7 +34,7 @@ def test_vectors_of_all_documents(spark, tmp_path):
     for doc, c in tf.items():
         for t, n in c.items():
             want[doc, t] = math.log(1 + (len(DOCS) - df[t] + 0.5) / (df[t] + 0.5)) * n / (n + 1.5 * (0.25 + 0.75 * c.total() / mean))
-    got = {(r["doc"], r["term"]): r["weight"] for r in catalog.QUERIES["bm25_document_vectors_all"](spark, d).collect()}
+    got = {(r["doc"], r["term"]): r["weight"] for r in catalog.QUERIES["bm25_document_vectors"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
 
 
@@ -49,9 +49,9 @@ def test_vector_searches_of_all_queries(spark, tmp_path, monkeypatch):
     score = np.round(x.astype(np.float64) @ x.astype(np.float64).T, 6)
     best = lambda q, k: sorted(range(330), key=lambda i: (-score[q, i], i))[:k]
     queries = range(0, 330, 50)
-    got = catalog.QUERIES["vector_topk_all"](spark, d).collect()
+    got = catalog.QUERIES["vector_topk"](spark, d).collect()
     assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(q, n + 1, i) for q in queries for n, i in enumerate(best(q, 10))]
-    got = catalog.QUERIES["vector_topk_candidates_all"](spark, d).collect()
+    got = catalog.QUERIES["vector_topk_candidates"](spark, d).collect()
     assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(q, n + 1, i) for q in queries for n, i in enumerate(best(q, 5))]
 
 
@@ -60,24 +60,24 @@ def test_index_of_all_terms(spark, tmp_path):
     tf = {r[0]: Counter(words(r[1])) for r in DOCS}
     df = Counter(t for c in tf.values() for t in c)
     mean = sum(c.total() for c in tf.values()) / len(DOCS)
-    assert {(r["term"], r["df"]) for r in catalog.QUERIES["bm25_term_stats_all"](spark, d).collect()} == set(df.items())
-    got = sorted((r["term"], r["doc"], r["tf"], r["len"], r["df"], r["n"], round(r["avg_len"], 9)) for r in catalog.QUERIES["index_save_load_all"](spark, d).collect())
+    assert {(r["term"], r["df"]) for r in catalog.QUERIES["bm25_term_stats"](spark, d).collect()} == set(df.items())
+    got = sorted((r["term"], r["doc"], r["tf"], r["len"], r["df"], r["n"], round(r["avg_len"], 9)) for r in catalog.QUERIES["index_save_load"](spark, d).collect())
     assert got == sorted((t, doc, n, c.total(), df[t], len(DOCS), round(mean, 9)) for doc, c in tf.items() for t, n in c.items())
 
 
 def test_order_and_context_of_all_documents(spark, tmp_path):
     d = save(spark, tmp_path, "documents", [(i, "x" * 100 + str(i), "en", f"src{i % 3}", 101) for i in range(40)], DOCS_SCHEMA)
-    got = sorted((r["source"], r["place"], r["doc_id"]) for r in catalog.QUERIES["date_order_all"](spark, d).collect())
+    got = sorted((r["source"], r["place"], r["doc_id"]) for r in catalog.QUERIES["date_order"](spark, d).collect())
     want = []
     for s in range(3):
         own = sorted((i for i in range(40) if i % 3 == s), key=lambda i: (i % 17 == 0, i))
         want += [(f"src{s}", n + 1, i) for n, i in enumerate(own)]
     assert got == want
-    got = {r["doc_id"]: r["block"] for r in catalog.QUERIES["context_text_all"](spark, d).collect()}
+    got = {r["doc_id"]: r["block"] for r in catalog.QUERIES["context_text"](spark, d).collect()}
     assert got == {i: f"[1] [en src{i % 3}] {'x' * 100}{i}\n\n[2] x" for i in range(40)}
 
 
 def test_history_of_all_turns(spark, tmp_path):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(5) for t in range(4)]
     d = save(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")
-    assert sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in catalog.QUERIES["history_append_all"](spark, d).collect()) == rows
+    assert sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in catalog.QUERIES["history_append"](spark, d).collect()) == rows
