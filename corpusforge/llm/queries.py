@@ -54,7 +54,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir))
+    """By strings of 400 bytes; beside that, the text without repeated passages, as a stage of a pipeline would keep it."""
+    return suffix_dedup.dedup(documents(spark, sf_dir), passage=suffix_dedup.PASSAGE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -117,14 +117,42 @@ def removed(spark, docs, n):
     return sorted(tuple(r) for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), length=n).collect())
 
 
-@pytest.mark.parametrize(("few", "many"), [(32, 2000), (3, 2000), (3, 8)])
-def test_dedup(spark, monkeypatch, few, many):
+@pytest.mark.parametrize(("few", "group"), [(32, 512), (3, 512), (3, 8), (2, 4)])
+def test_dedup(spark, monkeypatch, few, group):
     monkeypatch.setattr(suffix_dedup, "FEW", few)
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
-    docs = pieces(few + many)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    docs = pieces(few + group)
     assert removed(spark, docs, 40) == brute_dedup(docs, 40)
 
 
+def test_dedup_of_very_many_blocks_at_one_anchor(spark):
+    """One passage in 2500 texts, each time between other words: more blocks of an anchor than one sort holds, and some of them shared further."""
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, ends = text(60), [text(30) for _ in range(40)]
+    docs = [(i, (rng.choice(ends) if i % 3 else text(30)) + passage[: rng.randrange(45, 60)] + (rng.choice(ends) if i % 2 else text(30))) for i in range(2500)]
+    assert removed(spark, docs, 40) == brute_dedup(docs, 40)
+
+
+def test_dedup_in_small_tasks_and_stretches(spark, monkeypatch):
+    for name, value in (("ENTRIES", 50), ("HELD", 2000), ("_SLICE", 200), ("_STRETCH", 300)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    docs = [*pieces(9), (910, "ab cd " * 300), (911, "".join(random.Random(3).choice("ab") for _ in range(5000)) * 2)]
+    assert removed(spark, docs, 40) == brute_dedup(docs, 40)
+
+
+def test_dedup_of_passages(spark):
+    """The further columns of the digest are those of a run at the shorter length."""
+    docs = pieces(12)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.dedup(rows, 60, passage=30).collect()
+    assert sorted(tuple(r)[:5] for r in got) == brute_dedup(docs, 60)
+    short = {r[0]: r for r in brute_dedup(docs, 30)}
+    assert all(r["n_passage_bytes"] == short[r["doc_id"]][2] for r in got)
+    plain = {r["doc_id"]: r["text"] for r in suffix_dedup.dedup(rows, 30, out="text").collect()}
+    assert {r["doc_id"]: r["text"] for r in got} == plain
+
+
 def test_dedup_at_400(spark):
     rng = random.Random(4)
     text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
