@@ -40,8 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the byte strings that repeat across or within documents; its text may become empty."""
-    return _documents(suffix_dedup.dedup(docs, out="text", keep=("lang", "source")))
+    """Every document, without the passages that repeat across or within documents; its text may become empty.
+
+    A passage is a string of suffix_dedup.PASSAGE bytes, which fifty words of prose fill, however short they are: shorter than
+    what the operator's own query removes. What a 400-byte string must repeat to go there goes here too."""
+    return _documents(suffix_dedup.dedup(docs.select(*COLUMNS), suffix_dedup.PASSAGE, out="text", keep=("lang", "source")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +65,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the stages; tests/llm holds each against a brute-force version.
+#: SQL can't express the stages; tests/llm holds their operators against brute-force versions, and the repeats stage itself.
 ORACLE_SQL = None
 
 
