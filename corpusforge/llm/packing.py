@@ -7,8 +7,10 @@ into sequences, so neighbours on the curve share sequences and only the last one
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, mix,
 
 #: Dimensions of the curve, bits of each, and places of the hashed vector.
 DIMS, BITS, PLACES = 4, 10, 256
-#: Distinct pieces a worker remembers between slices.
-REMEMBERED = 500_000
+#: Distinct pieces a worker remembers between slices, bytes of text of a slice, and bytes of ids that a task sorts along the curve.
+REMEMBERED, SLICE, SORTED = 1_000_000, 8 << 20, 32 << 20
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -77,6 +79,21 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin & ~space)
 
 
+class Grown:
+    """An array that grows by doubling, so that adding to it costs by what is added."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.held):
+            wider = np.zeros(max(2 * len(self.held), self.size + len(more)), self.held.dtype)
+            wider[: self.size] = self.held[: self.size]
+            self.held = wider
+        self.held[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 class Tokens:
     """Encodes slices of a text column piece by piece, for a tokenizer that lowers case and drops white space; used in one task."""
 
@@ -88,40 +105,41 @@ class Tokens:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.start, self.length = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
     @staticmethod
     def of_worker(path: str) -> Tokens:
-        """The one of this Python worker. It stays on a module that all tasks of the worker share, for this code travels by value."""
-        import tokenizers
-
-        held = tokenizers.__dict__.setdefault("_corpusforge_tokens", {})
+        """The one of this Python worker. It stays on a module of the worker's own, which all its tasks share, for this code travels by value."""
+        held = sys.modules.setdefault("corpusforge_worker", ModuleType("corpusforge_worker")).__dict__.setdefault("tokens", {})
         if path not in held:
             held[path] = Tokens(path)
         return held[path]
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
-        """The number of each piece in self.start and self.length."""
-        new = [w for w in found if w not in self.known]
+        """The number of each of these distinct pieces in self.start and self.length."""
+        got = list(map(self.known.get, found))
+        new = [w for w, k in zip(found, got, strict=True) if k is None]
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
-            new = found
-        ids, lengths = [self.ids], [self.length]
+            got, new = [None] * len(found), found
         for k in range(0, len(new), 20_000):
             part = [w.decode() for w in new[k : k + 20_000]]
             coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begin = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
             first = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded))
-            ids.append(np.array(coded.ids, np.uint32))
-            lengths.append(np.bincount(np.searchsorted(begin, first, "right"), minlength=len(part)))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids, self.length = np.concatenate(ids), np.concatenate(lengths)
-        self.start = np.cumsum(self.length) - self.length
-        return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+            lengths = np.bincount(np.searchsorted(begin, first, "right"), minlength=len(part))
+            self.start.add(self.ids.size + np.cumsum(lengths) - lengths)
+            self.length.add(lengths)
+            self.ids.add(np.array(coded.ids, np.uint32))
+        at = len(self.known)
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        number = np.array([-1 if k is None else k for k in got], np.int64)
+        number[number < 0] = np.arange(at, at + len(new))
+        return number
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """For slices of the column: all ids, the number of ids of each text, texts."""
-        for i, j, data, offsets in text_slices(column, 4 << 20):
+        for i, j, data, offsets in text_slices(column, SLICE):
             if b"<|" in data.tobytes():  # the strings of special tokens: such a slice is encoded text by text
                 whole = [self.tokenizer.encode(bytes(data[offsets[k] : offsets[k + 1]]).decode(), add_special_tokens=False).ids for k in range(j - i)]
                 yield np.array([x for w in whole for x in w], np.uint32), np.array([len(w) for w in whole], np.int64), j - i
@@ -133,10 +151,13 @@ class Tokens:
             # a piece's range runs to the next piece; the white space at its end goes
             ranges = strings(LOWER[data[at[0] :]], at - at[0], np.append(at[1:], len(data)) - at[0])
             coded = pc.dictionary_encode(pc.ascii_rtrim_whitespace(ranges.cast(pa.string())))
-            number = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()]
-            n = self.length[number]
-            doc = np.searchsorted(offsets, at, "right") - 1
-            yield self.ids[gather_runs(self.start[number], n)], np.bincount(doc, n, j - i).astype(np.int64), j - i
+            del ranges
+            known = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())
+            index = coded.indices.to_numpy()
+            start, length = self.start.held[known], self.length.held[known]
+            n = length[index]
+            before = np.append(0, np.cumsum(n))
+            yield self.ids.held[gather_runs(start[index], n)], np.diff(before[np.searchsorted(at, offsets)]), j - i
 
 
 def _unit(vocabulary: int, end_id: int) -> str:
@@ -151,12 +172,11 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, project = Tokens.of_worker(tokenizer_path), _projection()
         unit = np.dtype(_unit(coder.tokenizer.get_vocab_size(), end_id))
+        places = (mix(np.arange(coder.tokenizer.get_vocab_size(), dtype=np.uint64)) % np.uint64(PLACES)).astype(np.int64)
         for batch in batches:
             done = 0
             for flat, n, rows in coder.encode(batch.column(1)):
-                place = (mix(flat.astype(np.uint64)) % np.uint64(PLACES)).astype(np.int64)
-                doc = np.repeat(np.arange(rows), n)
-                counts = np.bincount(doc * PLACES + place, minlength=rows * PLACES).reshape(rows, PLACES).astype(np.float64)
+                counts = np.bincount(np.repeat(np.arange(rows) * PLACES, n) + places[flat], minlength=rows * PLACES).reshape(rows, PLACES).astype(np.float64)
                 counts = np.sqrt(counts)
                 norm = np.linalg.norm(counts, axis=1, keepdims=True)
                 point = counts / np.maximum(norm, 1e-12) @ project
@@ -185,7 +205,8 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048
     """
     spark = df.sparkSession
     tokens = Stored(tokenize(df, tokenizer_path, end_id, id_col, text_col), "tokens")
-    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = tokens.read().agg(F.sum("n")).first()[0] or 0
+    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * total // SORTED)
     ordered = tokens.read().repartitionByRange(parts, "curve", f"`{id_col}`").sortWithinPartitions("curve", f"`{id_col}`")
     ordered = Stored(ordered.mapInArrow(tidy(_placed), T.StructType([*ordered.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])), "curve")
     tokens.drop()
