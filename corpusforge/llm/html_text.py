@@ -192,7 +192,6 @@ def _largest(node: _Node) -> _Node:
 def _mark(nodes: list[_Node]) -> None:
     body = next((x for x in nodes if x.tag == "body"), nodes[0])
     core = _largest(body)
-    core = _within(core, "article") or core
     threshold, up = core.density, core
     while up is not None and up is not body.parent:
         threshold, up = min(threshold, up.density), up.parent
@@ -249,7 +248,9 @@ def extract_text(page: str | None) -> str:
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """id, the kept columns, text, n_chars (code points) of every page, from its whole html; null or empty html has empty text.
 
-    Each row has a row, repeated ones too; other columns are left out. Broken markup is read as far as it goes.
+    Each row has a row, repeated ones too; other columns are left out. Broken markup is read as far as it goes. Of subtrees with
+    equal sums the first in page order is the core. A very long page is read whole, in one worker: its tree takes some hundred
+    bytes for each element. An empty table gives no rows.
     """
     small_batches(df.sparkSession)
     names = [id_col, *keep]
