@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-A word's script (by the lead byte of its first letter) narrows the languages it can be in; its score in each of them is the
+A word's script (by the range of its first letter's code point) narrows the languages it can be in; its score in each of them is the
 sum of the log-probabilities of its byte trigrams, white space included; Viterbi with a penalty for switching labels spans of
 words. The document's language is the one that labels the most bytes.
 """
@@ -26,19 +26,41 @@ TASKS = 8
 SWITCH = 12.0
 #: Places of the trigram table.
 PLACES = 1 << 16
-#: Scripts by lead byte of UTF-8. 0: no letter of a known script.
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew_arabic", "indic_thai", "cjk", "hangul")
-_LEAD = np.zeros(256, np.int8)
-_LEAD[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = 1
-_LEAD[0xCD:0xD0] = 2
-_LEAD[0xD0:0xD5] = 3
-_LEAD[0xD6:0xDC] = 4
-_LEAD[0xE0] = 5
-_LEAD[0xE3:0xEA] = 6
-_LEAD[0xEA:0xEE] = 7
+#: Bytes of text that are labelled at once; of a longer text, the bytes of a stretch.
+SLICE, STRETCH = 1 << 20, 1 << 20
+#: Scripts and the code points of their letters, from the Unicode blocks. 0: no letter of a known script.
+SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "bengali", "tamil", "thai", "georgian", "ethiopic", "kana", "han", "hangul")
+RANGES = [
+    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xAA, 0xAA), ("latin", 0xB5, 0xB5), ("latin", 0xBA, 0xBA), ("latin", 0xC0, 0xD6), ("latin", 0xD8, 0xF6), ("latin", 0xF8, 0x2AF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x531, 0x58F),
+    ("hebrew", 0x5D0, 0x5EA), ("arabic", 0x620, 0x6FF), ("arabic", 0x750, 0x77F), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF),
+    ("ethiopic", 0x1200, 0x139F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3041, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7A3), ("han", 0xF900, 0xFAFF), ("latin", 0xFF21, 0xFF5A), ("kana", 0xFF66, 0xFF9F), ("han", 0x20000, 0x323AF),
+]
+_FIRST, _LAST = np.array([a for _, a, _ in RANGES]), np.array([b for _, _, b in RANGES])
+_SCRIPT = np.array([SCRIPTS.index(x) for x, _, _ in RANGES], np.int8)
 LETTER = regex.compile(r"\p{L}")
 
 
+def script_of(code: np.ndarray) -> np.ndarray:
+    """The script of each code point."""
+    at = np.searchsorted(_FIRST, code, "right") - 1
+    return np.where((at >= 0) & (code <= _LAST[at]), _SCRIPT[at], 0).astype(np.int8)
+
+
+_ASCII_SCRIPT = script_of(np.arange(256) * (np.arange(256) < 128))
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """The script of the letter that begins at each byte of UTF-8; 0 elsewhere."""
+    out = _ASCII_SCRIPT[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+        b, c, d, e = wide[lead], wide[lead + 1] & 63, wide[lead + 2] & 63, wide[lead + 3] & 63
+        two, three = ((b & 31) << 6) | c, ((b & 15) << 12) | (c << 6) | d
+        out[lead] = script_of(np.where(b < 0xE0, two, np.where(b < 0xF0, three, ((b & 7) << 18) | (c << 12) | (d << 6) | e)))
+    return out
+
+
 def _trigrams(data: np.ndarray) -> np.ndarray:
     """The place of the byte trigram that ends at each byte; letters A-Z are lower, ASCII white space is one symbol."""
     low = np.where(ASCII_SPACE[data], 32, LOWER[data]).astype(np.uint32)
@@ -75,24 +97,68 @@ class Model:
     def label(self, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         """For slices of the column: texts' offsets, words' starts, ends, texts, labels (numbers of languages), and each text's bytes by label."""
         k = len(self.languages)
-        for i, j, data, offsets in text_slices(column):
-            at, end, doc = _words(data, offsets)
-            if not len(at):
-                yield offsets, at, end, doc, at, np.zeros((j - i, k))
-                continue
-            sums = np.zeros((len(data) + 1, k), np.float64)
-            np.cumsum(self.table[_trigrams(data)], axis=0, out=sums[1:])
-            score = sums[end] - sums[at]
-            # a word's script is that of its first byte that begins a letter
-            lead = _LEAD[data]
-            letters = np.append(np.flatnonzero(lead), len(data))
-            first = letters[np.searchsorted(letters, at)]
-            script = np.where(first < end, np.append(lead, 0)[first], 0)
-            score += np.where(self.may[script], 0.0, -50.0)
-            label = _viterbi(score, doc, j - i, self.switch)
-            size = np.bincount(doc * k + label, end - at, (j - i) * k).reshape(j - i, k)
+        for i, j, data, offsets in text_slices(column, SLICE):
+            if j - i == 1 and len(data) > SLICE:
+                at, end, label = self._long(data)
+                doc = np.zeros(len(at), np.int64)
+            else:
+                at, end, doc = _words(data, offsets)
+                label = _viterbi(self._scores(data, at, end), doc, j - i, self.switch) if len(at) else at
+            size = np.bincount(doc * k + label, end - at, (j - i) * k).reshape(j - i, k) if len(at) else np.zeros((j - i, k))
             yield offsets, at, end, doc, label, size
 
+    def _scores(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each word's score in each language; languages not seen in the script of its first letter pay."""
+        sums = np.zeros((len(data) + 1, len(self.languages)), np.float64)
+        np.cumsum(self.table[_trigrams(data)], axis=0, out=sums[1:])
+        script = _letters(data)
+        letters = np.append(np.flatnonzero(script), len(data))
+        first = letters[np.searchsorted(letters, at)]
+        own = np.where(first < end, np.append(script, 0)[first], 0)
+        return sums[end] - sums[at] + np.where(self.may[own], 0.0, -50.0)
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and labels of the words of one long text, a stretch at a time; what goes from one stretch to the next is the best
+        score of each language, and of each word only where its labels came from is kept."""
+        found, best, a = [], None, 0
+        space = np.flatnonzero(ASCII_SPACE[data])
+        while a < len(data):
+            cut = np.searchsorted(space, a + STRETCH)
+            b = int(space[cut]) + 1 if cut < len(space) else len(data)
+            lead = min(2, a)  # the trigrams of the first bytes reach back
+            part = data[a - lead : b]
+            at, end, _ = _words(data[a:b], np.array([0, b - a]))
+            if len(at):
+                best, came = _forward(self._scores(part, at + lead, end + lead), best, self.switch)
+                found.append((at + a, end + a, came))
+            a = b
+        if not found:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        state, labels = int(best.argmax()), []
+        for _, _, came in reversed(found):
+            own = np.empty(len(came), np.int64)
+            for t in range(len(came) - 1, -1, -1):
+                own[t] = state
+                state = came[t, state]
+            labels.append(own)
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), np.concatenate(labels[::-1])
+
+
+def _forward(score: np.ndarray, best: np.ndarray | None, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """The best score that ends in each label, and for each word and label the label before; ties as in _viterbi."""
+    n, k = score.shape
+    came, stay = np.empty((n, k), np.int16), np.arange(k)
+    for t in range(n):
+        if best is None:
+            best, came[t] = score[t], stay
+            continue
+        top = int(best.argmax())
+        moved = best[top] - switch > best
+        came[t] = np.where(moved, top, stay)
+        best = np.where(moved, best[top] - switch, best) + score[t]
+    return best, came
+
 
 def _viterbi(score: np.ndarray, doc: np.ndarray, docs: int, switch: float) -> np.ndarray:
     """The best label of each word, all texts a step at a time; ties go to staying, then to the first language."""
@@ -101,7 +167,7 @@ def _viterbi(score: np.ndarray, doc: np.ndarray, docs: int, switch: float) -> np
     order = np.argsort(-length, kind="stable")
     first = (np.cumsum(length) - length)[order]
     longest = length[order]
-    came = np.empty((n, k), np.int8)
+    came = np.empty((n, k), np.int16)
     best = score[first[longest > 0]]
     live = len(best)
     came[first[:live]] = np.arange(k)
@@ -148,8 +214,8 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
             lang = np.array(batch.column(0).to_pylist())
-            for i, j, data, offsets in text_slices(batch.column(1)):
-                place, lead = _trigrams(data), _LEAD[data]
+            for i, j, data, offsets in text_slices(batch.column(1), SLICE):
+                place, lead = _trigrams(data), _letters(data)
                 for row in range(i, j):
                     t = tables.setdefault(lang[row], np.zeros(PLACES + len(SCRIPTS), np.int64))
                     a, b = offsets[row - i], offsets[row - i + 1]
@@ -174,7 +240,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     out="documents": id, lang_pred, score (the share of the words' bytes that carry the label). out="spans": id and spans
     array<struct<lang, start, end>>, in bytes of UTF-8. A null text, one without a letter, and any text for a model without
-    languages is "und" with score 0 and no spans. Each row has a row; other columns are left out.
+    languages is "und" with score 0 and no spans. Of labels with equally many bytes the first by name counts. A very long text
+    is labelled in stretches that hand on the state, so its memory is some bytes for each word and language. Each row has a row,
+    repeated ones too; an empty table gives none; other columns are left out.
     """
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
