@@ -64,9 +64,11 @@ def link_outcomes(spark, d):
     return P.outcomes(table(spark, d, "pages").select(F.element_at(names, (F.col("page_id") % 4 + 1).cast("int")).alias("outcome")))
 
 
-@query("split_links", "SELECT page_id, [url, 'b'] AS links FROM pages")
+@query("split_links", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN [url, 'b' || page_id] WHEN 1 THEN [url] WHEN 2 THEN ['x', url, 'y'] ELSE [] END AS links FROM pages")
 def split_links(spark, d):
-    return table(spark, d, "pages").select("page_id", U.split_links(F.concat("url", F.lit("%20 |\n ; b"))).alias("links"))
+    m = F.col("page_id") % 4
+    field = F.when(m == 0, F.concat("url", F.lit("%20 |\n ; b"), "page_id")).when(m == 1, F.concat(F.lit("  "), "url", F.lit(" "))).when(m == 2, F.concat(F.lit("x;"), "url", F.lit("\ny"))).otherwise(F.lit(" | ; "))
+    return table(spark, d, "pages").select("page_id", U.split_links(field).alias("links"))
 
 
 @query("first_success", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE 'b' END AS link FROM pages")
@@ -75,9 +77,10 @@ def first_success(spark, d):
     return P.first_success(rows.withColumn("ok", (F.col("pos") > 0) | (F.col("page_id") % 3 == 0)), "page_id")
 
 
-@query("numbers_in_text", "SELECT page_id, CAST(page_id AS INTEGER) AS number, '2.5 MB' AS size, 12 AS page_count FROM pages")
+@query("numbers_in_text", "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN CAST(page_id AS INTEGER) END AS number, CASE page_id % 3 WHEN 0 THEN (page_id % 10) || '.5 MB' WHEN 1 THEN page_id || ' KB' END AS size, CASE WHEN page_id % 3 = 0 THEN CAST(page_id % 90 + 1 AS INTEGER) END AS page_count FROM pages")
 def numbers_in_text(spark, d):
-    t = F.concat(F.lit("Besluit "), "page_id", F.lit(" (2.5 MB, 12 pagina's)"))
+    m, i = F.col("page_id") % 3, F.col("page_id")
+    t = F.when(m == 0, F.concat(F.lit("Besluit "), i, F.lit(" ("), i % 10, F.lit(".5 MB, "), i % 90 + 1, F.lit(" pagina's)"))).when(m == 1, F.concat(F.lit("bijlage: "), i, F.lit(" KB"))).otherwise(F.lit("zonder getal"))
     return table(spark, d, "pages").select("page_id", U.first_number(t).alias("number"), U.file_size(t).alias("size"), U.page_count(t).alias("page_count"))
 
 
@@ -87,11 +90,40 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.transform(found, lambda x: x["href"]).alias("links"))
 
 
-@query("page_first_pdf", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://a.org/files/' || page_id || '.pdf' END AS pdf FROM pages")
+_PDF = "'https://a.overheid.nl/reports/' || page_id"
+
+
+@query("page_first_pdf", f"SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://a.overheid.nl/files/' || page_id || '.pdf' WHEN 7 THEN 'https://a.overheid.nl/v/' || page_id WHEN 6 THEN NULL ELSE {_PDF} END AS pdf FROM pages")
 def page_first_pdf(spark, d):
-    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<a class="btn-download" href="/files/'), "page_id", F.lit('.pdf">x</a>'))).otherwise("")
-    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit('<p><a href="/home">home</a>'), link, F.lit("</p>")).alias("html"))
-    return rows.select("page_id", P.first_pdf(F.col("html"), F.lit("https://a.org/x")).alias("pdf"))
+    """Pages with another kind of evidence each: ending, class, title, label, icon, button of the site, none, viewer."""
+    at = F.concat(F.lit("/reports/"), "page_id")
+    marks = ['class="btn-download"', 'title="Download it"', 'aria-label="als pdf"', None, 'data-decorator="download"']
+    links = [F.concat(F.lit('<a href="/files/'), "page_id", F.lit('.pdf">x</a>'))]
+    links += [F.concat(F.lit(f"<a {m} href=\""), at, F.lit('">x</a>')) if m else F.concat(F.lit('<a href="'), at, F.lit('"><i class="icon-file"></i>x</a>')) for m in marks]
+    links += [F.lit("<a>none</a>"), F.concat(F.lit("<div class=\"document-viewer\" data-json='{\"document\": {\"pdf\": \"/v/"), "page_id", F.lit("\"}}'></div>"))]
+    body = F.element_at(F.array(*links), (F.col("page_id") % 8 + 1).cast("int"))
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit('<p><a href="/home">home</a>'), body, F.lit("</p>")).alias("html"))
+    return rows.select("page_id", P.first_pdf(F.col("html"), F.lit("https://a.overheid.nl/x")).alias("pdf"))
+
+
+@query("page_candidate_links", "SELECT page_id, list_slice(list_filter(['https://a.org/rapport/' || page_id, CASE WHEN page_id % 2 = 0 THEN 'https://a.org/p/' || page_id END, 'https://a.org/view/1', 'https://a.org/doc/2'], lambda x: x IS NOT NULL), 1, 3) AS links FROM pages")
+def page_candidate_links(spark, d):
+    i = F.col("page_id")
+    html = F.concat(F.lit('<a href="#doc">document</a><a href="/login/doc">x</a><a href="https://b.org/doc">x</a><a href="/rapport/'), i, F.lit('">x</a><a href="/p/'), i, F.lit('">'), F.when(i % 2 == 0, "Het Document").otherwise("meer"), F.lit('</a><a href="/view/1">x</a><a href="/rapport/'), i, F.lit('">y</a><a href="/doc/2">z</a>'))
+    rows = table(spark, d, "pages").select("page_id", P.links(html, F.lit("https://a.org/x")).alias("l"))
+    return rows.select("page_id", P.candidate_links(F.col("l"), F.lit("https://a.org/x")).alias("links"))
+
+
+@query("failed_links_file", "SELECT url, min('status ' || (page_id % 5 + 400)) AS error FROM pages WHERE page_id % 4 = 1 GROUP BY url")
+def failed_links_file(spark, d):
+    """The file of failed links, written and read again."""
+    from corpusforge.catalog.corpus import _folder
+    from corpusforge.sources import writers
+
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("successful", "failed", "skipped", "excluded")]), (F.col("page_id") % 4 + 1).cast("int"))
+    at, rows = _folder(spark, "failed"), table(spark, d, "pages").select("url", outcome.alias("outcome"), F.concat(F.lit("status "), F.col("page_id") % 5 + 400).alias("error"))
+    writers.metadata(P.failed_links(rows), at)
+    return spark.read.schema("url string, error string").csv(at, header=True, escape='"')
 
 
 @query("page_valid")
@@ -112,11 +144,14 @@ def page_table_rows(spark, d):
     return P.table_rows(_decision(spark, d)).drop("url")
 
 
-@query("page_key_values", "SELECT page_id, 'https://a.org/b' AS url, 'x' AS v FROM pages")
+@query("page_key_values", "SELECT page_id, 'https://a.org/b' AS url, ['Naam ' || page_id, CASE WHEN page_id % 2 = 0 THEN 'brief' ELSE 'nota' END] AS v FROM pages")
 def page_key_values(spark, d):
-    rows = P.table_rows(_decision(spark, d)).where("row = 1").withColumn("key", F.struct("page_id", "url"))
+    """A table of names and values, as a map of each page; the rows' order doesn't count."""
+    kind = F.when(F.col("page_id") % 2 == 0, "brief").otherwise("nota")
+    html = F.concat(F.lit("<table><tr><td>1</td><td>Soort</td><td>"), kind, F.lit("</td></tr><tr><td>2</td><td>Naam</td><td> Naam\n "), "page_id", F.lit("</td></tr><tr><td>kop</td></tr></table>"))
+    rows = P.table_rows(table(spark, d, "pages").select("page_id", F.lit("https://a.org/b").alias("url"), html.alias("html"))).withColumn("key", F.struct("page_id", "url"))
     made = P.key_values(rows, "key", F.col("cells")[1], F.col("cells")[2])
-    return made.select("key.page_id", "key.url", F.element_at(F.map_values("meta"), 1).alias("v"))
+    return made.select("key.page_id", "key.url", F.array(F.element_at("meta", "Naam"), F.element_at("meta", "Soort")).alias("v"))
 
 
 @query("page_document_rows", "SELECT page_id, '1' AS number, 'Doc ' || page_id AS name FROM pages UNION ALL SELECT page_id, '2', 'B' FROM pages")
