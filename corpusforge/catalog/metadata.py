@@ -13,10 +13,11 @@ from corpusforge.sources.tables import metadata as metadata_rows
 _D = "WITH " + DOCS_SQL + " "
 
 
-@query("normalize_ids", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS a, '' AS b FROM documents")
+@query("normalize_ids", "WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' 10-' || source || '-' || doc_id || ' ' WHEN 1 THEN source WHEN 2 THEN lang || '-' WHEN 3 THEN '--' || doc_id END AS x FROM documents) SELECT doc_id, coalesce(list_last(string_split(trim(x), '-')), '') AS a FROM x")
 def normalize_ids(spark, d):
-    x = F.concat(F.lit(" 10-"), "source", F.lit("-"), "doc_id", F.lit(" "))
-    return documents(spark, d).select("doc_id", ids.normalize_id(x).alias("a"), ids.normalize_id(F.lit(None).cast("string")).alias("b"))
+    m = F.col("doc_id") % 5
+    x = F.when(m == 0, F.concat(F.lit(" 10-"), "source", F.lit("-"), "doc_id", F.lit(" "))).when(m == 1, F.col("source")).when(m == 2, F.concat("lang", F.lit("-"))).when(m == 3, F.concat(F.lit("--"), "doc_id"))
+    return documents(spark, d).select("doc_id", ids.normalize_id(x).alias("a"))
 
 
 @query("family_ids", "SELECT doc_id, regexp_replace(replace('00-' || doc_id || '-7', '-', ''), '^0+', '') AS family FROM documents")
@@ -40,10 +41,10 @@ def sanitize_filename(spark, d):
     return documents(spark, d).select("doc_id", ids.file_name(F.concat("source", F.lit(": a/b  "), "doc_id")).alias("name"))
 
 
-@query("sanitize_ids", "SELECT doc_id, [doc_id || 'x', 'a-b_' || doc_id] AS ids FROM documents")
+@query("sanitize_ids", "SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: regexp_replace(trim(w), '[^A-Za-z0-9_-]', '', 'g')), lambda w: length(w) BETWEEN 1 AND 29) AS ids FROM documents")
 def sanitize_ids(spark, d):
-    made = F.array(F.concat(F.lit(" "), "doc_id", F.lit("x; ")), F.concat(F.lit("a-b_"), "doc_id"), F.lit("!!"), F.repeat(F.lit("y"), F.lit(30)))
-    return documents(spark, d).select("doc_id", ids.sanitized_ids(made).alias("ids"))
+    """Every word of the whole texts as an id."""
+    return documents(spark, d).select("doc_id", ids.sanitized_ids(F.split("content", " ")).alias("ids"))
 
 
 _FAMILY = """, k AS (SELECT m.*, CASE WHEN h.head IS NOT NULL THEN f ELSE 'single_' || "ID" END AS family_key FROM
