@@ -133,6 +133,15 @@ def vector_topk_candidates(spark, d):
     return search.vector_topk_candidates(asked, vectors, first.select("query_id", "id"), 5).select("query_id", "id", "rank")
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, d):
+    """The same queries by the index in cells, saved and loaded; tests hold its recall against the exact search."""
+    from corpusforge.plans import vectors
+
+    at = _once(spark, ("vectors", d), lambda at: vectors.save(vectors.build(_vectors(spark, d).select("id", "v")), at))
+    return vectors.topk(vectors.load(spark, at), _every_fiftieth(spark, d), 10)
+
+
 @query("vector_adjacent_similarity", f"SELECT b.vec_id, {_DOT} AS similarity, {_DOT} < 0.1 AS boundary FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vector_adjacent_similarity(spark, d):
     v = table(spark, d, "embeddings")
@@ -329,7 +338,9 @@ def tfidf_vectors(spark, d):
     return training.tfidf(documents(spark, d)).select("doc", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("terms"))
 
 
-@query("benchmark_items")
+@query("benchmark_items", """WITH m AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || '42'), doc_id) AS r FROM documents)
+SELECT 'specific' AS type, [doc_id::VARCHAR] AS relevant_uuids FROM documents UNION ALL SELECT 'document', [doc_id::VARCHAR] FROM documents
+UNION ALL SELECT 'multi_document', list(doc_id::VARCHAR ORDER BY doc_id::VARCHAR) FROM m WHERE r <= 3 GROUP BY lang HAVING count(*) = 3""")
 def benchmark_items(spark, d):
     docs = documents(spark, d)
     clusters = docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("cluster"))

@@ -97,10 +97,9 @@ def clean_full(spark, d):
     return documents(spark, d).select("doc_id", C.clean(F.col("content"), F.col("type")).alias("text"))
 
 
-@query("drop_short_documents", rf"SELECT doc_id FROM documents WHERE length(regexp_replace(substr(text, 1, doc_id % 12), '^{_W}+|{_W}+$', '', 'g')) >= 6")
+@query("drop_short_documents", rf"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^{_W}+|{_W}+$', '', 'g')) >= 6")
 def drop_short_documents(spark, d):
-    docs = documents(spark, d)
-    return docs.where(C.long_enough(F.substring("content", F.lit(1), (F.col("doc_id") % 12).cast("int")))).select("doc_id")
+    return documents(spark, d).where(C.long_enough(F.col("content"))).select("doc_id")
 
 
 _NAMES = {"the": "T", "que": "Q", "und": "U", "T": "term"}
@@ -175,13 +174,13 @@ def chunk_ids(spark, d):
     return docs.select("doc_id", "pos", chunk_id(F.col("uuid"), F.col("pos")).alias("chunk_id"))
 
 
-_MAIL = "m AS (SELECT doc_id, 'Onderwerp: zaak ' || doc_id || ' van ' || source || '. Op ' || (doc_id % 31 + 1) || ' januari ' || (1990 + doc_id % 40) || ' en 2020-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) || '. From: x@' || source || '.nl to y@b.com, z@b.com cc w@c' || (doc_id % 5) || '.org ' || substr(content, 1, 50) AS t FROM docs)"
+_MAIL = "m AS (SELECT doc_id, 'Onderwerp: zaak ' || doc_id || ' van ' || source || '. Op ' || (doc_id % 31 + 1) || ' januari ' || (1990 + doc_id % 40) || ' en 2020-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) || '. From: x@' || source || '.nl to y@b.com, z@b.com cc w@c' || (doc_id % 5) || '.org ' || content AS t FROM docs)"
 
 
 def _mail(spark, d):
     c = F.concat(
         F.lit("Onderwerp: zaak "), "doc_id", F.lit(" van "), "source", F.lit(". Op "), F.col("doc_id") % 31 + 1, F.lit(" januari "), F.col("doc_id") % 40 + 1990, F.lit(" en 2020-0"), F.col("doc_id") % 9 + 1, F.lit("-1"), F.col("doc_id") % 10,
-        F.lit(". From: x@"), "source", F.lit(".nl to y@b.com, z@b.com cc w@c"), F.col("doc_id") % 5, F.lit(".org "), F.substring("content", 1, 50),
+        F.lit(". From: x@"), "source", F.lit(".nl to y@b.com, z@b.com cc w@c"), F.col("doc_id") % 5, F.lit(".org "), "content",
     )
     return documents(spark, d).select("doc_id", c.alias("t"))
 
@@ -209,7 +208,7 @@ def extract_email_domains(spark, d):
     return _mail(spark, d).select("doc_id", X.email_headers(F.col("t")).alias("h")).select("doc_id", "h.*")
 
 
-@query("doc_metadata")
+@query("doc_metadata", f"WITH h AS ({_HEADERS}), x AS (SELECT doc_id, source, make_date(1990 + doc_id % 40, 1, doc_id % 31 + 1) AS a, make_date(2020, doc_id % 9 + 1, 10 + doc_id % 10) AS b FROM documents) SELECT doc_id, 'zaak ' || doc_id || ' van ' || source AS subject, CAST(least(CASE WHEN year(a) <= 2027 THEN a END, b) AS VARCHAR) AS first_date, CAST(greatest(CASE WHEN year(a) <= 2027 THEN a END, b) AS VARCHAR) AS last_date, email_from, email_to, email_cc FROM x JOIN h USING (doc_id)")
 def doc_metadata(spark, d):
     rows = _mail(spark, d).select("doc_id", X.mentioned_dates(F.col("t"), 2026).alias("m"), X.subject(F.col("t")).alias("subject"), X.email_headers(F.col("t")).alias("h"))
     return rows.select("doc_id", "subject", F.col("m.first").cast("string").alias("first_date"), F.col("m.last").cast("string").alias("last_date"), "h.*")

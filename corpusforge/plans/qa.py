@@ -10,7 +10,7 @@ from corpusforge.functions.answers import tokens as token_estimate
 from corpusforge.functions.text import sentences
 from corpusforge.operators.context import admit
 from corpusforge.operators.filters import SearchFilter, drop_seen
-from corpusforge.plans.index import LexicalIndex
+from corpusforge.plans.index import LexicalIndex, tokens
 from corpusforge.plans.judge import Judge, RuleJudge, status, subquery
 from corpusforge.plans.search import find, overlap
 
@@ -21,10 +21,13 @@ def select_source(queries: DataFrame, sources: DataFrame) -> DataFrame:
     """query_id, source: the one whose description shares most words with the question; the first by name when none does."""
     if not sources.take(1):
         raise ValueError("there are no sources")
-    pairs = queries.join(sources)  # sources are few by nature: one row for each collection
-    fit = overlap(F.col("text"), F.concat_ws(" ", "name", "description"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(fit), "name")))
-    return ranked.where("rank = 1").select("query_id", F.col("name").alias("source"))
+    words = lambda c: F.explode(F.array_distinct(tokens(c))).alias("word")
+    held = sources.select("name", words(F.concat_ws(" ", "name", "description")))
+    asked = queries.select("query_id", words(F.col("text")))
+    hits = asked.join(held, "word").groupBy("query_id", "name").agg(F.count("*").alias("shared"))
+    best = hits.groupBy("query_id").agg(F.min_by("name", F.struct(-F.col("shared"), "name")).alias("source"))
+    first = sources.agg(F.min("name")).first()[0]
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("source", F.lit(first)).alias("source"))
 
 
 def best_sentence(question, content):

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 
 from corpusforge import catalog
-from corpusforge.plans import search
+from corpusforge.plans import search, vectors
 
 catalog.load()
 
@@ -81,3 +81,21 @@ def test_history_of_all_turns(spark, tmp_path):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(5) for t in range(4)]
     d = save(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")
     assert sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in catalog.QUERIES["history_append"](spark, d).collect()) == rows
+
+
+def test_vector_index(spark, tmp_path, monkeypatch):
+    """Recall of the index in cells against the exact search, cells of several shards too; all cells give the exact result."""
+    monkeypatch.setattr(search, "SHARD", 40)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16)) * 2
+    x = centres[rng.integers(0, 12, 1500)] + rng.standard_normal((1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (None, x[0].tolist())], "id long, v array<double>")
+    asked = rows.where("id % 50 = 0 and v is not null").selectExpr("id as query_id", "v as query")
+    vectors.save(vectors.build(rows, 20), str(tmp_path))
+    index = vectors.load(spark, str(tmp_path))
+    exact = {(r["query_id"], r["rank"]): r["id"] for r in search.vector_topk(asked, rows, 10).collect()}
+    every = {(r["query_id"], r["rank"]): r["id"] for r in vectors.topk(index, asked, 10, 20).collect()}
+    assert every == exact and len(exact) == 300
+    found = {(r["query_id"], r["id"]) for r in vectors.topk(index, asked, 10).collect()}
+    assert len(found & {(q, i) for (q, _), i in exact.items()}) >= 0.9 * len(exact)
