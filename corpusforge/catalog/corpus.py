@@ -251,3 +251,25 @@ def history_append(spark, d):
     writers.history(rows.where("conv_id % 2 = 0"), at)
     writers.history(rows.where("not (conv_id % 2 <=> 0)"), at)
     return spark.read.schema(rows.schema).parquet(at)
+
+
+@query("orphan_chunks", "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 7 NOT IN (0, 3)")
+def orphan_chunks(spark, d):
+    docs = documents(spark, d)
+    return lookup.orphans(docs.select(F.col("doc_id").alias("chunk_id"), F.col("uuid").alias("doc_uuid")), docs.where("doc_id % 7 in (0, 3)").select(F.col("uuid").alias("doc_uuid"))).select("chunk_id")
+
+
+@query("evidence_of_rounds", "SELECT source AS query_id, doc_id AS chunk_id FROM documents UNION ALL SELECT source, doc_id FROM documents WHERE doc_id % 3 = 0")
+def evidence_of_rounds(spark, d):
+    first = documents(spark, d).select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    return lookup.evidence([first, first.where("chunk_id % 3 = 0")])
+
+
+@query("evaluation_file", "SELECT source AS type, count(*) AS n, round(avg(n_chars), 6) AS value FROM documents GROUP BY source")
+def evaluation_file(spark, d):
+    """Values of an evaluation, written as JSON and read again."""
+    from corpusforge.sources import writers
+
+    at = _folder(spark, "evaluation")
+    writers.evaluation(table(spark, d, "documents").groupBy(F.col("source").alias("type")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("value")), at)
+    return spark.read.schema("type string, n bigint, value double").json(at)

@@ -178,3 +178,13 @@ def content_collisions(spark, d):
 def metadata_union(spark, d):
     a = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     return a.unionByName(table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), allowMissingColumns=True)
+
+
+@query("only_families", "WITH " + METADATA_SQL + """ SELECT "ID", "Family" FROM metadata WHERE "Family" IN ('doc-1', 'doc-7', 'doc-32')""")
+def only_families(spark, d):
+    return metadata.only_families(metadata_rows(spark, d), ["doc-1", "doc-7", "doc-32"]).select("ID", "Family")
+
+
+@query("first_of_id", "SELECT lang, arg_min(doc_id, (n_chars, doc_id)) AS doc_id FROM documents GROUP BY lang")
+def first_of_id(spark, d):
+    return metadata.first_of_id(table(spark, d, "documents").select("lang", "doc_id", "n_chars"), "lang", "n_chars").select("lang", "doc_id")

@@ -163,3 +163,12 @@ def page_document_rows(spark, d):
 @query("result_pages", "SELECT page_id, CAST(page_id + 2 AS INTEGER) AS pages FROM pages")
 def result_pages(spark, d):
     return table(spark, d, "pages").select("page_id", P.result_pages(F.concat(F.lit('<a href="?page=2">2</a><a href="?page='), F.col("page_id") + 2, F.lit('">last</a>'))).alias("pages"))
+
+
+@query("decision_links", """WITH r AS (SELECT page_id, unnest([1, 2]) AS k FROM pages) SELECT page_id, CASE k WHEN 1 THEN page_id || '-inv' ELSE page_id || '-brief' END AS document_id, CASE k WHEN 1 THEN 'inventarislijst_' || page_id || '.xlsx' ELSE 'besluitbrief_' || page_id || '.pdf' END AS document_name, CASE k WHEN 1 THEN 'https://a.org/inv/' || page_id ELSE 'https://a.org/b/' || page_id END AS document_url, CASE k WHEN 1 THEN 'INV' ELSE 'BRIEF' END AS inventory_number FROM r WHERE (k = 1 AND page_id % 3 <> 0) OR (k = 2 AND page_id % 2 = 0)""")
+def decision_links(spark, d):
+    i = F.col("page_id")
+    inventory = F.when(i % 3 != 0, F.concat(F.lit('<a data-e2e-name="download-inventory-file-link" href="/inv/'), i, F.lit('">x</a>'))).otherwise('<a href="/inv/0">x</a>')
+    letter = F.when(i % 2 == 0, F.concat(F.lit('<a href="/b/'), i, F.lit('" data-e2e-name="main-document-detail-link">y</a>'))).otherwise("")
+    rows = table(spark, d, "pages").select("page_id", F.explode(P.decision_links(F.concat(letter, inventory), F.lit("https://a.org/z"), i.cast("string"))).alias("r"))
+    return rows.select("page_id", "r.document_id", "r.document_name", "r.document_url", "r.inventory_number")

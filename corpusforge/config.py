@@ -46,3 +46,17 @@ def validate_worker(config: dict) -> dict:
     if flat["output_format"] not in OUTPUT_FORMATS:
         raise ValueError(f"output_format must be one of {', '.join(OUTPUT_FORMATS)}")
     return flat
+
+
+def load_worker(path: str, overrides: dict | None = None) -> dict:
+    """A worker's configuration from a YAML file on the driver, checked; what is given beside it counts more than the file."""
+    import yaml  # only a driver that reads such a file needs it
+
+    with open(path, encoding="utf-8") as f:
+        held = yaml.safe_load(f) or {}
+    if not isinstance(held, dict):
+        raise ValueError(f"{path} holds no sections")
+    flat: dict = {}
+    for key, value in held.items():
+        flat |= value if isinstance(value, dict) else {key: value}
+    return validate_worker(flat | {k: v for k, v in (overrides or {}).items() if v is not None})

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 _GROUP = r"\[\d+(?:,\d+)*\]"
 
+# Fixed value: tokens kept free beside a prompt.
+PROMPT_MARGIN = 250
+
 
 def citation_numbers(c: Column) -> Column:
     """The distinct numbers of [n] and [n,m], ascending."""
@@ -50,6 +53,11 @@ def tokens(c: Column) -> Column:
     return F.floor(F.length(c) / 4).cast("int")
 
 
+def reserved_tokens(*prompts: str) -> int:
+    """What the longer of the prompts takes of the context, and a margin."""
+    return max((len(p) // 4 for p in prompts), default=0) + PROMPT_MARGIN
+
+
 def escape_html(c: Column) -> Column:
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
         c = F.replace(c, F.lit(sign), F.lit(name))

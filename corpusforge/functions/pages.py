@@ -255,3 +255,30 @@ def first_success(links: DataFrame, key: str) -> DataFrame:
 def failed_links(links: DataFrame) -> DataFrame:
     """The rows of the file of failures: url and error, each url once, the first error by its text."""
     return links.where("outcome = 'failed'").groupBy("url").agg(F.min("error").alias("error"))
+
+
+# Marks of the two links of a decision that aren't in its tables, and what their rows say.
+DECISION_LINKS = {"download-inventory-file-link": ("inv", "inventarislijst", "xlsx", "inventory", "INV"), "main-document-detail-link": ("brief", "besluitbrief", "pdf", "besluitbrief", "BRIEF")}
+_DECISION_ROW = "struct<document_id: string, document_name: string, document_url: string, document_type: string, inventory_number: string>"
+
+
+def decision_links(html: Column, url: Column, decision: Column) -> Column:
+    """array of rows for the inventory and the letter of a decision, as far as its page links them. The letter's link leads to its
+    page, which is fetched elsewhere."""
+
+    @F.pandas_udf(f"array<{_DECISION_ROW}>")
+    def run(h: pd.Series, u: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_decision_links(x, y, z) for x, y, z in zip(h, u, d, strict=True)])
+
+    return run(html, url, decision)
+
+
+def _decision_links(html: str | None, url: str | None, decision: str | None) -> list[dict]:
+    if not html:
+        return []
+    page, out = _Page(html), []
+    for mark, (ending, name, kind, type_, number) in DECISION_LINKS.items():
+        at = next((page.attributes[i] for i in page.named("a") if page.attributes[i].get("data-e2e-name") == mark), None)
+        if at and "href" in at:
+            out.append({"document_id": f"{decision}-{ending}", "document_name": f"{name}_{decision}.{kind}", "document_url": urljoin(url or "", at["href"] or ""), "document_type": type_, "inventory_number": number})
+    return out

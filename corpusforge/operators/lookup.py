@@ -43,3 +43,16 @@ def parents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 def cited_documents(cited: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents in the order of the citations; missing_document for a chunk that isn't known."""
     return cited.join(chunks.select("chunk_id", "doc_uuid"), "chunk_id", "left").withColumn("doc_uuid", F.coalesce("doc_uuid", F.lit("missing_document")))
+
+
+def orphans(chunks: DataFrame, docs: DataFrame, key: str = "doc_uuid") -> DataFrame:
+    """Chunks whose document isn't among the given ones: none, where an answer and its documents belong together."""
+    return chunks.join(docs.select(key), key, "left_anti")
+
+
+def evidence(rounds: list[DataFrame]) -> DataFrame:
+    """What the rounds of a question have brought, one after another; repeated rows stay."""
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out

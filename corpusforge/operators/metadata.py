@@ -118,3 +118,14 @@ def to_document(rows: DataFrame) -> DataFrame:
         have("uuid", F.lit(None).cast("string")).alias("uuid"), have("ID", text).alias("vws_id"), have("Datum", text).alias("create_date"), have("File Type", text).alias("type"),
         have("Document Link", text).alias("link"), have("attachment_links", empty).alias("attachment_links"), have("content", text).alias("content"),
     )
+
+
+def only_families(rows: DataFrame, families: list[str], family_col: str = "Family") -> DataFrame:
+    """The rows of the named families, for a trial run."""
+    return rows.where(F.col(family_col).cast("string").isin(*map(str, families)))
+
+
+def first_of_id(rows: DataFrame, key: str = "ID", order: str = "ord") -> DataFrame:
+    """The first row of each id, by the given order; ties by all columns."""
+    whole = F.struct(order, *[c for c in rows.columns if c != order])
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min(whole).alias("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in rows.columns])

@@ -50,3 +50,8 @@ def report(statistics: DataFrame, title: str) -> str:
 
 def previews(chunks: DataFrame, size: int = 200) -> DataFrame:
     return chunks.select("doc_uuid", "pos", F.substring("content", 1, size).alias("preview"), F.length("content").alias("size"))
+
+
+def evaluation(df: DataFrame, path: str) -> None:
+    """The values of an evaluation as JSON, one object a line; their table is small."""
+    df.coalesce(1).write.mode("overwrite").json(path)

@@ -308,3 +308,34 @@ def test_find_filters_after_the_top(spark, sf_dir):
 def test_plan_prunes_and_pushes(spark, sf_dir):
     plan = filters.apply(documents(spark, sf_dir), filters.SearchFilter(types=("PDF",))).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_worker_file(tmp_path):
+    from corpusforge import config
+
+    at = tmp_path / "worker.yaml"
+    at.write_text("paths:\n  metadata_path: m.csv\n  output_dir: out\nbatch_size: 3\n")
+    assert config.load_worker(str(at)) == {"batch_size": 3, "output_format": "markdown", "metadata_path": "m.csv", "output_dir": "out"}
+    assert config.load_worker(str(at), {"batch_size": 7, "output_dir": None})["batch_size"] == 7
+    at.write_text("batch_size: 3\n")
+    with pytest.raises(ValueError):
+        config.load_worker(str(at))
+
+
+def test_reserved_tokens():
+    from corpusforge.functions import answers
+
+    assert answers.reserved_tokens("x" * 40, "x" * 401) == 350 and answers.reserved_tokens() == 250
+
+
+def test_pages_of_lenient_hosts(spark):
+    """A page of the government with a download button is worth converting however little it says."""
+    from pyspark.sql import functions as F
+
+    from corpusforge.functions import pages
+
+    area = '<div class="content">short</div>'
+    button = '<a class="m-button big" href="/downloads/document/7">x</a>'
+    rows = [(1, "https://a.overheid.nl/x", area + button), (2, "https://a.overheid.nl/x", area), (3, "https://b.org/x", area + button), (4, "https://a.overheid.nl/login", area + button), (5, "https://a.overheid.nl/x", "<p>no area</p>" + button)]
+    df = spark.createDataFrame(rows, "i int, url string, html string").withColumn("a", pages.content_area(F.col("html")))
+    assert [r["i"] for r in df.where(pages.worth_converting(F.col("a"), F.col("url"))).collect()] == [1]
