@@ -606,8 +606,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
 
     Two documents link when 100 * intersection >= hundredths * union of their sets of shingles, words lower-cased for A-Z. A
     text with fewer words than a shingle has its whole sequence as one; a null text or one without words has none and links
-    with nothing. Equal texts are linked. Repeated rows have a row each; a row of null id takes its component's id. Shingles
-    are compared by 64-bit hashes. Other columns are left out.
+    with nothing. Equal texts are linked. Repeated rows have a row each; a row of null id takes its component's id. Of equal
+    sizes and counts the order of shingles is that of their hashes. Shingles are compared by 64-bit hashes. A very long text is
+    shingled whole in one worker, with some hundred bytes for each of its words. An empty table gives no rows. Other columns
+    are left out.
     """
     found = Join(df, id_col, text_col, words, hundredths).run()
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")

@@ -200,8 +200,9 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048
 
     id, start, length, doc_tokens, sequence_id, offset, and ids_crc32 (out="digest") or ids array<long> (out="ids"). A null or
     empty text is end_id alone. Repeated rows are packed each; ties on the curve go by id, nulls first. Pieces cover every
-    sequence without gaps, but for the end of the last. No rows: no pieces. Other columns are left out. Two tables are
-    written to the shared folder: the token ids, and the same in curve order.
+    sequence without gaps, but for the end of the last. No rows: no pieces. A very long text is encoded whole in one worker and
+    cut over as many sequences as it fills. Other columns are left out. Two tables are written to the shared folder: the token
+    ids, and the same in curve order.
     """
     spark = df.sparkSession
     tokens = Stored(tokenize(df, tokenizer_path, end_id, id_col, text_col), "tokens")

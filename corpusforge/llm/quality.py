@@ -119,8 +119,11 @@ def _strength(groups: DataFrame, mean: float) -> float:
 def score(documents: DataFrame, classifier: Classifier | None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep: float = KEEP) -> DataFrame:
     """id, p (by the text alone), site (posterior of its host and path), score, keep of every document.
 
-    Null hosts and paths are groups of their own. A null or empty text is scored by its form like any other. Without a
-    classifier all documents have 0.5. Each row has a row; repeated rows count each. Other columns are left out.
+    A table of documents without addresses has its source for a host and its language, within the source, for a path: the
+    groups that its documents come in. Null hosts and paths are groups of their own. A null or empty text is scored by its
+    form like any other, and a very long one is measured whole, with some tens of bytes for each of its own. Without a
+    classifier all documents have 0.5. A score equal to `keep` is kept. Each row has a row; repeated rows count each. An empty
+    table gives no rows. Other columns are left out.
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").alias("text"))
