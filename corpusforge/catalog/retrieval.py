@@ -32,23 +32,22 @@ def _once(spark, key, make):
     from corpusforge.catalog.corpus import _folder
 
     key = (spark.sparkContext.applicationId, *key)
-    if key not in _STORED:
+    if key not in _STORED or not _exists(spark, _STORED[key]):
         at = _folder(spark, key[1])
         make(at)
         _STORED[key] = at
     return _STORED[key]
 
 
-def _index(spark, d, by_source=False):
-    """The stored index of the corpus, whole or by source: searches read the postings of their terms from it."""
+def _exists(spark, path):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def make(at):
-        built = index.build(documents(spark, d), scope=F.col("source") if by_source else None)
-        postings = index.save({"postings": built.postings}, at) or index.load(spark, at, ("postings",))["postings"]
-        stored = index.LexicalIndex(postings, index.term_counts(postings), built.corpus)
-        index.save({"terms": stored.terms, "corpus": stored.corpus}, at)
 
-    return index.LexicalIndex(**index.load(spark, _once(spark, ("index", d, by_source), make)))
+def _index(spark, d, by_source=False):
+    """The stored index of the corpus, whole or by source: searches read the postings of their terms from it."""
+    at = _once(spark, ("index", d, by_source), lambda at: index.build_stored(documents(spark, d), at, scope=F.col("source") if by_source else None))
+    return index.LexicalIndex(**index.load(spark, at))
 
 
 def _questions(spark, d):

@@ -50,6 +50,19 @@ def save(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> No
         df.write.mode(mode).parquet(f"{path}/{name}")
 
 
+def build_stored(docs: DataFrame, path: str, doc: str = "doc_id", content: str = "content", scope: Column | None = None) -> LexicalIndex:
+    """Builds an index in a folder. Postings are written first, and the statistics come from what was written, so each text is
+    read for its words once; a text without words counts in n."""
+    spark = docs.sparkSession
+    save({"postings": build(docs, doc, content, scope).postings}, path)
+    postings = load(spark, path, ("postings",))["postings"]
+    counts = docs.groupBy((scope if scope is not None else F.lit("all")).alias("scope")).agg(F.count("*").alias("n"))
+    words = postings.groupBy("scope").agg(F.sum("tf").alias("words"))
+    corpus = counts.join(words, "scope", "left").select("scope", "n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avg_len"))
+    save({"terms": term_counts(postings), "corpus": corpus}, path)
+    return LexicalIndex(**load(spark, path))
+
+
 def load(spark: SparkSession, path: str, names: tuple[str, ...] = ("postings", "terms", "corpus")) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
