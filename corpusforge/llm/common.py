@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def held_by_worker(name: str) -> dict:
+    """A dict of this name that all tasks of a Python worker share. It stays on a module of its own, for this code travels by value."""
+    return sys.modules.setdefault("corpusforge_worker", ModuleType("corpusforge_worker")).__dict__.setdefault(name, {})
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     out = np.full(n, base, np.uint64)

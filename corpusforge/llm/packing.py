@@ -7,10 +7,8 @@ into sequences, so neighbours on the curve share sequences and only the last one
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections.abc import Iterable, Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, mix, small_batches, strings, text_slices, tidy
+from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, held_by_worker, mix, small_batches, strings, text_slices, tidy
 
 #: Dimensions of the curve, bits of each, and places of the hashed vector.
 DIMS, BITS, PLACES = 4, 10, 256
@@ -109,8 +107,8 @@ class Tokens:
 
     @staticmethod
     def of_worker(path: str) -> Tokens:
-        """The one of this Python worker. It stays on a module of the worker's own, which all its tasks share, for this code travels by value."""
-        held = sys.modules.setdefault("corpusforge_worker", ModuleType("corpusforge_worker")).__dict__.setdefault("tokens", {})
+        """The one of this Python worker, which all its tasks share."""
+        held = held_by_worker("tokens")
         if path not in held:
             held[path] = Tokens(path)
         return held[path]

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Stored, gather_runs, mix, powers, small_batches, text_slices, tidy, tidy_table
+from corpusforge.llm.common import Stored, gather_runs, held_by_worker, mix, powers, small_batches, text_slices, tidy, tidy_table
 from corpusforge.llm.ngram_join import _summed, _task
 
 #: Bytes of a string, and of the grams that anchors are chosen from.
@@ -40,9 +39,12 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 _SLICE, _STRETCH = 1 << 16, 1 << 20
 
 
-@lru_cache(maxsize=4)
 def _powers(base: int, bits: int) -> np.ndarray:
-    return powers(base, 1 << bits)
+    """At least 2^bits powers of the base; a worker keeps as many as it has needed."""
+    held = held_by_worker("powers")
+    if len(held.get(base, ())) < 1 << bits:
+        held[base] = powers(base, 1 << bits)
+    return held[base]
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
