@@ -110,9 +110,14 @@ LEFTOVERS = {"|": 4, "[]": 3, "{}": 3, "()": 3}
 
 
 def markdown_issues(c: Column) -> Column:
-    """The names of what is wrong with converted text; empty if nothing is."""
+    """The names of what is wrong with converted text; empty if nothing is. The forms of the text that several tests read are
+    bound to a lambda, so that each is made once."""
     joined = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
-    bare = F.regexp_replace(c, r"(?U)\s+", "")
+    forms = F.struct(c.alias("text"), joined.alias("joined"), F.replace(joined, F.lit(" "), F.lit("")).alias("bare"))
+    return F.transform(F.array(forms), lambda x: _issues(x["text"], x["joined"], x["bare"]))[0]
+
+
+def _issues(c: Column, joined: Column, bare: Column) -> Column:
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     table = F.contains(c, F.lit("|")) & (_times(c, "|") > _times(c, "\n") * 0.5) & F.contains(c, F.lit("-|-"))
     words = F.when(joined == "", 0).otherwise(F.size(F.split(joined, " ")))
