@@ -22,10 +22,11 @@ def parse_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.from_json(F.translate(c, "'", '"'), "array<string>"), F.array().cast("array<string>"))
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of *.json files, one each; those that don't parse or lack a required field are left out."""
+def documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of *.json files, one each, or one a line as the writer leaves them; those that don't parse or lack a required
+    field are left out."""
     schema = DOCUMENT.replace("attachment_links array<string>", "attachment_links string") + ", _corrupt_record string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
     whole = F.col("_corrupt_record").isNull()
     for name in ("uuid", "vws_id", "content", "link"):
         whole = whole & F.col(name).isNotNull()
@@ -80,15 +81,21 @@ def safety_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("label").isin("true", "false")).select("text", (F.col("label") == "true").cast("int").alias("label"))
 
 
-def training_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of a list, or of an object's `pairs`."""
-    text = spark.read.text(path, wholetext=True)
-    pairs = F.coalesce(F.from_json("value", f"array<struct<{TRAINING_PAIR.replace(' string', ':string')}>>"), F.from_json(F.get_json_object("value", "$.pairs"), f"array<struct<{TRAINING_PAIR.replace(' string', ':string')}>>"))
-    return text.select(F.explode(pairs).alias("p")).select("p.query", "p.chunk")
+def training_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pairs of a list, or of an object's `pairs`; by lines, a pair each as the writer leaves them. A pair that lacks its question
+    or its chunk ends the reading with an error."""
+    pair = f"struct<{TRAINING_PAIR.replace(' string', ':string')}>"
+    text = spark.read.text(path, wholetext=not lines)
+    if lines:
+        found = text.select(F.from_json("value", pair).alias("p"))
+    else:
+        found = text.select(F.explode(F.coalesce(F.from_json("value", f"array<{pair}>"), F.from_json(F.get_json_object("value", "$.pairs"), f"array<{pair}>"))).alias("p"))
+    lacks = F.when(F.col("p.query").isNull() | F.col("p.chunk").isNull(), F.raise_error(F.lit("a training pair lacks its query or its chunk")))
+    return found.select(F.coalesce(lacks.cast("string"), F.col("p.query")).alias("query"), F.col("p.chunk").alias("chunk"))
 
 
-def questions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    rows = spark.read.option("multiLine", True).schema("query string, chunk string").json(path).where("query is not null")
+def questions(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    rows = spark.read.option("multiLine", not lines).schema("query string, chunk string").json(path).where("query is not null")
     return rows.limit(limit) if limit else rows
 
 

@@ -22,7 +22,7 @@ def new_documents(df: DataFrame, held: DataFrame, path: str) -> DataFrame:
 
 def metadata(df: DataFrame, path: str) -> None:
     flat = [F.to_json(c).alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def training_sets(sets: dict[str, DataFrame], path: str, suffix: str = "") -> None:
