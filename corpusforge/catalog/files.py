@@ -124,7 +124,7 @@ def judge_log(spark, d):
     return spark.read.schema("stage string, time string, prompt string, response string").json(at).select("stage", "time", "prompt", "response")
 
 
-@query("chunk_previews", _D + "SELECT uuid AS doc_uuid, 0 AS pos, substr(content, 1, 200) AS preview, length(content) AS size FROM docs")
+@query("chunk_previews", _D + "SELECT uuid AS doc_uuid, 0 AS pos, substr(content, 1, 200) AS preview, length(content)::INTEGER AS size FROM docs")
 def chunk_previews(spark, d):
     """The beginning of each chunk, as a report shows it, with the size of the whole."""
     return writers.previews(documents(spark, d).select(F.col("uuid").alias("doc_uuid"), F.lit(0).alias("pos"), "content"))
