@@ -64,6 +64,19 @@ def bm25_topk(spark, d):
     return search.bm25(_index(spark, d), _questions(spark, d), 10).select("query_id", "doc", "score", "rank")
 
 
+_PIECE = "[a-z]{1,5}"
+_PIECES = _INDEX.replace(_T.format("text"), f"regexp_extract_all(lower(text), '{_PIECE}', 0)")
+
+
+@query("bm25_topk_pieces", f"WITH {_PIECES} SELECT query_id, doc, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
+def bm25_topk_pieces(spark, d):
+    """The search over an index made with another tokenizer: pieces of words, at most five letters each."""
+    tokenize = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_PIECE), F.lit(0))
+    at = _once(spark, ("index", "pieces", d), lambda at: index.build_stored(documents(spark, d), at, tokenize=tokenize))
+    made = index.LexicalIndex(**index.load(spark, at), tokenize=tokenize)
+    return search.bm25(made, _questions(spark, d), 10).select("query_id", "doc", "score", "rank")
+
+
 @query("bm25_topk_filtered", f"WITH {DOCS_SQL}, {_INDEX} SELECT query_id, doc, CAST(rank AS INTEGER) AS rank FROM ranked JOIN docs ON doc = doc_id WHERE rank <= 20 AND type IN ('Email', 'PDF') AND create_date >= DATE '2020-06-01'")
 def bm25_topk_filtered(spark, d):
     from datetime import datetime

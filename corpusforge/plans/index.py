@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,28 +13,34 @@ WORD = r"[\p{L}\p{N}_]+"
 TABLES = ("documents", "chunks", "postings", "terms", "corpus", "sources")
 
 
+#: A text's terms as an array column: a column expression, or a function on Arrow batches around a model's tokenizer.
+Tokenizer = Callable[[Column], Column]
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
 @dataclass
 class LexicalIndex:
-    """postings (scope, term, doc, tf, len), terms (scope, term, df), corpus (scope, n, avg_len). The scope is the data source."""
+    """postings (scope, term, doc, tf, len), terms (scope, term, df), corpus (scope, n, avg_len). The scope is the data source.
+    Questions are cut into terms as the documents were."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    tokenize: Tokenizer = tokens
 
 
-def build(docs: DataFrame, doc: str = "doc_id", content: str = "content", scope: Column | None = None) -> LexicalIndex:
+def build(docs: DataFrame, doc: str = "doc_id", content: str = "content", scope: Column | None = None, tokenize: Tokenizer = tokens) -> LexicalIndex:
     """Statistics over the whole source, however many batches it came in; one shuffle by document and term, one by term."""
-    rows = docs.select((scope if scope is not None else F.lit("all")).alias("scope"), F.col(doc).alias("doc"), tokens(F.col(content)).alias("ts"))
+    rows = docs.select((scope if scope is not None else F.lit("all")).alias("scope"), F.col(doc).alias("doc"), tokenize(F.col(content)).alias("ts"))
     lengths = rows.select("scope", "doc", F.size("ts").alias("len"))
     each = rows.select("scope", "doc", F.size("ts").alias("len"), F.explode("ts").alias("term"))
     postings = each.groupBy("scope", "term", "doc").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     terms = term_counts(postings)
     corpus = lengths.groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    return LexicalIndex(postings, terms, corpus)
+    return LexicalIndex(postings, terms, corpus, tokenize)
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -50,17 +57,17 @@ def save(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> No
         df.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def build_stored(docs: DataFrame, path: str, doc: str = "doc_id", content: str = "content", scope: Column | None = None) -> LexicalIndex:
+def build_stored(docs: DataFrame, path: str, doc: str = "doc_id", content: str = "content", scope: Column | None = None, tokenize: Tokenizer = tokens) -> LexicalIndex:
     """Builds an index in a folder. Postings are written first, and the statistics come from what was written, so each text is
     read for its words once; a text without words counts in n."""
     spark = docs.sparkSession
-    save({"postings": build(docs, doc, content, scope).postings}, path)
+    save({"postings": build(docs, doc, content, scope, tokenize).postings}, path)
     postings = load(spark, path, ("postings",))["postings"]
     counts = docs.groupBy((scope if scope is not None else F.lit("all")).alias("scope")).agg(F.count("*").alias("n"))
     words = postings.groupBy("scope").agg(F.sum("tf").alias("words"))
     corpus = counts.join(words, "scope", "left").select("scope", "n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avg_len"))
     save({"terms": term_counts(postings), "corpus": corpus}, path)
-    return LexicalIndex(**load(spark, path))
+    return LexicalIndex(**load(spark, path), tokenize=tokenize)
 
 
 def load(spark: SparkSession, path: str, names: tuple[str, ...] = ("postings", "terms", "corpus")) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from corpusforge.operators.context import admit
 from corpusforge.operators.filters import SearchFilter, drop_seen
 from corpusforge.plans.index import LexicalIndex, tokens
 from corpusforge.plans.judge import Judge, RuleJudge, status, subquery
-from corpusforge.plans.search import find, overlap
+from corpusforge.plans.search import Embedder, PairScorer, find, overlap
 
 NO_INFORMATION = "Er is geen informatie gevonden om deze vraag te beantwoorden."
 
@@ -53,14 +53,15 @@ def compose(context: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.select("query_id", F.coalesce("answer", F.lit(NO_INFORMATION)).alias("answer"), F.coalesce("chunk_ids", F.array().cast("array<bigint>")).alias("chunk_ids"))
 
 
-def answer_standard(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), judge: Judge | None = None, filters: SearchFilter | None = None) -> DataFrame:
+def answer_standard(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), judge: Judge | None = None, filters: SearchFilter | None = None, embed: Embedder | None = None, score: PairScorer | None = None) -> DataFrame:
     """One round: search, judge, fill the context, answer. A judge that finds nothing gives the fixed text."""
-    found = find(index, docs, chunks, queries, settings, filters)
+    found = find(index, docs, chunks, queries, settings, filters, embed=embed, score=score)
     return compose(relevant_context(found, chunks, queries, judge or RuleJudge(), settings.context_tokens), queries)
 
 
-def answer_adaptive(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), judge: RuleJudge | None = None, filters: SearchFilter | None = None, checkpoint=None) -> DataFrame:
+def answer_adaptive(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), judge: Judge | None = None, filters: SearchFilter | None = None, checkpoint=None, embed: Embedder | None = None, score: PairScorer | None = None) -> DataFrame:
     """Up to max_rounds rounds, each with a query for what the context still lacks; chunks that were met aren't met again.
+    Beside the answer: status, rounds, and subqueries, what was asked in each round.
 
     The plan grows by one search a round; checkpoint (DataFrame -> DataFrame) may cut it between rounds.
     """
@@ -72,7 +73,7 @@ def answer_adaptive(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, que
     for turn in range(settings.max_rounds):
         lacking = judge.uncovered(F.col("text"), F.col("seen_text"))
         state = cut(state.withColumn("ask", F.when(F.col("status") == "NOT_READY", subquery(lacking, F.col("text"), F.col("asked")))))
-        found = find(index, docs, chunks, state.where("ask is not null").select("query_id", F.col("ask").alias("text")), settings, filters)
+        found = find(index, docs, chunks, state.where("ask is not null").select("query_id", F.col("ask").alias("text")), settings, filters, embed=embed, score=score)
         fresh = cut(found if seen is None else drop_seen(found, seen))
         seen = fresh.select("query_id", "chunk_id") if seen is None else seen.union(fresh.select("query_id", "chunk_id"))
         rows = fresh.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
@@ -85,7 +86,7 @@ def answer_adaptive(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, que
         state = state.withColumn("status", F.when(F.col("ask").isNull(), F.col("status")).otherwise(status(judge.uncovered(F.col("text"), F.col("seen_text")), F.col("new_text").isNotNull())))
         state = state.select("query_id", "text", "asked", "seen_text", "status")
     answers = compose(admit(context, settings.context_tokens), queries)
-    return answers.join(state.select("query_id", "status", F.size("asked").alias("rounds")), "query_id")
+    return answers.join(state.select("query_id", "status", F.size("asked").alias("rounds"), F.col("asked").alias("subqueries")), "query_id")
 
 
 def invariants(answers: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,11 @@ from corpusforge.operators.filters import SearchFilter, by_date
 from corpusforge.plans.index import LexicalIndex, tokens
 
 
+#: A text's unit vector, and the score of a question with a text: column expressions, or functions on Arrow batches around a model.
+Embedder = Callable[[Column], Column]
+PairScorer = Callable[[Column, Column], Column]
+
+
 def ranked(rows: DataFrame, k: int, score: str = "score", key: str = "doc", query: str = "query_id") -> DataFrame:
     """The k best of each query; scores are rounded first, so that ties are the same wherever the sums were made."""
     rows = rows.withColumn(score, F.round(score, 6))
@@ -23,7 +30,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: fl
     """query_id, doc, score, rank. A term that a query repeats counts each time. Without a scope all sources are searched.
 
     The terms of the queries go first, so only their postings are read and weighted."""
-    wanted = queries.select(F.col(query).alias("query_id"), *([F.col(scope).alias("scope")] if scope else []), F.explode(tokens(F.col(text))).alias("term"))
+    wanted = queries.select(F.col(query).alias("query_id"), *([F.col(scope).alias("scope")] if scope else []), F.explode(index.tokenize(F.col(text))).alias("term"))
     keys = ["scope", "term"] if scope else ["term"]
     wanted = wanted.groupBy("query_id", *keys).agg(F.count("*").alias("times"))
     terms = index.terms.join(wanted.select(*keys).distinct(), keys)
@@ -105,6 +112,14 @@ def overlaps(found: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFra
     return found.join(hits, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def nearness(found: DataFrame, chunks: DataFrame, queries: DataFrame, embed: Embedder) -> DataFrame:
+    """Adds score: the inner product of the vectors of each question and chunk that were found. Each text is embedded once, before
+    the joins, and only vectors go through them."""
+    vectors = chunks.select("chunk_id", embed(F.col("content")).alias("_v"))
+    asked = queries.select("query_id", embed(F.col("text")).alias("_q"))
+    return found.join(vectors, "chunk_id").join(asked, "query_id").withColumn("score", dot(F.col("_v"), F.col("_q"))).drop("_v", "_q")
+
+
 def rerank(rows: DataFrame, score: Column, k: int, query: str = "query_id", before: str = "rank") -> DataFrame:
     """By score, equal ones as they stood; rows that have no score stay as they stood, after the others."""
     rows = rows.withColumn("pair_score", F.round(score, 6)).withColumnRenamed(before, "_before")
@@ -125,11 +140,13 @@ def pieces(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
 
 
-def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), filters: SearchFilter | None = None, earlier_first: bool = False, prefilter: bool = False) -> DataFrame:
+def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), filters: SearchFilter | None = None, earlier_first: bool = False, prefilter: bool = False, embed: Embedder | None = None, score: PairScorer | None = None) -> DataFrame:
     """query_id, chunk_id, doc, rank, pair_score: the chunks that answer each question.
 
     docs: doc, type, create_date. chunks: chunk_id, doc, content. queries: query_id, text. The filter comes after the lexical
-    top-k, so it can leave nothing; prefilter=True puts it before. The order by date only changes how ties stand.
+    top-k, so it can leave nothing; prefilter=True puts it before. The order by date only changes how ties stand. With an
+    embedder the second stage goes by vectors in place of shared words, and with a scorer its best chunks are ranked by that;
+    a pair that the scorer gives null stands after the others, and all stand as they stood if it gives null to all.
     """
     first = bm25(index, queries, settings.initial_documents_k if not prefilter else 1 << 30, settings.k1, settings.b)
     kept = first.join(docs, "doc").where(filters.column() if filters else F.lit(True))
@@ -139,7 +156,10 @@ def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataF
     order = by_date(kept) if earlier_first else [F.col("rank").asc()]
     kept = kept.withColumn("doc_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     found = kept.select("query_id", "doc", "doc_rank").join(chunks.select("chunk_id", "doc"), "doc")
-    scored = overlaps(found, chunks, queries)
+    scored = overlaps(found, chunks, queries) if embed is None else nearness(found, chunks, queries, embed)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_rank", "chunk_id"))
     near = scored.withColumn("rank", rank).where(F.col("rank") <= settings.initial_chunks_k)
+    if score is not None:
+        near = near.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
+        near = near.withColumn("score", score(F.col("text"), F.col("content"))).drop("content", "text")
     return rerank(near, F.col("score"), settings.final_chunks_k).select("query_id", "chunk_id", "doc", "rank", "pair_score")

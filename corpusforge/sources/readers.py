@@ -89,7 +89,7 @@ def training_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataF
     if lines:
         found = text.select(F.from_json("value", pair).alias("p"))
     else:
-        found = text.select(F.explode(F.coalesce(F.from_json("value", f"array<{pair}>"), F.from_json(F.get_json_object("value", "$.pairs"), f"array<{pair}>"))).alias("p"))
+        found = text.select(F.explode(F.coalesce(F.from_json(F.get_json_object("value", "$.pairs"), f"array<{pair}>"), F.from_json("value", f"array<{pair}>"))).alias("p"))
     lacks = F.when(F.col("p.query").isNull() | F.col("p.chunk").isNull(), F.raise_error(F.lit("a training pair lacks its query or its chunk")))
     return found.select(F.coalesce(lacks.cast("string"), F.col("p.query")).alias("query"), F.col("p.chunk").alias("chunk"))
 

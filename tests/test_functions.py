@@ -305,6 +305,40 @@ def test_find_filters_after_the_top(spark, sf_dir):
     assert qa.invariants(standard, found, plain).count() == 0
 
 
+def test_search_takes_tokenizer_embedder_and_scorer(spark):
+    """By hand: vectors choose other chunks than shared words, a scorer ranks those, and pairs without a score come last."""
+    from corpusforge.plans import index
+
+    docs = spark.createDataFrame([(1, "ab-cd ab", "t"), (2, "ab xx", "t"), (3, "zz", "t")], "doc_id long, content string, type string").withColumn("create_date", F.lit(None).cast("timestamp"))
+    letters = lambda c: F.split(F.regexp_replace(c, "[^a-z]", ""), "")
+    made = index.build(docs, tokenize=letters)
+    assert {r["term"] for r in made.terms.collect()} == set("abcdxz")
+    questions = spark.createDataFrame([(7, "ab")], "query_id long, text string")
+    top = search.bm25(made, questions, 10).collect()
+    assert [(r["doc"], r["rank"]) for r in top] == [(1, 1), (2, 2)]
+    plain, chunks = docs.withColumnRenamed("doc_id", "doc").select("doc", "type", "create_date"), docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("doc"), "content")
+    run = lambda **more: [r["chunk_id"] for r in search.find(made, plain, chunks, questions, **more).orderBy("rank").collect()]
+    by_x = lambda c: F.when(F.contains(c, F.lit("x")) | (c == "ab"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    assert run() == [1, 2]
+    assert run(embed=by_x) == [2, 1]
+    assert run(embed=by_x, score=lambda q, c: F.length(c).cast("double")) == [1, 2]
+    assert run(embed=by_x, score=lambda q, c: F.when(F.contains(c, F.lit("-")), F.lit(0.0))) == [1, 2]
+    assert run(embed=by_x, score=lambda q, c: F.lit(None).cast("double")) == [2, 1]
+    answer = qa.answer_standard(made, plain, chunks, questions, embed=by_x).first()
+    assert answer["chunk_ids"] == [2, 1]
+    rounds = qa.answer_adaptive(made, plain, chunks, questions, Settings(max_rounds=1)).first()
+    assert rounds["status"] == "READY" and rounds["subqueries"] == ["ab"] and rounds["rounds"] == 1
+
+
+def test_training_pairs_lack_nothing(spark, tmp_path):
+    at = tmp_path / "pairs.json"
+    at.write_text('{"pairs": [{"query": "q", "chunk": "c"}]}')
+    assert readers.training_pairs(spark, str(at)).collect() == [("q", "c")]
+    at.write_text('[{"query": "q", "chunk": "c"}, {"query": "q"}]')
+    with pytest.raises(Exception, match="lacks its query or its chunk"):
+        readers.training_pairs(spark, str(at)).collect()
+
+
 def test_plan_prunes_and_pushes(spark, sf_dir):
     plan = filters.apply(documents(spark, sf_dir), filters.SearchFilter(types=("PDF",))).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[1]
