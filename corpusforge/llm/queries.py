@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, quality, secrets, suffix_dedup, topk
+from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, quality, secrets, simhash, suffix_dedup, topk
 from corpusforge.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir), passage=suffix_dedup.PASSAGE)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_graph": op1_ann_graph,
     "op2_quality": op2_quality,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_simhash": op11_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
