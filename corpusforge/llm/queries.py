@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, quality, secrets, simhash, suffix_dedup, topk
+from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, phrases, quality, secrets, simhash, suffix_dedup, topk
 from corpusforge.llm.common import documents
 
 
@@ -62,6 +62,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near(documents(spark, sf_dir))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_graph": op1_ann_graph,
     "op2_quality": op2_quality,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_simhash": op11_simhash,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +93,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 20""",
+    "op12_phrases": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        words AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+        grams AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+            FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+        total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        own AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 10),
+        cuts AS (
+            SELECT lang, phrase, a, c, array_to_string(list_slice(w, 1, c), ' ') AS x, array_to_string(list_slice(w, c + 1, len(w)), ' ') AS y
+            FROM own, (SELECT unnest([1, 2]) AS c) WHERE c < len(w)),
+        scored AS (
+            SELECT cuts.*, p.n AS l, q.n AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(p.n AS HUGEINT) * q.n) AS BIGINT) AS score
+            FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = x JOIN f q ON q.lang = cuts.lang AND q.phrase = y),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        inner_ AS (
+            SELECT lang, short, max(a) AS most
+            FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS short FROM own WHERE len(w) = 3) GROUP BY ALL),
+        kept AS (
+            SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.short = b.phrase
+            WHERE most IS NULL OR 100 * most < 50 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
