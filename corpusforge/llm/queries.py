@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, phrases, quality, secrets, simhash, suffix_dedup, topk
+from corpusforge.llm import ann, bpe, crosstok, html_text, language, ngram_join, packing, phrases, quality, secrets, simhash, suffix_dedup, topk
 from corpusforge.llm.common import documents
 
 
@@ -66,6 +66,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_graph": op1_ann_graph,
     "op2_quality": op2_quality,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_simhash": op11_simhash,
     "op12_phrases": op12_phrases,
+    "op13_crosstok": op13_crosstok,
 }
 
 ORACLE_SQL: dict[str, str] = {

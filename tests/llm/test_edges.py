@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusforge.llm import ann, bpe, html_text, language, ngram_join, packing, quality, secrets, simhash, suffix_dedup, topk
+from corpusforge.llm import ann, bpe, crosstok, html_text, language, ngram_join, packing, quality, secrets, simhash, suffix_dedup, topk
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,9 +27,10 @@ ON_TEXTS = {
     9: lambda df: language.identify(df, MODEL),
     10: lambda df: suffix_dedup.dedup(df, passage=suffix_dedup.PASSAGE),
     11: simhash.near,
+    13: lambda df: crosstok.align(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
 }
 #: Names that the operators use themselves.
-CLASHING = ["id", "n", "cid", "map", "key", "spans", "copied", "gram", "block", "part", "curve", "ids", "part_md5", "host", "path", "p", "site", "score", "fp", "mask", "value", "least", "label", "fingerprint", "n_shingles", "component_id", "bucket", "kept_0", "lang_pred", "h"]
+CLASHING = ["id", "n", "cid", "map", "key", "spans", "copied", "gram", "block", "part", "curve", "ids", "part_md5", "host", "path", "p", "site", "score", "slice", "kind", "place", "blob", "pair", "docs", "most", "salt", "fp", "mask", "value", "least", "label", "fingerprint", "n_shingles", "component_id", "bucket", "kept_0", "lang_pred", "h"]
 
 
 def plain(rows):
