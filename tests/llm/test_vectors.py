@@ -1,6 +1,7 @@
 """Searches against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -70,13 +71,17 @@ def test_graph_recall(spark):
     assert hits / total >= 0.9
 
 
-def test_graph_recall_of_full_shards(spark):
-    """With the default parameters, over several full shards."""
-    path = "/root/testdata/check_l/embeddings.parquet"
-    table = pq.read_table(path).sort_by("vec_id")
-    x, ids = np.array(table["embedding"].to_pylist(), np.float64), table["vec_id"].to_numpy()
-    assert len(ids) >= 4 * ann.SHARD
-    got = ann.search(spark.read.parquet(path)).toPandas()
+def test_graph_recall_of_full_shards(spark, tmp_path):
+    """With the default parameters, over several full shards of clustered vectors, some of them equal."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (300, 32))
+    x = centres[rng.integers(0, 300, 4 * ann.SHARD + 300)] + rng.normal(0, 0.35, (4 * ann.SHARD + 300, 32))
+    x[rng.integers(0, len(x), 50)] = x[200]
+    x, ids = x.astype(np.float32).astype(np.float64), np.arange(len(x))
+    flat = pa.array(x.astype(np.float32).ravel())
+    table = pa.table({"vec_id": pa.array(ids), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 32, dtype=np.int32)), flat)})
+    pq.write_table(table, tmp_path / "embeddings.parquet", row_group_size=2000)
+    got = ann.search(spark.read.parquet(f"file://{tmp_path}/embeddings.parquet")).toPandas()
     hits = total = 0
     queries = np.flatnonzero(ids % 100 == 0)
     for at in range(0, len(queries), 64):
