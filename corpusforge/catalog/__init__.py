@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from corpusforge.catalog import corpus, dialogue, files, metadata, retrieval, text, web  # noqa: F401
+    from corpusforge.catalog import corpus, dialogue, files, growing, metadata, retrieval, text, web  # noqa: F401
