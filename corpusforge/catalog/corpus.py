@@ -226,24 +226,6 @@ def stream_ingest_documents(spark, d):
     return spark.read.schema("doc_id bigint, size bigint").parquet(f"{at}/out")
 
 
-@query("stream_steps_cumulative", "SELECT conv_id AS query_id, count(*) AS steps, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
-def stream_steps_cumulative(spark, d):
-    at = _folder(spark, "steps")
-    schema = table(spark, d, "conversations").schema
-    stream = streams.read_files(spark, d, schema.simpleString()[7:-1].replace(":", " "), glob="conversations.parquet")
-    steps = streams.cumulative_steps(stream.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("step"), F.col("role").alias("label")))
-    rows = streams.run_to_memory(steps, "steps_" + at[-8:], "complete", f"{at}/state")
-    return rows.select("query_id", F.size("steps").cast("long").alias("steps"), F.array_join(F.transform("steps", lambda s: s["label"]), ",").alias("roles"))
-
-
-@query("stream_event_windows", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_event_windows(spark, d):
-    at = _folder(spark, "windows")
-    stream = streams.read_files(spark, d, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string", glob="events.parquet")
-    rows = streams.run_to_memory(streams.event_windows(stream), "windows_" + at[-8:], "complete", f"{at}/state")
-    return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-
-
 @query("history_append", "WITH " + HISTORY_SQL + " SELECT timestamp, conv_id, turn, role, text FROM history")
 def history_append(spark, d):
     """All turns, whole."""
