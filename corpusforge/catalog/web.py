@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.catalog import query
 from corpusforge.functions import pages as P
+from corpusforge.functions import portal as R
 from corpusforge.functions import urls as U
 from corpusforge.sources.tables import table
 
@@ -160,11 +161,6 @@ def page_document_rows(spark, d):
     return rows.select(F.col("url").cast("long").alias("page_id"), "number", "name")
 
 
-@query("result_pages", "SELECT page_id, CAST(page_id + 2 AS INTEGER) AS pages FROM pages")
-def result_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", P.result_pages(F.concat(F.lit('<a href="?page=2">2</a><a href="?page='), F.col("page_id") + 2, F.lit('">last</a>'))).alias("pages"))
-
-
 @query("decision_links", """WITH r AS (SELECT page_id, unnest([1, 2]) AS k FROM pages) SELECT page_id, CASE k WHEN 1 THEN page_id || '-inv' ELSE page_id || '-brief' END AS document_id, CASE k WHEN 1 THEN 'inventarislijst_' || page_id || '.xlsx' ELSE 'besluitbrief_' || page_id || '.pdf' END AS document_name, CASE k WHEN 1 THEN 'https://a.org/inv/' || page_id ELSE 'https://a.org/b/' || page_id END AS document_url, CASE k WHEN 1 THEN 'INV' ELSE 'BRIEF' END AS inventory_number FROM r WHERE (k = 1 AND page_id % 3 <> 0) OR (k = 2 AND page_id % 2 = 0)""")
 def decision_links(spark, d):
     i = F.col("page_id")
@@ -172,3 +168,78 @@ def decision_links(spark, d):
     letter = F.when(i % 2 == 0, F.concat(F.lit('<a href="/b/'), i, F.lit('" data-e2e-name="main-document-detail-link">y</a>'))).otherwise("")
     rows = table(spark, d, "pages").select("page_id", F.explode(P.decision_links(F.concat(letter, inventory), F.lit("https://a.org/z"), i.cast("string"))).alias("r"))
     return rows.select("page_id", "r.document_id", "r.document_name", "r.document_url", "r.inventory_number")
+
+
+_SEARCH = """s AS (SELECT page_id, '<ul><li class="woo-search-result" data-e2e-name="search-result"><a data-e2e-name="main-link" href="/besluit/b' || page_id || '"> Besluit <b>over</b> ' || page_id
+    || '</a><ul><li data-e2e-name="nr-of-documents">' || CASE page_id % 3 WHEN 0 THEN page_id || ' documenten' WHEN 1 THEN 'geen' ELSE '' END || '</li></ul></li>'
+    || '<li class="woo-search-result" data-e2e-name="search-result"><a data-e2e-name="main-link" href="/besluit/none">without documents</a></li>'
+    || '<li class="other" data-e2e-name="search-result"><a data-e2e-name="main-link" href="/x">x</a><i data-e2e-name="nr-of-documents">3</i></li></ul>'
+    || '<a href="?page=99">99</a><a data-e2e-name="page-number-2" href="?page=2">2</a><span data-e2e-name="page-number-77">77</span>'
+    || CASE WHEN page_id % 2 = 0 THEN '<a class="p" data-e2e-name="page-number-' || (page_id % 40 + 3) || '" href="?page=5">last</a>' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '' ELSE '<p>' || url || '</p>' END AS html FROM pages)"""
+
+
+def _search(spark, d):
+    """Pages of results: a hit, hits that aren't any, page links with marks, and addresses and elements that only look like them."""
+    i = F.col("page_id")
+    count = F.when(i % 3 == 0, F.concat(i, F.lit(" documenten"))).when(i % 3 == 1, "geen").otherwise("")
+    last = F.when(i % 2 == 0, F.concat(F.lit('<a class="p" data-e2e-name="page-number-'), i % 40 + 3, F.lit('" href="?page=5">last</a>'))).otherwise("")
+    html = F.concat(
+        F.lit('<ul><li class="woo-search-result" data-e2e-name="search-result"><a data-e2e-name="main-link" href="/besluit/b'), i, F.lit('"> Besluit <b>over</b> '), i,
+        F.lit('</a><ul><li data-e2e-name="nr-of-documents">'), count, F.lit("</li></ul></li>"),
+        F.lit('<li class="woo-search-result" data-e2e-name="search-result"><a data-e2e-name="main-link" href="/besluit/none">without documents</a></li>'),
+        F.lit('<li class="other" data-e2e-name="search-result"><a data-e2e-name="main-link" href="/x">x</a><i data-e2e-name="nr-of-documents">3</i></li></ul>'),
+        F.lit('<a href="?page=99">99</a><a data-e2e-name="page-number-2" href="?page=2">2</a><span data-e2e-name="page-number-77">77</span>'), last, F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("<p>"), "url", F.lit("</p>"))),
+    )
+    return table(spark, d, "pages").select("page_id", html.alias("html"))
+
+
+@query("result_pages", f"""WITH {_SEARCH} SELECT page_id, CAST(list_max(list_transform(regexp_extract_all(html, '<a [^>]*data-e2e-name="page-number-([0-9]+)"', 1), lambda x: CAST(x AS INTEGER))) AS INTEGER) AS pages FROM s UNION ALL SELECT page_id, 1 FROM pages""")
+def result_pages(spark, d):
+    """Of pages of results, and of pages without a mark."""
+    marked = _search(spark, d).select("page_id", R.result_pages(F.col("html")).alias("pages"))
+    return marked.union(table(spark, d, "pages").select("page_id", R.result_pages(F.col("html"))))
+
+
+@query("result_hits", r"SELECT page_id, 'b' || page_id AS id, 'Besluitover' || page_id AS title, 'https://a.org/besluit/b' || page_id AS url, CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS INTEGER) ELSE 0 END AS documents FROM pages")
+def result_hits(spark, d):
+    rows = _search(spark, d).select("page_id", F.explode(R.hits(F.col("html"), F.lit("https://a.org/zoek"))).alias("h"))
+    return rows.select("page_id", "h.id", "h.title", "h.url", "h.documents")
+
+
+def _section_page(i, first, n, links=True):
+    """A table of documents numbered first to first + n - 1, after a header row, a short row and one without a link."""
+    number = lambda k: F.concat(k.cast("string"))
+    row = lambda k: F.concat(F.lit('<tr><td> '), number(k), F.lit('</td><td><svg><use xlink:href="/i.svg#'), F.when(k % 2 == 0, "pdf").otherwise("email"), F.lit('"/></svg></td><td><a class="woo-a" href="/dossier/'), i, F.lit("/"), number(k), F.lit('">Doc '), number(k), F.lit("</a></td>"), F.when(k % 3 == 0, F.lit('<td><time datetime="2020-01-02">2 januari</time></td>')).otherwise(""), F.lit("</tr>"))
+    rows = F.array_join(F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), row), "")
+    return F.concat(F.lit('<table class="woo-table"><tr><th>Nr</th><th></th><th>Naam</th></tr><tr><td>x</td><td>short</td></tr><tr><td>9</td><td></td><td><a href="/no">no class</a></td></tr>'), rows, F.lit("</table>"))
+
+
+_FACTS_TABLE = '<h2 class="woo-h2">Over dit besluit</h2><table class="woo-table"><tr><th>Soort besluit</th><td> Woo-verzoek</td></tr><tr><th>Datum besluit</th><td><time datetime="2021-03-04">4 maart</time></td></tr><tr><th>Onderwerp</th><td><a>Een</a>, <a> Twee</a></td></tr><tr><th>Omvang openbaarmaking</th><td><span data-e2e-name="dossier-document-count">%s documenten</span>, 12 pagina\'s</td></tr><tr><th>Anders</th><td>x</td><td>y</td><td><a class="woo-a" href="/f">f</a></td></tr></table>'
+
+
+def _facts_table(i):
+    before, after = _FACTS_TABLE.split("%s")
+    return F.concat(F.lit(before), i, F.lit(after))
+
+
+def _decisions(spark, d):
+    """Every page as a decision: with two sections, the first over three pages; every fourth without headings of sections."""
+    i = F.col("page_id")
+    plain = F.concat(_facts_table(i), F.lit("<h2>Documenten</h2>"), _section_page(i, 1, 3))
+    whole = F.concat(_facts_table(i), F.lit("<h2>(Deels) openbaar gemaakt (7)</h2><p>"), F.lit("</p>"), _section_page(i, 1, 3), F.lit("<h2>Reeds openbaar</h2>"), _section_page(i, 50, 2), F.lit("<h2>Anders</h2>"), _section_page(i, 90, 2))
+    page = lambda n, status, html: F.struct(F.lit(n).alias("page"), F.lit(status).cast("string").alias("status"), html.alias("html"))
+    more = F.array(page(1, None, whole), page(3, "deels_openbaar", _section_page(i, 7, 1)), page(2, "deels_openbaar", F.concat(_section_page(i, 4, 3), _section_page(i, 70, 1))))
+    rows = table(spark, d, "pages").select("page_id", F.explode(F.when(i % 4 == 0, F.array(page(1, None, plain))).otherwise(more)).alias("p"))
+    return rows.select(i.alias("decision"), "p.page", "p.status", "p.html", F.lit("https://a.org/x").alias("url"))
+
+
+@query("section_documents", """WITH r AS (SELECT page_id, 'deels_openbaar' AS status, unnest(range(1, CASE WHEN page_id % 4 = 0 THEN 4 ELSE 8 END)) AS k, 0 AS base FROM pages UNION ALL SELECT page_id, 'reeds_openbaar', unnest([50, 51]), 49 FROM pages WHERE page_id % 4 <> 0)
+SELECT page_id AS decision, status, CAST(k - base AS BIGINT) AS place, CAST(k AS VARCHAR) AS number, 'Doc ' || k AS name, 'https://a.org/dossier/' || page_id || '/' || k AS link, CASE WHEN k % 3 = 0 THEN '2020-01-02' END AS date, CASE WHEN k % 2 = 0 THEN 'pdf' ELSE 'email' END AS type FROM r""")
+def section_documents(spark, d):
+    return R.section_rows(_decisions(spark, d))
+
+
+@query("decision_facts", "SELECT page_id AS decision, 'Woo-verzoek' AS kind, '2021-03-04' AS date, ['Een', 'Twee'] AS subjects, CAST(page_id AS INTEGER) AS documents, 12 AS pages, NULL AS period FROM pages")
+def decision_facts(spark, d):
+    rows = _decisions(spark, d).where("page = 1").select("decision", R.decision_facts(F.col("html")).alias("f"))
+    return rows.select("decision", "f.kind", "f.date", "f.subjects", "f.documents", "f.pages", "f.period")

@@ -233,12 +233,6 @@ def key_values(rows: DataFrame, key: str, name: Column, value: Column) -> DataFr
     return rows.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(name.alias("k"), value.alias("v"))))).alias("meta"))
 
 
-def result_pages(html: Column) -> Column:
-    """The number of result pages: the largest number that a page link ends with."""
-    numbers = F.regexp_extract_all(html, F.lit(r"[?&]page=(\d+)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(numbers, lambda x: x.cast("int"))), F.lit(1))
-
-
 def failures_by_host(links: DataFrame, url: str = "url") -> DataFrame:
     return links.groupBy(host(F.col(url)).alias("host")).agg(F.count("*").alias("failures"))
 
