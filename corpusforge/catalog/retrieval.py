@@ -178,6 +178,60 @@ def long_text_score(spark, d):
     return best.join(mean, "id").select(F.col("id").alias("doc_id"), "best", "mean")
 
 
+_LETTERS = "[a-z]{2,6}"
+_WINDOWS = f"""WITH {_INDEX}, t AS (SELECT query_id, doc FROM ranked WHERE rank <= 5),
+p AS (SELECT query_id, doc, regexp_extract_all(lower(b.text), '{_LETTERS}', 0) AS q, regexp_extract_all(lower(d.text), '{_LETTERS}', 0) AS c FROM t JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = doc),
+z AS (SELECT *, greatest(125 - len(q), 1) AS size FROM p),
+w AS (SELECT query_id, doc, q, pos, list_distinct(list_slice(c, pos * size + 1, pos * size + size)) AS w FROM (SELECT *, unnest(range(0, greatest(CAST(ceil(len(c) / size) AS BIGINT), 1))) AS pos FROM z)),
+s AS (SELECT query_id, doc, pos, CASE WHEN len(q) = 0 THEN 0 ELSE list_sum(list_transform(q, lambda a: coalesce(list_max(list_transform(w, lambda b: 1 - levenshtein(a, b) / greatest(length(a), length(b), 1))), 0))) / len(q) END AS score FROM w)
+SELECT query_id, doc, round(max(score), 6) AS best, round(avg(score), 6) AS mean, round(arg_min(score, pos), 6) AS first FROM s GROUP BY query_id, doc"""
+
+
+@query("pair_window_scores", _WINDOWS)
+def pair_window_scores(spark, d):
+    """The first five documents of each question, whole, in windows of what 128 tokens leave beside the question."""
+    tokenize = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_LETTERS), F.lit(0))
+    top = search.bm25(_index(spark, d), _questions(spark, d), 5).select("query_id", "doc")
+    pairs = top.join(_questions(spark, d), "query_id").join(documents(spark, d).select(F.col("doc_id").alias("doc"), "content"), "doc")
+    rows = search.pair_windows(pairs.withColumnRenamed("doc", "id"), 128, tokenize)
+    rows = rows.withColumn("score", search.best_matches(F.col("q"), F.col("w"))).groupBy("query_id", F.col("id").alias("doc"))
+    return rows.agg(F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min_by("score", "pos"), 6).alias("first"))
+
+
+def _subwords():
+    import public_tokenizers
+
+    from corpusforge.functions.subwords import Subwords
+
+    return Subwords.read(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("subword_tokens")
+def subword_tokens(spark, d):
+    """Ids of all texts by longest match in a public vocabulary; tests hold them against a plain longest match."""
+    made = documents(spark, d).select("doc_id", _subwords().ids(F.col("content")).alias("ids"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
+
+
+@query("bm25_topk_subwords")
+def bm25_topk_subwords(spark, d):
+    """The search over an index of subwords."""
+    vocabulary = _subwords()
+    at = _once(spark, ("index", "subwords", d), lambda at: index.build_stored(documents(spark, d), at, tokenize=vocabulary.tokens))
+    made = index.LexicalIndex(**index.load(spark, at), tokenize=vocabulary.tokens)
+    return search.bm25(made, _questions(spark, d), 10).select("query_id", "doc", "score", "rank")
+
+
+@query("context_budget_subwords")
+def context_budget_subwords(spark, d):
+    """What 5000 subwords hold of each source's documents, in order of their ids."""
+    from corpusforge.operators import context
+
+    docs = documents(spark, d)
+    rows = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"), _subwords().count(F.col("content")).alias("tokens"))
+    return context.admit(rows, 5000).select("query_id", "chunk_id", F.col("running").cast("long").alias("running"))
+
+
 def _chunks(spark, d):
     def make(at):
         docs = documents(spark, d)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.config import Settings
 from corpusforge.operators.filters import SearchFilter, by_date
-from corpusforge.plans.index import LexicalIndex, tokens
+from corpusforge.plans.index import LexicalIndex, Tokenizer, tokens
 
 
 #: A text's unit vector, and the score of a question with a text: column expressions, or functions on Arrow batches around a model.
@@ -140,6 +140,40 @@ def pieces(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
 
 
+#: Tokens of a pair that a scorer adds itself.
+SPECIAL = 3
+
+
+def pair_windows(pairs: DataFrame, limit: int, tokenize: Tokenizer = tokens) -> DataFrame:
+    """query_id, id, pos, q, w: the tokens of a question and of each window of its text. A window and the question together have
+    `limit` tokens at most, with SPECIAL ones between them; a question as long as that leaves windows of one token. A text that
+    fits, or has no tokens, is one window. pairs: query_id, id, text (the question), content."""
+    made = pairs.select("query_id", "id", tokenize(F.col("text")).alias("q"), tokenize(F.col("content")).alias("c"))
+    size = F.greatest(F.lit(limit - SPECIAL) - F.size("q"), F.lit(1))
+    n = F.greatest(F.ceil(F.size("c") / size).cast("int"), F.lit(1))
+    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("c", i * size + 1, size))
+    return made.select("query_id", "id", "q", F.posexplode(windows).alias("pos", "w"))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """1 for equal tokens, less by each edit that parts them."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def best_matches(q: Column, w: Column, like: PairScorer = likeness) -> Column:
+    """The mean, over the tokens of the question, of the best likeness that a token of the window has; 0 without tokens. Each
+    different token of the window is compared once."""
+    each = F.array_distinct(w)
+    best = F.transform(q, lambda a: F.coalesce(F.array_max(F.transform(each, lambda b: like(a, b))), F.lit(0.0)))
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(q))
+
+
+def pair_scores(pairs: DataFrame, limit: int, how: str = "max", tokenize: Tokenizer = tokens, like: PairScorer = likeness) -> DataFrame:
+    """query_id, id, score: of each question and text, token by token in windows, combined by max, mean or first."""
+    windows = pair_windows(pairs, limit, tokenize).withColumn("score", best_matches(F.col("q"), F.col("w"), like))
+    return window_scores(windows.select("query_id", "id", "pos", "score"), "score", how)
+
+
 def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), filters: SearchFilter | None = None, earlier_first: bool = False, prefilter: bool = False, embed: Embedder | None = None, score: PairScorer | None = None) -> DataFrame:
     """query_id, chunk_id, doc, rank, pair_score: the chunks that answer each question.
 
