@@ -146,10 +146,10 @@ def citations_chunk_order(spark, d):
     return _cited(spark, d).select("conv_id", "turn", cited_ids(F.col("t"), ids).alias("ids"))
 
 
-@query("citation_documents", f"WITH {_CITED}, u AS (SELECT conv_id, turn, unnest(numbers) AS x FROM n) SELECT conv_id, turn, x AS chunk_id, coalesce('doc-' || d.doc_id, 'missing_document') AS doc_uuid FROM u LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id < 100) d ON d.doc_id = x")
+@query("citation_documents", f"WITH {_CITED}, u AS (SELECT conv_id, turn, unnest(numbers) AS x FROM n) SELECT conv_id, turn, x AS chunk_id, coalesce('doc-' || d.doc_id, 'missing_document') AS doc_uuid FROM u LEFT JOIN documents d ON d.doc_id = x")
 def citation_documents(spark, d):
     cited = _cited(spark, d).select("conv_id", "turn", F.explode(citation_numbers(F.col("t"))).alias("chunk_id"))
-    chunks = documents(spark, d).where("doc_id < 100").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc-"), "doc_id").alias("doc_uuid"))
+    chunks = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc-"), "doc_id").alias("doc_uuid"))
     return lookup.cited_documents(cited, chunks).select("conv_id", "turn", "chunk_id", "doc_uuid")
 
 

@@ -165,7 +165,7 @@ def vector_adjacent_similarity(spark, d):
 @query("rerank_overlap", f"WITH {_INDEX}, t AS (SELECT query_id, doc, rank FROM ranked WHERE rank <= 20), w AS (SELECT t.*, list_distinct({_T.format('b.text')}) AS qw, {_T.format('d.text')} AS dw FROM t JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = doc), s AS (SELECT query_id, doc, rank, round(len(list_intersect(qw, dw)) / len(qw), 6) AS pair_score FROM w) SELECT query_id, doc, pair_score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, rank) AS r FROM s) WHERE r <= 5")
 def rerank_overlap(spark, d):
     top = search.bm25(_index(spark, d), _questions(spark, d), 20).select("query_id", "doc", "rank")
-    rows = top.join(_questions(spark, d), "query_id").join(documents(spark, d).select(F.col("doc_id").alias("doc"), "content"), "doc")
+    rows = search.few(top.join(_questions(spark, d), "query_id"), 20 * _questions(spark, d).count()).join(documents(spark, d).select(F.col("doc_id").alias("doc"), "content"), "doc")
     return search.rerank(rows, search.overlap(F.col("text"), F.col("content")), 5).select("query_id", "doc", "pair_score", "rank")
 
 
@@ -236,7 +236,7 @@ def _chunks(spark, d):
     def make(at):
         docs = documents(spark, d)
         made = chunking.chunks(docs, chunking.naive(F.col("content")))
-        made.join(docs.select(F.col("uuid").alias("doc_uuid"), F.col("doc_id").alias("doc")), "doc_uuid").select("chunk_id", "doc", "doc_uuid", "content").write.parquet(at)
+        made.join(docs.select(F.col("uuid").alias("doc_uuid"), F.col("doc_id").alias("doc")), "doc_uuid").select("chunk_id", "doc", "doc_uuid", "content", F.array_distinct(index.tokens(F.col("content"))).alias("words")).write.parquet(at)
 
     return spark.read.parquet(_once(spark, ("chunks", d), make))
 
@@ -311,10 +311,15 @@ _HITS = f"WITH {_INDEX}, {_REL}"
 _KINDS = "CASE query_id % 3 WHEN 0 THEN 'specific' WHEN 1 THEN 'document' ELSE 'multi_document' END"
 
 
+def _words(spark, d, key):
+    """The words of each document, from the index."""
+    return _index(spark, d).postings.select(F.col("doc").alias(key), F.col("term").alias("word"))
+
+
 def _relevant(spark, d):
     """Pairs of a question and a document that holds it."""
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "content")
-    return training.containing(_questions(spark, d).withColumnRenamed("text", "part"), docs, "query_id", "id")
+    return training.containing(_questions(spark, d).withColumnRenamed("text", "part"), docs, "query_id", "id", _words(spark, d, "id"))
 
 
 def _hits(spark, d):
@@ -370,7 +375,7 @@ def training_pairs(spark, d):
 def hard_negatives_contains(spark, d):
     asked = _questions(spark, d).select("query_id", F.col("query_id").alias("anchor_doc"), F.col("text").alias("content"))
     chunks = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("doc"), "content")
-    return training.negatives_contained(asked, chunks)
+    return training.negatives_contained(asked, chunks, _words(spark, d, "chunk_id"))
 
 
 @query("hard_negatives_exact", "SELECT a.doc_id AS query_id, min(b.text) AS negative FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id GROUP BY 1")

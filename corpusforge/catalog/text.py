@@ -89,7 +89,9 @@ def clean_email_typed(spark, d):
 
 @query("clean_brackets")
 def clean_brackets(spark, d):
-    return _made(spark, d).select("doc_id", C.single_brackets(F.col("t")).alias("text"))
+    """Whole texts, and the made ones."""
+    rows = _made(spark, d).join(documents(spark, d).select("doc_id", "content"), "doc_id")
+    return rows.select("doc_id", C.single_brackets(F.col("content")).alias("text"), C.single_brackets(F.col("t")).alias("made"))
 
 
 @query("clean_full")

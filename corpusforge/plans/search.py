@@ -101,15 +101,29 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_intersect(words, tokens(text))) / F.size(words))
 
 
-def overlaps(found: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds score: overlap() of each question and chunk that were found (query_id, doc, chunk_id), by their words: a question's
-    words meet those of the chunks of its documents, and no text goes through the joins."""
-    words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("words"))
-    words = words.select("query_id", F.size("words").alias("of"), F.explode("words").alias("word"))
-    held = chunks.select("chunk_id", "doc", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
-    asked = found.select("query_id", "doc").distinct().join(words, "query_id")
-    hits = held.join(asked, ["doc", "word"]).groupBy("query_id", "chunk_id").agg((F.count("*") / F.first("of")).alias("score"))
-    return found.join(hits, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+#: Rows of ids that a search sends to all tasks at most; how many questions and rows a question has is known before.
+FEW = 1 << 18
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of `rows` rows at most, to be joined: sent to all tasks if these are few, dealt by key like the other side if not."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def words_of(chunks: DataFrame) -> Column:
+    """The distinct words of each chunk: stored ones, or those of its content."""
+    return F.col("words") if "words" in chunks.columns else F.array_distinct(tokens(F.col("content")))
+
+
+def overlaps(kept: DataFrame, chunks: DataFrame, queries: DataFrame, asked: int, each: int) -> DataFrame:
+    """query_id, doc, doc_rank, chunk_id, score: overlap() of each question with the chunks of its documents (kept: query_id, doc,
+    doc_rank; `each` of a question at most, `asked` questions). Of a chunk only its words are read, and only those of documents
+    that were found; for a small batch of questions they aren't shuffled."""
+    held = few(kept, asked * each).join(chunks.select("chunk_id", "doc", words_of(chunks).alias("_held")), "doc")
+    words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_words"))
+    shared = F.size(F.array_intersect("_words", "_held")) / F.size("_words")
+    rows = held.join(few(words, asked * 64), "query_id")
+    return rows.withColumn("score", F.when(F.size("_words") == 0, 0.0).otherwise(shared)).drop("_held", "_words")
 
 
 def nearness(found: DataFrame, chunks: DataFrame, queries: DataFrame, embed: Embedder) -> DataFrame:
@@ -177,7 +191,8 @@ def pair_scores(pairs: DataFrame, limit: int, how: str = "max", tokenize: Tokeni
 def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), filters: SearchFilter | None = None, earlier_first: bool = False, prefilter: bool = False, embed: Embedder | None = None, score: PairScorer | None = None) -> DataFrame:
     """query_id, chunk_id, doc, rank, pair_score: the chunks that answer each question.
 
-    docs: doc, type, create_date. chunks: chunk_id, doc, content. queries: query_id, text. The filter comes after the lexical
+    docs: doc, type, create_date. chunks: chunk_id, doc, content, and words (their distinct words) where these are stored. queries:
+    query_id, text. The filter comes after the lexical
     top-k, so it can leave nothing; prefilter=True puts it before. The order by date only changes how ties stand. With an
     embedder the second stage goes by vectors in place of shared words, and with a scorer its best chunks are ranked by that;
     a pair that the scorer gives null stands after the others, and all stand as they stood if it gives null to all.
@@ -189,11 +204,14 @@ def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataF
         kept = kept.withColumn("place", place).where(F.col("place") <= settings.initial_documents_k).drop("place")
     order = by_date(kept) if earlier_first else [F.col("rank").asc()]
     kept = kept.withColumn("doc_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    found = kept.select("query_id", "doc", "doc_rank").join(chunks.select("chunk_id", "doc"), "doc")
-    scored = overlaps(found, chunks, queries) if embed is None else nearness(found, chunks, queries, embed)
+    kept, asked = kept.select("query_id", "doc", "doc_rank"), queries.count()
+    if embed is None:
+        scored = overlaps(kept, chunks, queries, asked, settings.initial_documents_k)
+    else:
+        scored = nearness(few(kept, asked * settings.initial_documents_k).join(chunks.select("chunk_id", "doc"), "doc"), chunks, queries, embed)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_rank", "chunk_id"))
     near = scored.withColumn("rank", rank).where(F.col("rank") <= settings.initial_chunks_k)
     if score is not None:
-        near = near.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
+        near = few(near, asked * settings.initial_chunks_k).join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
         near = near.withColumn("score", score(F.col("text"), F.col("content"))).drop("content", "text")
     return rerank(near, F.col("score"), settings.final_chunks_k).select("query_id", "chunk_id", "doc", "rank", "pair_score")

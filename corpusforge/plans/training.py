@@ -27,22 +27,28 @@ def negatives_exact(positives: DataFrame, retrieved: DataFrame, chunks: DataFram
     return rows.groupBy("query_id").agg(F.min_by("negative", F.struct("rank", "negative")).alias("negative"))
 
 
-def negatives_contained(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per query the first chunk of another document that holds a retrieved text."""
-    rows = containing(retrieved.select(F.struct("query_id", "anchor_doc", F.md5("content").alias("part_md5")).alias("asked"), F.col("content").alias("part")).distinct(), chunks.select(F.struct("chunk_id", "doc").alias("held"), "content"), "asked", "held")
-    rows = rows.select("asked.query_id", "asked.anchor_doc", "held.chunk_id", "held.doc").where("doc <> anchor_doc")
+def negatives_contained(retrieved: DataFrame, chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Per query the first chunk of another document that holds a retrieved text. words: see containing(), by chunk_id."""
+    parts = retrieved.select(F.struct("query_id", "anchor_doc", F.md5("content").alias("part_md5")).alias("asked"), F.col("content").alias("part")).distinct()
+    rows = containing(parts, chunks.select("chunk_id", "content"), "asked", "chunk_id", words).join(chunks.select("chunk_id", "doc"), "chunk_id")
+    rows = rows.select("asked.query_id", "asked.anchor_doc", "chunk_id", "doc").where("doc <> anchor_doc")
     return rows.groupBy("query_id").agg(F.min_by("chunk_id", F.struct("doc", "chunk_id")).alias("negative_id"))
 
 
-def containing(parts: DataFrame, wholes: DataFrame, asked: str, held: str) -> DataFrame:
+def containing(parts: DataFrame, wholes: DataFrame, asked: str, held: str, words: DataFrame | None = None) -> DataFrame:
     """Pairs of keys (asked, held) of a part and a content that holds it. They meet on the rarest word of the part; only words and
-    keys go through that join, and the texts of the pairs that are left come after it. A part without a word holds nothing."""
+    keys go through that join, and the texts of the pairs that are left come after it. A part without a word holds nothing.
+
+    words (held, word), each pair once, are the words of the wholes where an index has them; else the wholes are read for the
+    parts' words."""
     from corpusforge.plans.index import tokens
 
-    words = wholes.select(held, F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
-    rare = words.groupBy("word").agg(F.count("*").alias("df"))
     wanted = parts.select(asked, F.explode(F.array_distinct(tokens(F.col("part")))).alias("word"))
-    key = wanted.join(rare, "word").groupBy(asked).agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    if words is None:
+        words = wholes.select(held, F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
+    words = words.join(wanted.select("word").distinct(), "word", "left_semi")
+    rare = words.groupBy("word").agg(F.count("*").alias("df"))
+    key = wanted.join(rare, "word", "left").groupBy(asked).agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("word"))
     pairs = words.join(key, "word").select(asked, held)
     return pairs.join(parts.select(asked, "part"), asked).join(wholes.select(held, "content"), held).where(F.contains("content", F.col("part"))).select(asked, held).distinct()
 

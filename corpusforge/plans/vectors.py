@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from corpusforge.plans import search
 
-#: Vectors that the centres are fitted on, drawn by a hash of the id; rounds of the fit.
-SAMPLE, ROUNDS = 20_000, 12
+#: Vectors that the centres are fitted on, drawn by a hash of the id; rounds of the fit; rows that are compared with all centres at once.
+SAMPLE, ROUNDS, TILE = 20_000, 12, 1024
 
 
 @dataclass
@@ -30,8 +30,15 @@ class VectorIndex:
 
 def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of each row, ties to the first."""
-    apart = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
-    return np.argsort(apart, axis=1, kind="stable")[:, :n]
+    out, own = np.empty((len(x), n), np.int64), (centres**2).sum(1)[None, :]
+    for at in range(0, len(x), TILE):  # what stands in memory doesn't grow with the rows
+        apart = own - 2 * x[at : at + TILE] @ centres.T
+        least = np.partition(apart, n - 1, axis=1)[:, n - 1 : n] if n < len(centres) else apart.max(1, keepdims=True)
+        row, col = np.nonzero(apart <= least)
+        by = np.lexsort((col, apart[row, col], row))
+        row, col = row[by], col[by]
+        out[at : at + TILE] = col[np.arange(len(row)) - np.searchsorted(row, row) < n].reshape(-1, n)
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -69,17 +76,20 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
     placed = _cells(rows, "id", "v", centres, 1)
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
     shards = {c: -(-n // search.SHARD) for c, n in sizes.items()}
-    return VectorIndex(centres, placed.withColumn("shard", F.pmod(F.xxhash64("id"), _shards(F.col("cell"), shards)).cast("int")), shards)
+    dealt = _sharded(placed, shards).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    return VectorIndex(centres, dealt.select("id", "v", "cell", "shard"), shards)
 
 
-def _shards(cell, shards: dict[int, int]):
-    most = F.create_map(*[F.lit(x) for kv in sorted(shards.items()) for x in kv]) if shards else F.create_map().cast("map<int,int>")
-    return F.coalesce(F.try_element_at(most, cell), F.lit(1))
+def _sharded(df: DataFrame, shards: dict[int, int]) -> DataFrame:
+    """Adds shards, the number of shards of the row's cell: a row for each cell, which is some thousands even for large tables."""
+    sizes = df.sparkSession.createDataFrame(sorted(shards.items()), "cell int, shards int")
+    return df.join(F.broadcast(sizes), "cell", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
 
 
 def save(index: VectorIndex, path: str) -> None:
     """The vectors by cell, and the centres."""
-    index.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    # a cell's shards come from a task each, so the files are as many as shards, however many tasks read the vectors
+    index.rows.repartition("cell", "shard").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
     spark = index.rows.sparkSession
     spark.createDataFrame([(i, c.tolist(), index.shards.get(i, 1)) for i, c in enumerate(index.centres)], "cell int, centre array<double>, shards int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
@@ -93,6 +103,6 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
 def topk(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
     """query_id, id, score, rank: of the vectors in the `probes` nearest cells of each query (query_id, query), the k best by inner product."""
     asked = _cells(_whole(queries, "query_id", "query"), "query_id", "query", index.centres, min(probes, len(index.centres)))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), (_shards(F.col("cell"), index.shards) - 1).cast("int"))))
+    asked = _sharded(asked, index.shards).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     lists = asked.groupBy("cell", "shard").cogroup(index.rows.groupBy("cell", "shard")).applyInArrow(search._tile(k), "query_id long, id long, score double")
     return search.ranked(lists, k, key="id")
