@@ -3,7 +3,8 @@
 Every DOM node gets a density: its characters per tag, lowered as links hold more of it. A node's density sum is that of its
 children, or its own density if there is no block in it; the node with the largest sum is the core of the page, and the least density on its path to the body is the
 threshold. From the body downwards, each node at or above the threshold marks the largest-sum subtree in it as content.
-Subtrees that are no article by tag, role, class or id count for nothing and are left out.
+Parts that are never shown, and parts whose tag, role or whole name says that they are no article, count for nothing and are left
+out; what such a word also names (a form around a page, a heading's anchor, one word of a longer name) is not.
 """
 
 from __future__ import annotations
@@ -20,21 +21,31 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import small_batches, tidy
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements that are no part of an article.
-NOISE = frozenset("script style noscript nav footer aside form button select option textarea input label fieldset iframe object embed applet canvas svg template dialog menu menuitem title head header".split())
-#: Words in a class or id, and roles, that tell such a part.
+#: Elements that are never shown as text, or are controls.
+UNSEEN = frozenset("script style noscript button select option textarea input label fieldset iframe object embed applet canvas svg template dialog menuitem title head".split())
+#: Elements that stand beside an article, and those of them that may stand around one.
+BESIDE = frozenset("nav footer aside form menu header".split())
+AROUND = frozenset(("form", "header", "menu"))
+#: Roles of such parts.
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Words that name such a part in a class or id.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notification overlay pagination popup promo promotion recommended related rail search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget alert contentinfo complementary replies reply respond".split()
 )
 #: Those of them that also name frames around an article, after what else is in them.
 FRAME_WORDS = frozenset("banner footer form header hidden masthead menu modal nav navbar navigation notice overlay rail search sidebar sidebars toolbar topbar widget".split())
+#: Words that may stand beside them in such a name; any other word makes it the name of something else (social-policy, related-work).
+PLAIN_WORDS = frozenset(
+    "site page post blog global main primary secondary top bottom left right upper lower first last sticky fixed mobile desktop container wrapper wrap wrappers box boxes block blocks area section sections region zone panel inner outer bar bars list lists item items group holder row col column slot unit body thread form button buttons link links icon icons text title heading head div module component posts articles stories".split()
+)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that begin and end a block of text; br and table cells are white space in one.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset(("br", "td", "th", "wbr", "img"))
@@ -55,44 +66,63 @@ class _Node:
         self.whole = tag not in BLOCK and tag not in ("td", "th")  # an inline element: it stands in a block
 
 
+def _named(value: str) -> frozenset[str]:
+    """The noise words of a class or id, as far as one of its names consists of such words and plain ones."""
+    found: set[str] = set()
+    for name in value.split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        if words and words <= NOISE_WORDS | PLAIN_WORDS:
+            found |= words & NOISE_WORDS
+    return frozenset(found)
+
+
 def _is_noise(tag: str, attributes: str, parent: _Node) -> int:
-    """2 if the element is no part of an article, 1 if it is called like a part or a frame, else 0."""
-    if tag in NOISE:
-        return 0 if tag == "header" and _within(parent, "article") else 2
-    if attributes:
-        for m in _ATTR.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return 2
-            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and (found := NOISE_WORDS.intersection(_NAME.findall(value))):
-                return 1 if found <= FRAME_WORDS else 2
-    return 0
+    """3 if the element is never shown, 2 if it stands beside an article, 1 if it may also stand around one, else 0."""
+    if tag in UNSEEN:
+        return 3
+    kind = 0
+    if tag in BESIDE and not (tag == "header" and _within(parent, "article", "section", "main")):
+        kind = 1 if tag in AROUND else 2
+    for m in _ATTR.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return 3
+        if tag in ("html", "body", "article", "main"):
+            continue
+        if name == "role" and ROLES.intersection(value.lower().split()):
+            kind = max(kind, 1)
+        elif (name == "class" or name == "id" and tag not in _HEADINGS) and (found := _named(value)):
+            kind = max(kind, 1 if found <= FRAME_WORDS else 2)
+    return kind
 
 
 def _settle(nodes: list[_Node]) -> None:
-    """Hands noise down. A frame's names around the page's article, or its first heading, tell of other parts and don't count."""
-    frames, heading = set(), False
+    """Hands noise down. What may stand around an article does so if it holds the page's article or first heading, or half of its
+    text and more; then its name and tag don't count."""
+    around, heading = set(), False
     for node in nodes:
         if node.tag in ("article", "main") or node.tag == "h1" and not heading:
             heading = heading or node.tag == "h1"
             up = node.parent
-            while up is not None:
-                frames.add(up)
+            while up is not None and up not in around:
+                around.add(up)
                 up = up.parent
+    size = {}
+    for node in reversed(nodes):  # children come after their parents
+        size[node] = 0 if node.noise == 3 else sum(len(x.strip()) if isinstance(x, str) else size[x] for x in node.children)
     for node in nodes:
-        if node.noise == 1 and node in frames:
+        if node.noise == 1 and (node in around or size[node] and 2 * size[node] >= size[nodes[0]]) and node.tag != "header":
             node.noise = 0
         if node.parent is not None and node.parent.noise:
-            node.noise = 2
+            node.noise = 3
 
 
-def _within(node: _Node | None, tag: str) -> _Node | None:
-    found = None
+def _within(node: _Node | None, *tags: str) -> bool:
     while node is not None:
-        if node.tag == tag:
-            found = node
+        if node.tag in tags:
+            return True
         node = node.parent
-    return found
+    return False
 
 
 def _tree(page: str) -> tuple[_Node, list[_Node]]:

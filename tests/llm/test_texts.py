@@ -99,6 +99,10 @@ def test_pages_without_tags_and_names_that_tell(spark):
     nameless = lambda h: re.sub(r'\s(class|id|role)="[^"]*"', "", h)
     assert all(html_text.extract_text(plain(h)) == gold(h) for _, h in pages)
     assert sum(html_text.extract_text(nameless(plain(h))) == gold(h) for _, h in pages) >= 0.98 * len(pages)
+    # without any tag or name that tells: nothing is lost, and a twentieth or so of the text is too much
+    bare = [(gold(h), html_text.extract_text(nameless(re.sub(r"<(/?)(article|main|section|nav|footer|aside|header|form)\b", r"<\1div", h)))) for _, h in pages]
+    assert all(set(want.split("\n")) <= set(got.split("\n")) for want, got in bare)
+    assert sum(len(got) for _, got in bare) <= 1.06 * sum(len(want) for want, _ in bare)
 
 
 PAGE = """<html><body><div class="site-header">Site</div><ul class="menu"><li><a href=1>Home</a><li><a>About</a></ul><div id="main"><h2>Title of it</h2>
@@ -121,6 +125,28 @@ def test_page(page, text):
     assert html_text.extract_text(page) == text
 
 
+_LINES = [f"The paragraph number {k} of this page is long enough, with commas, and goes on for a while." for k in range(8)]
+_BODY = "".join(f"<p>{line}</p>" for line in _LINES)
+
+
+@pytest.mark.parametrize("part", [
+    '<p>See <a href="/hidden-gems/x">Hidden gems</a> there, it is good.</p>', '<p title="no hidden costs">A paragraph with a title, long enough to be read.</p>',
+    '<p data-id="comment-5">A paragraph with data, long enough to be read.</p>', '<p data-hidden="false" aria-hidden="false">A paragraph shown, long enough to be read.</p>',
+    '<div class="social-policy"><p>On social policy there is much to say, in this page.</p></div>', '<h2 id="related-work">Related work</h2>', '<h2 id="search">Search</h2>',
+    '<h2 id="search-results-explained" class="section-title">Search results explained</h2>', '<section><header><h2>A head of a section</h2></header><p>Its text is here, and so on.</p></section>',
+])
+def test_attributes_and_words_that_only_look_like_noise(part):
+    want = [" ".join(re.sub("<[^>]*>", "", x).split()) for x in re.findall(r"<(?:p|h2)[ >].*?</(?:p|h2)>", part)]
+    page = f'<html><body><nav><a href=1>Home</a></nav><div>{_BODY}{part}{_BODY}</div><div class="ad">Buy it now.</div><div id="post-comments"><p>{_LINES[0]}</p></div></body></html>'
+    assert html_text.extract_text(page) == "\n".join([*_LINES, *want, *_LINES])
+
+
+@pytest.mark.parametrize("frame", ['<form action="/x">{}<input value=1></form>', '<div class="article-search-page">{}</div>', '<div class="search">{}</div>', '<div role="form"><div>{}</div></div>', '<div hidden>no</div>{}', '<div style="display: none">no</div><div>{}</div>'])
+def test_frames_around_a_page_stay(frame):
+    page = "<body><nav><a href=1>Home</a></nav>" + frame.format(f"<div>{_BODY}</div>") + '<div class="siteFooter">c</div><div role="navigation"><a>x</a></div></body>'
+    assert html_text.extract_text(page) == "\n".join(_LINES)
+
+
 _SENTENCE = "The text of this part is long, and it goes on for a while. "
 LEAD = f"<body><h1>{'A head line of this page ' * 10}</h1><p>{_SENTENCE * 6}</p><div>" + f"<p>{_SENTENCE * 2}</p>" * 12 + "</div></body>"
 SECTIONS = "<body><div><section>" + f"<p>{_SENTENCE * 5}</p>" * 10 + f"</section><section><p>{_SENTENCE * 9} with <b>{_SENTENCE}</b> in it</p><p>{_SENTENCE * 9}</p></section></div></body>"
