@@ -258,3 +258,23 @@ def cleaning_loss(spark, d):
     after = C.short_words(C.double_space(C.ground_terms(F.col("content"))))
     rows = documents(spark, d).select(C.word_count(F.col("content")).cast("long").alias("b"), C.word_count(after).cast("long").alias("a"))
     return evaluate.cleaning_loss(rows, "b", "a")
+
+
+#: Forms that an order's date is written in, for Spark and for DuckDB; the month comes first where both could be meant.
+_FORMS = [("yyyy-MM-dd", "%Y-%m-%d"), ("M/d/yyyy", "%-m/%-d/%Y"), ("d MMMM yyyy", "%-d %B %Y"), ("MMM d, yyyy", "%b %-d, %Y"), ("yyyyMMdd", "%Y%m%d"), ("'Created on' EEEE, d MMMM yyyy 'at 14:05'", "Created on %A, %-d %B %Y at 14:05"), ("MM-dd-yyyy HH:mm:ss'Z'", "%m-%d-%Y %H:%M:%SZ"), ("MMMM yyyy", "%B %Y")]
+
+
+_K = f"o_orderkey % {len(_FORMS)}"
+
+
+@query("written_dates", f"""WITH o AS (SELECT o_orderkey, date_trunc('day', o_orderdate) AS d FROM orders)
+SELECT o_orderkey, CASE {_K} {" ".join(f"WHEN {k} THEN strftime(d, '{f}')" for k, (_, f) in enumerate(_FORMS))} END AS written,
+    strftime(CASE {_K} WHEN {len(_FORMS) - 1} THEN date_trunc('month', d) WHEN 5 THEN d + INTERVAL '14 hours 5 minutes' ELSE d END, '%Y-%m-%d %H:%M') AS date FROM o""")
+def written_dates(spark, d):
+    """The dates of all orders, written in eight forms and read again."""
+    from corpusforge.functions.dates import written_date
+    from corpusforge.sources.tables import table
+
+    form = F.element_at(F.array(*[F.date_format(F.date_trunc("day", "o_orderdate"), f) for f, _ in _FORMS]), (F.col("o_orderkey") % len(_FORMS) + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", form.alias("written"))
+    return rows.select("o_orderkey", "written", F.date_format(written_date(F.col("written")), "yyyy-MM-dd HH:mm").alias("date"))

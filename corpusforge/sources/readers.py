@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.functions.ids import missing_to_null
+from corpusforge.functions.dates import written_date
 from corpusforge.schemas import BENCHMARK, DOCUMENT, METADATA, TRAINING_PAIR
 
-#: Formats of dates, the month first where both could be meant.
-DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy h:mm a 'UTC'", "M/d/yyyy", "M-d-yyyy", "d-M-yyyy", "d MMMM yyyy", "MMMM d, yyyy", "yyyyMMdd"]
-
-
 def parse_date(c: Column) -> Column:
-    """The first format that fits; null for none."""
-    return F.coalesce(*[F.try_to_timestamp(missing_to_null(F.trim(c)), F.lit(f)) for f in DATE_FORMATS]).cast("timestamp_ntz")
+    """The date that a text writes, the month first in doubt; null for none."""
+    return written_date(c)
 
 
 def parse_list(c: Column) -> Column:
