@@ -306,6 +306,48 @@ def answer_adaptive(spark, d):
     return qa.answer_adaptive(_index(spark, d), _docs(spark, d), _chunks(spark, d), _questions(spark, d), checkpoint=cut)
 
 
+def _traced(spark, d):
+    """Answers whose judge fails for every third question, always, and at first for every fifth: written once."""
+    from corpusforge.plans import judge, trace
+
+    def make(at):
+        from corpusforge.catalog.corpus import _folder
+
+        def cut(df):
+            to = _folder(spark, "traced")
+            df.write.parquet(to)
+            return spark.read.schema(df.schema).parquet(to)
+
+        def stage(rows, attempt):
+            made = trace.ruled(judge.RuleJudge())(rows, attempt)
+            fails = (F.col("query_id") % 3 == 0) | (F.lit(attempt == 0) & (F.col("query_id") % 5 == 0))
+            return made.withColumn("error", F.when(fails, F.concat(F.lit("no reply to "), "query_id")))
+
+        answers, events = trace.answer_traced(_index(spark, d), _docs(spark, d), _chunks(spark, d), _questions(spark, d), stage, sources=_sources(spark, d), cut=cut)
+        answers.write.parquet(f"{at}/answers")
+        events.write.parquet(f"{at}/events")
+
+    return _once(spark, ("traced", d), make)
+
+
+@query("answer_traced")
+def answer_traced(spark, d):
+    """The answers, with the lines of their traces."""
+    from corpusforge.plans import trace
+
+    at = _traced(spark, d)
+    return spark.read.parquet(f"{at}/answers").join(trace.trace_lines(spark.read.parquet(f"{at}/events")), "query_id")
+
+
+@query("trace_failures", "SELECT item_id AS query_id, true AS answered, item_id % 3 = 0 AS failed FROM benchmark")
+def trace_failures(spark, d):
+    """The state folded from the events: every question has an answer, and the failing judge is told of."""
+    from corpusforge.plans import trace
+
+    state = trace.folded(spark.read.parquet(f"{_traced(spark, d)}/events"))
+    return state.select("query_id", "answered", (F.col("failed_rounds") > 0).alias("failed"))
+
+
 _REL = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _HITS = f"WITH {_INDEX}, {_REL}"
 _KINDS = "CASE query_id % 3 WHEN 0 THEN 'specific' WHEN 1 THEN 'document' ELSE 'multi_document' END"
