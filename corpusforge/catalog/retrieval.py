@@ -439,9 +439,29 @@ def labelled_pairs(spark, d):
     return training.labelled_pairs(documents(spark, d).select(F.col("source").alias("query"), F.md5("content").alias("positive"), F.col("lang").alias("negative")))
 
 
+def _clusters(spark, d):
+    """doc, cluster of all documents, written once."""
+    from corpusforge.catalog.corpus import _folder
+
+    def cut(df):
+        at = _folder(spark, "tfidf")
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return spark.read.parquet(_once(spark, ("clusters", d), lambda at: training.cluster(documents(spark, d), 4, cut=cut).write.parquet(at)))
+
+
 @query("cluster_documents")
 def cluster_documents(spark, d):
-    return training.cluster(documents(spark, d), 4).groupBy("cluster").agg(F.count("*").alias("documents"))
+    return _clusters(spark, d)
+
+
+@query("cluster_triplets")
+def cluster_triplets(spark, d):
+    """A triplet for each document: one of its cluster, and one of the next."""
+    from corpusforge.plans import clusters
+
+    return clusters.triplets(_clusters(spark, d).withColumnRenamed("doc", "id"))
 
 
 @query("tfidf_vectors")

@@ -89,12 +89,15 @@ def tfidf(docs: DataFrame, doc: str = "doc_id", content: str = "content", vocabu
     return IDF(inputCol="tf", outputCol="features").fit(counted).transform(counted).select("doc", "features")
 
 
-def cluster(docs: DataFrame, k: int = 10, seed: int = 42, doc: str = "doc_id", content: str = "content") -> DataFrame:
-    """doc, cluster; clusters without documents don't appear."""
-    from pyspark.ml.clustering import KMeans
+def cluster(docs: DataFrame, k: int = 10, seed: int = 42, doc: str = "doc_id", content: str = "content", cut=None) -> DataFrame:
+    """doc, cluster, by mini-batches of TF-IDF vectors (of 1000 terms); clusters without documents don't appear."""
+    from pyspark.ml.functions import vector_to_array
 
-    vectors = tfidf(docs, doc, content)
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors).transform(vectors).select("doc", "cluster")
+    from corpusforge.plans import clusters
+
+    vectors = tfidf(docs, doc, content).select(F.col("doc").alias("id"), vector_to_array("features").alias("v"))
+    vectors = cut(vectors) if cut else vectors
+    return clusters.assign(vectors, clusters.fit(vectors, k, seed=seed)).withColumnRenamed("id", "doc")
 
 
 def benchmark_items(clusters: DataFrame, chunks: DataFrame, size: int = 3) -> DataFrame:
