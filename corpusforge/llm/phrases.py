@@ -25,6 +25,8 @@ from corpusforge.llm.ngram_join import _summed, _task
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Bytes of text of a shard, bytes of text whose counts meet in one call, blocks of bitmaps that are extended at once, bits of the filter at most.
 SHARD, MET, BLOCKS, FILTER = 8 << 20, 32 << 20, 1 << 18, 1 << 28
+#: Parts of a language whose first phrases are found apart.
+PARTS = 32
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _CUT.copy()
@@ -291,6 +293,9 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
         held = longer.select("lang", F.col("a").alias("of"), "phrase", F.explode(F.array_distinct(F.array(*inside))).alias("short")).where("short <> phrase")
         held = held.groupBy("lang", F.col("short").alias("phrase")).agg(F.max("of").alias("most"))
         best = best.join(held, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < share * F.col("a")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))  # each task keeps its first ones before the shuffle
-    ranked = best.withColumn("rank", rank).where(F.col("rank") <= top)
+    # the first of a language are among the first of its parts: the last step reads PARTS times `top` rows, however many there are
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    first = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order))
+    best = best.withColumn("place", first).where(F.col("place") <= top).drop("place")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(all_words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
