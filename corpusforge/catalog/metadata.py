@@ -71,6 +71,21 @@ def _small(spark, d):
 _SMALL = ", metadata AS (SELECT 'x-' || doc_id AS \"ID\", 'x-' || (doc_id // 10 * 10) AS \"Family\", 'Name ' || doc_id AS \"Document\", link AS \"Document Link\", CASE WHEN doc_id % 3 <> 0 THEN 'b' || doc_id END AS besluit_id, doc_id AS ord, content FROM docs)"
 
 
+@query("family_members", "WITH " + METADATA_SQL + """, heads AS (SELECT DISTINCT regexp_extract("ID", '([^-]*)$', 1) AS head FROM metadata),
+k AS (SELECT "ID" AS id, ord, CASE WHEN head IS NOT NULL THEN regexp_extract("Family", '([^-]*)$', 1) ELSE 'single_' || "ID" END AS family_key FROM metadata LEFT JOIN heads ON head = regexp_extract("Family", '([^-]*)$', 1))
+SELECT family_key, row_number() OVER (PARTITION BY family_key ORDER BY ord, id) AS place, id FROM k""")
+def family_members(spark, d):
+    """A row for each member, numbered within its family."""
+    from corpusforge.catalog.corpus import _folder
+
+    def cut(df):
+        at = _folder(spark, "members")
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return families.family_members(metadata_rows(spark, d), cut=cut)
+
+
 @query("family_map", _D + _SMALL + _FAMILY + " SELECT family_key, base_document, link, attachment_ids, attachment_names FROM fam")
 def family_map(spark, d):
     return families.family_map(_small(spark, d)).select("family_key", "base_document", "link", "attachment_ids", "attachment_names")
@@ -159,6 +174,21 @@ def link_repair(spark, d):
     return metadata.repair_links(docs, new.union(late))
 
 
+@query("link_repair_counts", "SELECT count(*) AS documents, count(*) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0) AS known, count(*) FILTER (doc_id % 3 = 0) AS repaired, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 <> 0) AS right, count(*) FILTER (doc_id % 2 <> 0 AND doc_id % 3 <> 0) AS unknown, count(*) FILTER (doc_id % 5 = 0) AS unmatched FROM documents")
+def link_repair_counts(spark, d):
+    docs = documents(spark, d).select(F.col("doc_id").alias("vws_id"), "link")
+    new = docs.where("vws_id % 2 = 0 or vws_id % 3 = 0").select("vws_id", F.when(F.col("vws_id") % 3 == 0, F.concat(F.lit("https://new.example.org/"), "vws_id")).otherwise(F.col("link")).alias("new_link"), F.lit(0).alias("ord"))
+    strays = docs.where("vws_id % 5 = 0").select((-F.col("vws_id") - 1).alias("vws_id"), F.lit("x").alias("new_link"), F.lit(0).alias("ord"))
+    inventory = new.union(strays)
+    return metadata.repair_counts(metadata.repair_links(docs, inventory), inventory)
+
+
+@query("rows_with_link", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0")
+def rows_with_link(spark, d):
+    a, b = F.when(F.col("doc_id") % 3 == 0, "https://a.org").otherwise("nan"), F.when(F.col("doc_id") % 4 == 0, "https://b.org").otherwise("")
+    return metadata.with_link(documents(spark, d).select("doc_id", a.alias("Source Link"), b.alias("Document Link")), "Source Link", "Document Link").select("doc_id")
+
+
 @query("coalesce_links", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'a' WHEN doc_id % 2 = 0 THEN 'b' ELSE 'c' END AS link FROM documents")
 def coalesce_links(spark, d):
     a = F.when(F.col("doc_id") % 4 == 0, "a").otherwise("nan")

@@ -266,6 +266,16 @@ def find_whole_documents(spark, d):
     return found.select("query_id", "doc", "pair_score", "rank")
 
 
+@query("search_guards", "WITH q AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'src' || item_id % 20 WHEN 1 THEN 'no such source' WHEN 2 THEN 'empty source' ELSE '' END AS source FROM benchmark) SELECT query_id, CASE source WHEN 'no such source' THEN 'unknown source' WHEN 'empty source' THEN 'no documents' END AS error FROM q")
+def search_guards(spark, d):
+    """Questions to a source, to one that isn't known, to one without documents, and to all: errors are rows beside the others."""
+    kind = F.col("query_id") % 4
+    source = F.when(kind == 0, F.concat(F.lit("src"), F.col("query_id") % 20)).when(kind == 1, "no such source").when(kind == 2, "empty source").otherwise("")
+    sources = documents(spark, d).select(F.col("source").alias("name")).distinct().union(spark.createDataFrame([("empty source",)], "name string"))
+    asked, bad = search.searchable(_questions(spark, d).withColumn("source", source), sources, _index(spark, d, by_source=True))
+    return asked.select("query_id", F.lit(None).cast("string").alias("error")).union(bad)
+
+
 @query("candidate_chunks", f"WITH {_INDEX} SELECT query_id, doc, i AS part FROM ranked, range(2) t(i) WHERE rank <= 3")
 def candidate_chunks(spark, d):
     top = search.bm25(_index(spark, d), _questions(spark, d), 3).withColumnRenamed("doc", "doc_uuid")

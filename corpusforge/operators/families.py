@@ -16,6 +16,20 @@ def family_key(rows: DataFrame, id_col: str = "ID", family_col: str = "Family")
     return joined.withColumn("family_key", F.when(F.col("head").isNotNull(), F.col("_family")).otherwise(F.concat(F.lit("single_"), F.col(id_col)))).drop("head", "_family")
 
 
+def family_members(rows: DataFrame, order: str = "ord", cut=None) -> DataFrame:
+    """family_key, place (from 1), id: the members of every family, a row each, in order (then by id). However large a family is,
+    no task sorts it: rows are dealt by ranges of family and order, numbered within a range, after what the ranges before hold of
+    the family. cut writes the dealt rows and reads them again, so that a range stays what it was."""
+    keyed = family_key(rows).select("family_key", F.col(order).alias("_order"), F.col("ID").alias("id"))
+    dealt = keyed.repartitionByRange("family_key", "_order", "id").withColumn("_range", F.spark_partition_id())
+    dealt = cut(dealt) if cut else dealt
+    sizes = dealt.groupBy("family_key", "_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("family_key").orderBy("_range")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("family_key", "_range").orderBy("_order", "id"))
+    numbered = dealt.withColumn("_own", own).join(before, ["family_key", "_range"])
+    return numbered.select("family_key", (F.col("_before") + F.col("_own")).alias("place"), "id")
+
+
 def family_map(rows: DataFrame, order: str = "ord") -> DataFrame:
     """One row for each family: the head (the row whose id is the key, else the first), the other rows in order as attachments."""
     keyed = family_key(rows)

@@ -71,6 +71,20 @@ def first_link(*columns: Column) -> Column:
     return F.coalesce(*[missing_to_null(c) for c in columns])
 
 
+def with_link(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows that have a link in one of the columns."""
+    return rows.where(first_link(*[F.col(f"`{c}`") for c in columns]).isNotNull())
+
+
+def repair_counts(repaired: DataFrame, inventory: DataFrame, key: str = "vws_id") -> DataFrame:
+    """One row of counters for what repair_links() gave: documents, those the inventory knows, those repaired, those whose link was
+    right, and those it doesn't know; and the inventory's keys that no document has."""
+    known = inventory.where(F.col("new_link").isNotNull()).select(key).distinct().withColumn("_known", F.lit(True))
+    rows = repaired.join(known, key, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    counts = rows.agg(F.count("*").alias("documents"), F.count_if("_known").alias("known"), F.count_if("repaired").alias("repaired"), F.count_if(F.col("_known") & ~F.col("repaired")).alias("right"), F.count_if(~F.col("_known")).alias("unknown"))
+    return counts.join(known.join(repaired, key, "left_anti").agg(F.count("*").alias("unmatched")))  # a row each
+
+
 def repair_links(documents: DataFrame, inventory: DataFrame, key: str = "vws_id") -> DataFrame:
     """Adds repaired, and takes the inventory's link (its first of a key) where it has another one."""
     first = inventory.groupBy(key).agg(F.min_by("new_link", "ord").alias("new_link"))

@@ -215,3 +215,19 @@ def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataF
         near = few(near, asked * settings.initial_chunks_k).join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
         near = near.withColumn("score", score(F.col("text"), F.col("content"))).drop("content", "text")
     return rerank(near, F.col("score"), settings.final_chunks_k).select("query_id", "chunk_id", "doc", "rank", "pair_score")
+
+
+#: What a question that can't be searched is told.
+NO_SOURCE, NO_DOCUMENTS = "unknown source", "no documents"
+
+
+def searchable(queries: DataFrame, sources: DataFrame, index: LexicalIndex, source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The questions that can be searched, and query_id, error of the others: a source (of queries) that isn't among `sources` (name),
+    or one without documents. A question without a source asks all of them. Errors are rows, so one bad question doesn't end a batch."""
+    held = index.corpus.where("n > 0").select(F.col("scope").alias("_held"))
+    every = held.agg((F.count("*") > 0).alias("_any"))
+    rows = queries.join(sources.select(F.col("name").alias("_named")).distinct(), F.col(source) == F.col("_named"), "left").join(held, F.col(source) == F.col("_held"), "left").join(F.broadcast(every))
+    asked = F.nullif(F.col(source), F.lit(""))
+    error = F.when(asked.isNotNull() & F.col("_named").isNull(), NO_SOURCE).when(F.when(asked.isNull(), F.col("_any")).otherwise(F.col("_held").isNotNull()) == F.lit(False), NO_DOCUMENTS)
+    rows = rows.withColumn("error", error)
+    return rows.where("error is null").select(*queries.columns), rows.where("error is not null").select("query_id", "error")

@@ -99,3 +99,37 @@ def test_vector_index(spark, tmp_path, monkeypatch):
     assert every == exact and len(exact) == 300
     found = {(r["query_id"], r["id"]) for r in vectors.topk(index, asked, 10).collect()}
     assert len(found & {(q, i) for (q, _), i in exact.items()}) >= 0.9 * len(exact)
+
+
+def test_members_of_a_large_family(spark, tmp_path):
+    """One family in many ranges is numbered without gaps, ties by id."""
+    from corpusforge.operators import families
+
+    rows = [("doc-1", "doc-1", 0)] + [(f"doc-{k}", "doc-1", k // 3) for k in range(2, 400)] + [("doc-900", "doc-5000", 1), ("doc-901", None, 1)]
+    df = spark.createDataFrame(rows, "ID string, Family string, ord int").repartition(7)
+
+    def cut(x):
+        x.write.parquet(f"file://{tmp_path}/dealt")
+        return spark.read.parquet(f"file://{tmp_path}/dealt")
+
+    got = {}
+    for r in families.family_members(df, cut=cut).collect():
+        got.setdefault(r["family_key"], []).append((r["place"], r["id"]))
+    large = sorted((o, i) for i, f, o in rows if f == "doc-1")
+    assert [i for _, i in sorted(got["1"])] == [i for _, i in large] and sorted(p for p, _ in got["1"]) == list(range(1, len(large) + 1))
+    assert got["single_doc-900"] == [(1, "doc-900")] and got["single_doc-901"] == [(1, "doc-901")]
+
+
+def test_guards_of_a_search(spark):
+    from pyspark.sql import functions as F
+
+    from corpusforge.plans import index
+
+    made = index.build(spark.createDataFrame([(1, "a", "x")], "doc_id long, content string, source string"), scope=F.col("source"))
+    sources = spark.createDataFrame([("x",), ("y",)], "name string")
+    asked = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "a", "z"), (4, "a", None), (5, "a", "")], "query_id long, text string, source string")
+    good, bad = search.searchable(asked, sources, made)
+    assert sorted(r["query_id"] for r in good.collect()) == [1, 4, 5] and sorted(map(tuple, bad.collect())) == [(2, search.NO_DOCUMENTS), (3, search.NO_SOURCE)]
+    empty = index.build(spark.createDataFrame([], "doc_id long, content string, source string"), scope=F.col("source"))
+    good, bad = search.searchable(asked, sources, empty)
+    assert good.count() == 0 and sorted(map(tuple, bad.collect())) == [(1, search.NO_DOCUMENTS), (2, search.NO_DOCUMENTS), (3, search.NO_SOURCE), (4, search.NO_DOCUMENTS), (5, search.NO_DOCUMENTS)]
