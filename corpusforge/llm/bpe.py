@@ -186,8 +186,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     """Encodes every whole text, decodes the ids again.
 
     out="ids": id, ids array<int>, decoded string. out="digest": id, n_tokens, ids_sha256, decoded_sha256.
-    A null or empty text has no ids. Rows, repeated ones included, give a row each; other columns are left out. rank_path
-    is read by each worker, so it must exist on all machines.
+    A null or empty text has no ids. Rows, repeated ones included, give a row each; other columns are left out. Of equal pairs in
+    a piece the leftmost merges first. A very long text is encoded whole in one worker, in slices of 16 MB as far as white space
+    allows. An empty table gives no rows. rank_path is read by each worker, so it must exist on all machines.
     """
     small_batches(df.sparkSession)
     digest = out == "digest"
