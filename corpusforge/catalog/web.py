@@ -239,7 +239,7 @@ def section_documents(spark, d):
     return R.section_rows(_decisions(spark, d))
 
 
-@query("decision_facts", "SELECT page_id AS decision, 'Woo-verzoek' AS kind, '2021-03-04' AS date, ['Een', 'Twee'] AS subjects, CAST(page_id AS INTEGER) AS documents, 12 AS pages, NULL AS period FROM pages")
+@query("decision_facts", "SELECT page_id AS decision, 'Woo-verzoek' AS kind, '2021-03-04' AS date, ['Een', 'Twee'] AS subjects, CAST(page_id AS INTEGER) AS documents, 12 AS pages, CAST(NULL AS VARCHAR) AS period FROM pages")
 def decision_facts(spark, d):
     rows = _decisions(spark, d).where("page = 1").select("decision", R.decision_facts(F.col("html")).alias("f"))
     return rows.select("decision", "f.kind", "f.date", "f.subjects", "f.documents", "f.pages", "f.period")
