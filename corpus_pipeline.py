@@ -24,13 +24,15 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go. The model is fitted on the documents' own lang."""
+    """Documents whose text has a language; null texts and texts without a letter go. The model is fitted on the documents' own lang.
+    Repeated rows stay, a very long text is labelled in stretches, an empty table stays empty."""
     docs = docs.select(*COLUMNS)
     return language.keep_identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest id. Rows of one id are told apart by their texts; repeated rows become one."""
+    """Of each group of near duplicates, the document of the smallest id. Rows of one id are told apart by their texts; repeated rows become one.
+    A very long text is shingled whole; an empty table stays empty."""
     docs = docs.select(*COLUMNS)
     found = ngram_join.join(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
@@ -48,12 +50,14 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with a mark in place of each secret."""
+    """Every document, with a mark in place of each secret; a null text stays null, repeated rows stay. The network is fitted on the
+    documents' own findings. A very long text is searched whole; an empty table stays empty."""
     return _documents(secrets.redact_column(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens. Repeated rows are packed each, a null text is its end alone, a very long text is cut over
+    as many sequences as it fills, and an empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
