@@ -115,6 +115,14 @@ def held_by_worker(name: str) -> dict:
     return sys.modules.setdefault("corpusforge_worker", ModuleType("corpusforge_worker")).__dict__.setdefault(name, {})
 
 
+def release_others(name: str) -> None:
+    """Empties the dicts of this Python worker that have another name, and gives their memory back."""
+    for other, held in vars(sys.modules["corpusforge_worker"]).items():
+        if other != name and isinstance(held, dict):
+            held.clear()
+    free()
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     out = np.full(n, base, np.uint64)

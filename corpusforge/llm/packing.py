@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, held_by_worker, mix, small_batches, strings, text_slices, tidy
+from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, held_by_worker, mix, release_others, small_batches, strings, text_slices, tidy
 
 #: Dimensions of the curve, bits of each, and places of the hashed vector.
 DIMS, BITS, PLACES = 4, 10, 256
 #: Distinct pieces a worker remembers between slices, bytes of text of a slice, and bytes of ids that a task sorts along the curve.
-REMEMBERED, SLICE, SORTED = 1_000_000, 8 << 20, 32 << 20
+#: A worker's arrays are about 25 times a slice.
+REMEMBERED, SLICE, SORTED = 500_000, 3 << 20, 32 << 20
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -107,9 +108,10 @@ class Tokens:
 
     @staticmethod
     def of_worker(path: str) -> Tokens:
-        """The one of this Python worker, which all its tasks share."""
+        """The one of this Python worker, which all its tasks share; what other operators hold there goes, for the worker is the same."""
         held = held_by_worker("tokens")
         if path not in held:
+            release_others("tokens")
             held[path] = Tokens(path)
         return held[path]
 
