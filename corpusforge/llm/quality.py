@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes.
 
-A classifier of the text's form gives each document a probability; hosts and the paths below them get posteriors from the
+A classifier of the text's form and words gives each document a probability; hosts and the paths below them get posteriors from the
 probabilities of all their documents, a sparse path drawn to its host and a sparse host to the whole corpus, as strongly as
 the spread between hosts and between paths says. The document's evidence and its site's posterior are then combined.
 """
@@ -21,6 +21,8 @@ from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, mix, powers, smal
 SAMPLE = 6000
 #: Score from which a document is kept.
 KEEP = 0.5
+#: Places that words are hashed to, documents' worth of the prior of each place, and tasks that count words (their sums go to the driver).
+PLACES, PRIOR, TASKS = 1 << 15, 4.0, 16
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC6BC279692B5C323))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -31,12 +33,8 @@ for _i, _k in enumerate(_KINDS):
     _KIND[[*_k]] = _i
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Numbers that describe the form of each text: shares of kinds of bytes, word repetition, word length, size."""
-    docs = len(offsets) - 1
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(docs), size)
-    kinds = np.bincount(doc * 8 + _KIND[data], minlength=docs * 8).reshape(docs, 8) / np.maximum(size, 1)[:, None]
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of the texts: first byte, end, text, and a hash of the word in small letters."""
     space = ASCII_SPACE[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[offsets] = True
@@ -44,61 +42,119 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(data):
         begin[1:] &= space[:-1] | fresh[1:-1]
     at = np.flatnonzero(begin)
-    if not len(at):
-        return np.concatenate([kinds, np.zeros((docs, 5))], 1)
     stop = np.flatnonzero(space | fresh[:-1])
     end = np.append(stop, len(data))[np.searchsorted(stop, at, "right")]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[data]] * powers(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
-    word = mix((sums[end] - sums[at]) * powers(_INVERSE, len(data))[at])
-    of = doc[at]
+    word = mix((sums[end] - sums[at]) * powers(_INVERSE, len(data))[at]) if len(at) else np.zeros(0, np.uint64)
+    return at, end, np.searchsorted(offsets, at, "right") - 1, word
+
+
+def _distinct(of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts and places of their distinct words."""
+    by = np.lexsort((word, of))
+    w, o = word[by], of[by]
+    first = np.append(True, (w[1:] != w[:-1]) | (o[1:] != o[:-1]))[: len(w)]
+    return o[first], (w[first] & np.uint64(PLACES - 1)).astype(np.int64)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, tables: Iterable[np.ndarray] = ()) -> np.ndarray:
+    """Numbers that describe the form of each text: shares of kinds of bytes, word repetition, word length, size; and for each table
+    the mean log odds of the text's distinct words."""
+    docs, tables = len(offsets) - 1, list(tables)
+    size = np.diff(offsets)
+    doc = np.repeat(np.arange(docs), size)
+    kinds = np.bincount(doc * 8 + _KIND[data], minlength=docs * 8).reshape(docs, 8) / np.maximum(size, 1)[:, None]
+    at, end, of, word = _words(data, offsets)
+    if not len(at):
+        return np.concatenate([kinds, np.zeros((docs, 5 + len(tables)))], 1)
     words = np.bincount(of, minlength=docs)
     some = np.maximum(words, 1)
     again = np.append(False, (word[1:] == word[:-1]) & (of[1:] == of[:-1]))
-    by = np.lexsort((word, of))
-    w, o = word[by], of[by]
-    distinct = np.bincount(o, np.append(True, (w[1:] != w[:-1]) | (o[1:] != o[:-1])), docs)
+    text, place = _distinct(of, word)
+    distinct = np.bincount(text, minlength=docs)
     repeated = np.bincount(of, again, docs) / some
     length = np.bincount(of, end - at, docs) / some
-    return np.concatenate([kinds, repeated[:, None], (distinct / some)[:, None], (np.minimum(length, 40) / 10)[:, None], np.log1p(words)[:, None] / 10, (distinct / np.sqrt(some))[:, None] / 10], 1)
+    said = [(np.bincount(text, t[place], docs) / np.maximum(distinct, 1))[:, None] for t in tables]
+    return np.concatenate([kinds, repeated[:, None], (distinct / some)[:, None], (np.minimum(length, 40) / 10)[:, None], np.log1p(words)[:, None] / 10, (distinct / np.sqrt(some))[:, None] / 10, *said], 1)
+
+
+def log_odds(held: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Of each place, how much likelier a good document has one of its words: held (2 x places) counts the bad and the good documents
+    that have one, documents all of them. A place that few documents have is drawn to 0, and a word never seen says nothing."""
+    share = documents / max(documents.sum(), 1)
+    bad, good = held / np.maximum(share, 1e-9)[:, None]
+    return np.log((good + PRIOR) / (bad + PRIOR)).astype(np.float32)
 
 
 @dataclass
 class Classifier:
+    """Logistic weights of the features; table: log odds of hashed words, whose mean is one more feature (None: form alone)."""
+
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
+    table: np.ndarray | None = None
+
+    def tables(self) -> list[np.ndarray]:
+        return [] if self.table is None else [self.table]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
         return 1 / (1 + np.exp(-np.clip(z @ self.weight, -30, 30)))
 
 
-def _featured(df: DataFrame, classifier: Classifier | None, names: list[str]) -> DataFrame:
+def _featured(df: DataFrame, names: list[str], classifier: Classifier | None = None, tables: Iterable[np.ndarray] = ()) -> DataFrame:
     """The named columns, and of the text (last column) the features, or the probability."""
     kinds = dict(df.dtypes)
+    used = list(tables) if classifier is None else classifier.tables()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(data, offsets) for _, _, data, offsets in text_slices(batch.column(len(names)))]
-            x = np.concatenate(x) if x else np.zeros((0, 13))
+            x = [features(data, offsets, used) for _, _, data, offsets in text_slices(batch.column(len(names)))]
+            x = np.concatenate(x) if x else np.zeros((0, 13 + len(used)))
             value = pa.array(list(x), pa.list_(pa.float64())) if classifier is None else pa.array(classifier.probability(x))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], value], [*names, "x" if classifier is None else "p"])
 
     return df.mapInArrow(tidy(run), ", ".join(f"`{n}` {kinds[n]}" for n in names) + (", x array<double>" if classifier is None else ", p double"))
 
 
+def _held(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (y, half, text): how many documents of each half and label have a word of each place, and how many there are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, documents = np.zeros(4 * PLACES, np.int32), np.zeros(4, np.int64)
+        for batch in batches:
+            kind = batch.column(1).to_numpy().astype(np.int64) * 2 + (batch.column(0).to_numpy() > 0.5)
+            documents += np.bincount(kind, minlength=4)
+            for i, j, data, offsets in text_slices(batch.column(2)):
+                _, _, of, word = _words(data, offsets)
+                text, place = _distinct(of, word)
+                at = np.unique(text * PLACES + place)
+                held += np.bincount(kind[i:j][at // PLACES] * PLACES + at % PLACES, minlength=4 * PLACES).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([documents.tobytes()], pa.binary())], ["held", "documents"])
+
+    got = rows.select("y", "half", "text").coalesce(TASKS).mapInArrow(tidy(run), "held binary, documents binary").collect()  # a row of fixed size for each of TASKS tasks
+    held = sum((np.frombuffer(r["held"], np.int32).astype(np.int64) for r in got), np.zeros(4 * PLACES, np.int64))
+    return held.reshape(2, 2, PLACES), sum((np.frombuffer(r["documents"], np.int64) for r in got), np.zeros(4, np.int64)).reshape(2, 2)
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Classifier | None:
-    """A ridge logistic classifier, fitted by Newton's method on at most `sample` labelled rows (None without rows of both labels)."""
+    """A ridge logistic classifier of form and words, fitted by Newton's method on at most `sample` labelled rows (None without rows of
+    both labels). The words' log odds of one half of the rows are the other half's feature, so that their weight is learned on
+    documents that they weren't counted on; the classifier's own are those of all rows. Repeated rows count each."""
     small_batches(documents.sparkSession)
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("id is not null and y is not null")
     own = own.orderBy(F.xxhash64("id"), "y").limit(sample)
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(own), "id")  # at most `sample` rows
-    got = _featured(rows.select("y", "text"), None, ["y"]).collect()
+    rows = Stored(rows.select("y", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half"), "text"), "labelled")
+    held, number = _held(rows.read())
+    got = _featured(rows.read(), ["y", "half"], tables=[log_odds(held[k], number[k]) for k in (1, 0)]).collect()
+    rows.drop()
     y = np.array([r["y"] > 0.5 for r in got], float)
     if not len(y) or y.min() == y.max():
         return None
-    x = np.array([r["x"] for r in got])
+    x = np.array([[*r["x"][:13], r["x"][13 + r["half"]]] for r in got])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1])
@@ -106,7 +162,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         grad = z.T @ (p - y) + w
         w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, grad)
-    return Classifier(mean, scale, w)
+    return Classifier(mean, scale, w, log_odds(held.sum(0), number.sum(0)))
 
 
 def _strength(groups: DataFrame, mean: float) -> float:
@@ -127,7 +183,7 @@ def score(documents: DataFrame, classifier: Classifier | None, id_col: str = "do
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").alias("text"))
-    scored = _featured(rows, classifier, ["id", "host", "path"]) if classifier is not None else rows.select("id", "host", "path", F.lit(0.5).alias("p"))
+    scored = _featured(rows, ["id", "host", "path"], classifier) if classifier is not None else rows.select("id", "host", "path", F.lit(0.5).alias("p"))
     scored = Stored(scored, "scored")
     paths = scored.read().groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))

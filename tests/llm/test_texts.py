@@ -370,6 +370,41 @@ def test_quality_against_plain_posteriors(spark):
         assert abs(r["site"] - site) < 1e-9 and abs(r["score"] - score) < 1e-9 and r["keep"] == (score >= quality.KEEP)
 
 
+def test_quality_by_words(spark):
+    """Texts of one form: only their words tell good from bad. The fit's table is that of plain counts."""
+    rng = np.random.default_rng(4)
+    stems = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    texts, rows = [], []
+    for k in range(400):
+        own = rng.choice(stems[:40] if k % 2 else stems[20:], 30)
+        texts.append(" ".join(own))
+        rows.append((k, k % 2))
+    texts[7], texts[8] = None, ""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'a' as source", "cast(null as string) as lang")
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    model = quality.fit(docs, labels.where("doc_id < 300"))
+    held = quality.score(docs, model).join(labels, "doc_id").where("doc_id >= 300").toPandas()
+    assert len(held) == 100 and (held.keep == (held.quality == 1)).mean() >= 0.95
+    form = quality.Classifier(model.mean[:13], model.scale[:13], np.append(model.weight[:13], model.weight[14]))
+    plain = quality.score(docs, form).join(labels, "doc_id").where("doc_id >= 300").toPandas()
+    assert (plain.keep == (plain.quality == 1)).mean() < 0.8
+
+    def place(word: str) -> int:
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(quality._words(data, np.array([0, len(data)]))[3][0] & np.uint64(quality.PLACES - 1))
+
+    want = np.zeros(quality.PLACES)
+    good = bad = {}
+    for (k, y), t in zip(rows[:300], texts[:300], strict=True):
+        for at in {place(w) for w in (t or "").split()}:
+            good, bad = ({**good, at: good.get(at, 0) + 1}, bad) if y else (good, {**bad, at: bad.get(at, 0) + 1})
+    for at in good.keys() | bad.keys():
+        want[at] = np.log((good.get(at, 0) * 2 + quality.PRIOR) / (bad.get(at, 0) * 2 + quality.PRIOR))
+    assert np.allclose(model.table, want, atol=1e-6)
+    one_label = quality.fit(docs, labels.where("quality = 1"))
+    assert one_label is None and quality.fit(docs.limit(0), labels) is None
+
+
 def test_quality_of_documents_not_fitted_on(spark):
     """Fitted on half of the labels, it agrees with the other half."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
