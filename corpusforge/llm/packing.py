@@ -22,8 +22,7 @@ from corpusforge.llm.common import ASCII_SPACE, LOWER, Stored, gather_runs, held
 #: Dimensions of the curve, bits of each, and places of the hashed vector.
 DIMS, BITS, PLACES = 4, 10, 256
 #: Distinct pieces a worker remembers between slices, bytes of text of a slice, and bytes of ids that a task sorts along the curve.
-#: A worker's arrays are about 25 times a slice.
-REMEMBERED, SLICE, SORTED = 500_000, 3 << 20, 32 << 20
+REMEMBERED, SLICE, SORTED = 1_000_000, 3 << 20, 32 << 20
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
