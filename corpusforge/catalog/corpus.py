@@ -220,8 +220,7 @@ def _folder(spark, name):
 @query("stream_ingest_documents", "SELECT doc_id, length(text) AS size FROM documents WHERE text IS NOT NULL")
 def stream_ingest_documents(spark, d):
     at = _folder(spark, "ingest")
-    schema = table(spark, d, "documents").schema
-    stream = streams.read_files(spark, d, schema.simpleString()[7:-1].replace(":", " "), glob="documents.parquet").where("text is not null")
+    stream = streams.read_table(spark, f"{d}/documents.parquet", table(spark, d, "documents").schema).where("text is not null")
     streams.append(stream.select("doc_id", F.length("text").cast("long").alias("size")), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema("doc_id bigint, size bigint").parquet(f"{at}/out")
 

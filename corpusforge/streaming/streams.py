@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from corpusforge.functions.answers import event_frame
 from corpusforge.streaming.batches import BatchTable
@@ -28,6 +29,12 @@ def read_files(spark: SparkSession, path: str, schema: str, form: str = "parquet
     return reader.load(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The files of a table as a stream, be it one file or a folder of them. A stream takes a file's own path for a folder's, and a
+    name of files alone doesn't match what lies in a folder; a pattern of the one path is right for both."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """All that is there now, then an end: each file is taken once, also over restarts."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
