@@ -60,8 +60,7 @@ def index_compacted(spark, d):
 
 def _stream(spark, d, name):
     """The files of a table as a stream."""
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, d, name).schema)
-    return streams.read_files(spark, d, kind, glob=f"{name}.parquet")
+    return streams.read_table(spark, f"{d}/{name}.parquet", table(spark, d, name).schema)
 
 
 def _written(spark, d, events, name):

@@ -120,3 +120,17 @@ def test_an_index_of_a_stream(spark, tmp_path):
     assert calls == [0, 1, 1, 2]
     assert sorted((r["term"], r["df"]) for r in index.terms.collect()) == [("a", 1), ("d", 1)]
     assert [(r["n"], round(r["avg_len"], 6)) for r in index.corpus.collect()] == [(3, 0.666667)]
+
+
+def test_a_table_is_one_file_or_a_folder_of_files(spark, sf_dir, tmp_path):
+    """Tables that are folders of files came as empty streams: stream_ingest_documents, stream_history, stream_steps_cumulative,
+    stream_answers and stream_index gave nothing."""
+    from corpusforge import catalog
+
+    catalog.load()
+    for name in ("documents", "conversations"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for name in ("stream_ingest_documents", "stream_history", "stream_steps_cumulative", "stream_answers", "stream_index"):
+        one, many = (sorted(map(str, catalog.QUERIES[name](spark, at).collect())) for at in (sf_dir, f"file://{tmp_path}"))
+        assert one == many and many, name
