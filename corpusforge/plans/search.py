@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +27,17 @@ def ranked(rows: DataFrame, k: int, score: str = "score", key: str = "doc", quer
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Weights of terms that go to all tasks with a batch of questions at most, and rows that a task gives at most; what passes them
+#: is searched by joins. Cells of the matrix of terms by documents that a task holds.
+WEIGHTS, LISTED, CELLS = 1 << 18, 1 << 20, 1 << 22
+
+
 def bm25(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, query: str = "query_id", text: str = "text", scope: str | None = None) -> DataFrame:
     """query_id, doc, score, rank. A term that a query repeats counts each time. Without a scope all sources are searched.
 
-    The terms of the queries go first, so only their postings are read and weighted."""
+    The weights of the questions' terms go to the documents: all terms of a document stand in its row, so a task scores its own
+    documents and gives each question's k best of them, and only these lists are shuffled. Batches of more than WEIGHTS weights, or
+    lists of more than LISTED rows, go by joins on terms."""
     wanted = queries.select(F.col(query).alias("query_id"), *([F.col(scope).alias("scope")] if scope else []), F.explode(index.tokenize(F.col(text))).alias("term"))
     keys = ["scope", "term"] if scope else ["term"]
     wanted = wanted.groupBy("query_id", *keys).agg(F.count("*").alias("times"))
@@ -37,12 +45,77 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 1.5, b: fl
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # corpus has one row for each source
     weights = terms.join(index.corpus, "scope").select("scope", "term", idf.alias("idf"), "avg_len")
-    hits = wanted.join(weights, keys).join(index.postings, ["scope", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    asked = wanted.join(weights, keys).select("query_id", "scope", "term", (F.col("times") * F.col("idf")).alias("weight"), "avg_len")
+    sent = asked.limit(WEIGHTS + 1).toArrow() if k <= LISTED else None
+    if sent is not None and len(sent) <= WEIGHTS and len(sent["query_id"].unique()) * k <= LISTED:
+        kinds = dict(asked.dtypes) | dict(index.held.dtypes)
+        schema = f"query_id {kinds['query_id']}, scope {kinds['scope']}, doc {kinds['doc']}, score double"
+        return ranked(index.held.select("scope", "doc", "len", "terms", "counts").mapInArrow(_scorer(sent, k, k1, b), schema), k)
+    hits = asked.join(index.postings, ["scope", "term"])
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = hits.groupBy("query_id", "scope", "doc").agg(F.sum(part).alias("score"))
     return ranked(scored, k)
 
 
+def _scorer(sent: pa.Table, k: int, k1: float, b: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best documents of each question among those of a task. sent: query_id, scope, term, weight, avg_len."""
+    queries = pc.unique(sent["query_id"])
+    scopes = {}
+    for name in pc.unique(sent["scope"]).to_pylist():
+        own = sent.filter(pc.equal(sent["scope"], name))
+        terms = own["term"].combine_chunks().dictionary_encode() if len(own) else None
+        who = pc.index_in(own["query_id"], value_set=queries).to_numpy()
+        row, weight, order = terms.indices.to_numpy(), own["weight"].to_numpy(), np.argsort(who, kind="stable")
+        cut = np.flatnonzero(np.diff(who[order])) + 1
+        asked = [(int(who[at[0]]), row[at], weight[at]) for at in np.split(order, cut)]
+        scopes[name] = (terms.dictionary, float(own["avg_len"][0].as_py()), asked)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        names, kinds = list(scopes), None
+        for batch in batches:
+            kinds = kinds or (batch.schema.field("scope").type, batch.schema.field("doc").type)
+            for number, name in enumerate(names):
+                mine = batch.filter(pc.equal(batch.column(0), name))
+                vocabulary, avg_len, asked = scopes[name]
+                step = max(1, CELLS // len(vocabulary))
+                for at in range(0, mine.num_rows, step):
+                    _add(best, number, mine.slice(at, step), vocabulary, avg_len, asked)
+        if not best:
+            return
+        whose = np.repeat(list(best), [len(x[0]) for x in best.values()])
+        scores, docs, numbers = (np.concatenate([x[i] for x in best.values()]) for i in range(3))
+        held = pa.array(names, kinds[0]).take(pa.array(numbers))
+        yield pa.RecordBatch.from_arrays([queries.take(pa.array(whose)), held, pa.array(docs.tolist() if docs.dtype == object else docs, kinds[1]), pa.array(scores)], ["query_id", "scope", "doc", "score"])
+
+    def _add(best, number, part, vocabulary, avg_len, asked):
+        lists = part.column(3)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        row = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy()
+        col, tf = np.repeat(np.arange(len(sizes)), sizes)[row >= 0], part.column(4).flatten().to_numpy()[row >= 0].astype(np.float64)
+        norm = k1 * (1 - b + b * part.column(2).to_numpy(zero_copy_only=False) / avg_len)
+        matrix = np.zeros((len(vocabulary), len(sizes)))
+        matrix[row[row >= 0], col] = tf / (tf + norm[col])
+        docs = part.column(1)
+        docs = docs.to_numpy(zero_copy_only=False) if pa.types.is_integer(docs.type) else np.array(docs.to_pylist(), object)
+        for q, rows, weight in asked:
+            score = weight @ matrix[rows]
+            held = best.get(q)
+            full = held is not None and len(held[0]) >= k
+            at = np.flatnonzero((score > 0) & (score >= held[0][-1] - 1e-6) if full else score > 0)
+            if not len(at):
+                continue
+            # rounded as the ranks are, so that ties are the same
+            found = (np.floor(score[at] * 1e6 + 0.5) / 1e6, docs[at], np.full(len(at), number, np.int32))
+            if held is not None:
+                found = tuple(np.concatenate(x) for x in zip(held, found, strict=True))
+            key = found[1] if found[1].dtype != object else np.unique(found[1], return_inverse=True)[1]
+            order = np.lexsort((key, -found[0]))[:k]
+            best[q] = tuple(x[order] for x in found)
+
+    return run
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
