@@ -47,3 +47,9 @@ def test_written_forms(spark):
 def test_no_python_in_the_plan(spark):
     plan = spark.range(1).select(written_date(F.lit("2021-03-04")).alias("d"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "UDF" not in plan
+
+
+def test_each_step_stands_once_in_the_plan(spark):
+    """The steps build on each other; written out at each place of use, the plan of one column had grown beyond all bounds."""
+    df = spark.range(1).select(F.concat(F.lit("2021-03-"), F.col("id")).alias("t")).select(written_date(F.col("t")).alias("d"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 8
