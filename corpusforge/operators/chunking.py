@@ -52,10 +52,10 @@ def naive(content: Column, settings: Settings = Settings()) -> Column:
     return run(sentences(content), F.length(content))
 
 
-def chunks(docs: DataFrame, made: Column, uuid: str = "uuid") -> DataFrame:
-    """A row for each chunk: id, document, position (from 0) and what it inherits."""
+def chunks(docs: DataFrame, made: Column, uuid: str = "uuid", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each chunk: id, document, position (from 0) and what it inherits, with the columns named in keep as well."""
     rows = docs.select("*", F.posexplode(made).alias("pos", "chunk"))
-    return rows.select(chunk_id(F.col(uuid), F.col("pos")).alias("chunk_id"), F.col(uuid).alias("doc_uuid"), "pos", "type", "link", F.col("chunk").alias("content"), F.col("create_date").alias("content_date"))
+    return rows.select(chunk_id(F.col(uuid), F.col("pos")).alias("chunk_id"), F.col(uuid).alias("doc_uuid"), "pos", "type", "link", F.col("chunk").alias("content"), F.col("create_date").alias("content_date"), *keep)
 
 
 def sentence_context(parts: Column, c: int = 1) -> Column:
