@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +49,14 @@ def naive(content: Column, settings: Settings = Settings()) -> Column:
             out.append(fold_sentences(list(p), target, int(target * share)))
         return pd.Series(out, dtype=object)
 
-    return run(sentences(content), F.length(content))
+    return run(_bounded(sentences(content)), F.length(content))
+
+
+def _bounded(parts: Column) -> Column:
+    """The batches that go to Python are bounded by their bytes: by rows alone they grow with the texts, and with the table up to
+    that number of rows."""
+    SparkSession.getActiveSession().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return parts
 
 
 def chunks(docs: DataFrame, made: Column, uuid: str = "uuid", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +105,7 @@ def semantic(content: Column, embed=hashed_vectors) -> Column:
             out.append([" ".join(p[a:b]) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(p)], strict=True)])
         return pd.Series(out, dtype=object)
 
-    return run(sentences(content), F.length(content))
+    return run(_bounded(sentences(content)), F.length(content))
 
 
 def statistics(per_document: DataFrame, by: str = "chunker") -> DataFrame:
