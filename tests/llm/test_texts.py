@@ -239,6 +239,40 @@ def test_network_of_documents(spark):
     assert again.scores(items).tolist() == net.scores(items).tolist() and again.threshold == net.threshold
 
 
+def test_every_finding_trains_and_counts(spark, monkeypatch):
+    """No part of the findings is left out of training, calibration and threshold, in however many shares they come."""
+    import random
+
+    monkeypatch.setattr(secrets, "SHARE", 200)
+    draw = random.Random(3)
+    key = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"n{i} token = {key(24)} and com/some/path{i}/of{i * 7}/words" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = secrets.drawn(docs).collect()
+    assert sum(r["label"] == 0 for r in rows) == 300 and sum(r["label"] == 1 for r in rows) == 600  # assign and hex
+    seen = []
+    averaged, binned = secrets._averaged, secrets._binned
+
+    def counting(rows, shares, *rest):
+        seen.append((rows.count(), shares))
+        return averaged(rows, shares, *rest)
+
+    def counted(rows, net):
+        made = binned(rows, net)
+        seen.append(made[:, 3].sum())
+        return made
+
+    monkeypatch.setattr(secrets, "_averaged", counting)
+    monkeypatch.setattr(secrets, "_binned", counted)
+    net = secrets.fit(docs)
+    held = sum(r["held"] for r in rows)
+    assert seen == [(900 - held, -(-(900 - held) // 200))] * secrets.ROUNDS + [held]
+    good = [r for r in rows if r["held"] and r["label"]]
+    assert (net.scores([(r["context"], r["start"], r["stop"]) for r in good]) >= net.threshold).mean() >= 0.94
+    bad = [r for r in rows if not r["label"]]
+    assert (net.scores([(r["context"], r["start"], r["stop"]) for r in bad]) >= net.threshold).mean() <= 0.05
+
+
 def test_candidates():
     """Whole runs with the dots inside them, twelve characters and more; plain words and numbers aren't asked about."""
     token = "eyJhbGciOi9.eyJzdWIiOiI.SflKxwRJ_m"
