@@ -8,6 +8,7 @@ from corpusforge.catalog import query
 from corpusforge.catalog.corpus import _folder
 from corpusforge.catalog.retrieval import _INDEX, _once, _questions
 from corpusforge.plans import search
+from corpusforge.plans.index import with_counts
 from corpusforge.plans.segments import Segments
 from corpusforge.sources.tables import HISTORY_SQL, documents, table
 from corpusforge.streaming import streams
@@ -40,7 +41,7 @@ def _grown(spark, d):
 def index_upsert(spark, d):
     """After three batches with replaced and removed documents: each posting with its term's and its corpus's statistics."""
     held = _grown(spark, d).index()
-    rows = held.postings.join(held.terms, ["scope", "term"]).join(held.corpus, "scope")
+    rows = with_counts(held.postings, held.terms).join(F.broadcast(held.corpus), "scope")
     return rows.select("term", "doc", "tf", F.col("len").cast("long").alias("len"), "df", "n", F.round("avg_len", 9).alias("avg_len"))
 
 
