@@ -2,20 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.plans.index import LexicalIndex
+from corpusforge.plans.index import LexicalIndex, bounded_batches, least_common
 
 
 def queries_for(index: LexicalIndex, n_terms: int = 5) -> DataFrame:
     """doc, query: the terms that tell a document from the others, as a question's stand-in."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = index.postings.join(index.terms, ["scope", "term"]).join(index.corpus, "scope").withColumn("w", F.round(F.col("tf") * idf, 6))
+    keys, least = ["scope", "term"], least_common(index.terms)
+    known = index.terms.join(F.broadcast(index.corpus), "scope").select("scope", "term", "df", idf.alias("idf"))
+    # of common terms a document gives its best only, and rare ones alone are shuffled
+    common = known.where(F.col("df") >= least)
+    bounded_batches(index.held.sparkSession)
+    kinds = dict(index.held.dtypes)
+    best = index.held.select("scope", "doc", "terms", "counts").mapInArrow(_telling(common.orderBy("scope", "term").select("scope", "term", "idf").toArrow(), n_terms), f"doc {kinds['doc']}, term string, tf bigint, idf double")
+    if least > 1:
+        rare = index.postings.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(known.where(F.col("df") < least), keys)
+        best = best.union(rare.select("doc", "term", "tf", "idf"))
+    rows = best.select("doc", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("w"))
     top = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("w"), "term"))).where(F.col("r") <= n_terms)
     return top.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("query"))
 
 
+def _telling(sent: pa.Table, n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc, term, tf, idf: of each document the terms of `sent` (scope, term, idf, in this order) that can be among its n greatest by
+    rounded weight, equal ones by term."""
+    scopes = {}
+    for name in pc.unique(sent["scope"]).to_pylist():
+        own = sent.filter(pc.equal(sent["scope"], name))
+        scopes[name] = (own["term"].combine_chunks(), own["idf"].to_numpy())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, (vocabulary, idf) in scopes.items():
+                mine = batch.filter(pc.equal(batch.column(0), name))
+                lists = mine.column(2)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                row = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy()
+                some = row >= 0
+                row, col, tf = row[some], np.repeat(np.arange(len(sizes)), sizes)[some], mine.column(3).flatten().to_numpy()[some].astype(np.int64)
+                w = tf * idf[row]
+                order = np.lexsort((row, -w, col))
+                row, col, tf, w = row[order], col[order], tf[order], w[order]
+                start = np.searchsorted(col, col)
+                place = np.arange(len(col)) - start
+                last = w[np.minimum(start + n - 1, max(0, len(w) - 1))]
+                # a weight that is less by under a millionth may be equal when rounded
+                kept = (place < n) | ((w < last) & (w > last - 2e-6))
+                docs = mine.column(1).take(pa.array(col[kept]))
+                yield pa.RecordBatch.from_arrays([docs, vocabulary.take(pa.array(row[kept])), pa.array(tf[kept]), pa.array(idf[row[kept]])], ["doc", "term", "tf", "idf"])
+
+    return run
+
+
 def pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return queries.join(chunks, "doc").where((F.trim("query") != "") & (~F.trim("content").isin("", "."))).select("query", F.col("content").alias("chunk"), "doc", "chunk_id")
 
