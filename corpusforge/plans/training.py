@@ -82,19 +82,30 @@ def negatives_contained(retrieved: DataFrame, chunks: DataFrame, words: DataFram
 
 
 def containing(parts: DataFrame, wholes: DataFrame, asked: str, held: str, words: DataFrame | None = None) -> DataFrame:
-    """Pairs of keys (asked, held) of a part and a content that holds it. They meet on the rarest word of the part; only words and
-    keys go through that join, and the texts of the pairs that are left come after it. A part without a word holds nothing.
+    """Pairs of keys (asked, held) of a part and a content that holds it. They meet on the rarest word of the part, of those inside it
+    if it has some: its first and last may be cut from longer ones. A part without a word holds nothing.
+
+    Parts of few words in all go to the wholes, of which nothing is shuffled. Of more parts only words and keys go through that
+    join, and the texts of the pairs that are left come after it.
 
     words (held, word), each pair once, are the words of the wholes where an index has them; else the wholes are read for the
     parts' words."""
-    from corpusforge.plans.index import tokens
+    from corpusforge.plans.index import FEW, WORD, tokens
 
-    wanted = parts.select(asked, F.explode(F.array_distinct(tokens(F.col("part")))).alias("word"))
+    inner = tokens(F.regexp_replace("part", f"^{WORD}|{WORD}$", " "))
+    wanted = parts.select(asked, F.explode(F.array_distinct(F.when(F.size(inner) > 0, inner).otherwise(tokens(F.col("part"))))).alias("word"))
+    own = F.explode(F.array_distinct(tokens(F.col("content")))).alias("word")
+    few = wanted.count() <= FEW
     if words is None:
-        words = wholes.select(held, F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
-    words = words.join(wanted.select("word").distinct(), "word", "left_semi")
+        words = wholes.select(held, own)
+    sought = wanted.select("word").distinct()
+    words = words.join(F.broadcast(sought) if few else sought, "word", "left_semi")
     rare = words.groupBy("word").agg(F.count("*").alias("df"))
     key = wanted.join(rare, "word", "left").groupBy(asked).agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("word"))
+    if few:
+        # sent with their keys: a content is looked at where it is, once for each of its words that is a key
+        sent = F.broadcast(key.join(parts.select(asked, "part"), asked))
+        return wholes.select(held, "content", own).join(sent, "word").where(F.contains("content", F.col("part"))).select(asked, held).distinct()
     pairs = words.join(key, "word").select(asked, held)
     return pairs.join(parts.select(asked, "part"), asked).join(wholes.select(held, "content"), held).where(F.contains("content", F.col("part"))).select(asked, held).distinct()
 
