@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.plans.index import bounded_batches
 from corpusforge.plans.vectors import nearest
 
 #: Partial sums that one call adds, chunks of a cluster that are paired with each other.
 FAN, PAIRED = 64, 256
+#: Batches of rows.
+BATCHES = 8
 
 
 def batch_of(n: int, seed: int):
@@ -62,10 +65,12 @@ def updated(centres: np.ndarray, weight: np.ndarray, n: np.ndarray, sums: np.nda
     return centres + share[:, None] * (sums - n[:, None] * centres), weight
 
 
-def fit(rows: DataFrame, k: int, batches: int = 8, rounds: int = 3, decay: float = 0.9, seed: int = 42, cut: Callable[[DataFrame], DataFrame] | None = None) -> np.ndarray:
+def fit(rows: DataFrame, k: int, batches: int = BATCHES, rounds: int = 3, decay: float = 0.9, seed: int = 42, cut: Callable[[DataFrame], DataFrame] | None = None) -> np.ndarray:
     """Centres of rows (id, v, of one length), k at most: they begin as the k rows of the smallest hashes, and see each batch once a
-    round, in the order of their numbers. cut writes the rows once (by batch, where it can), so that a batch is read alone."""
-    numbered = rows.select("id", "v", batch_of(batches, seed).alias("batch"))
+    round, in the order of their numbers. cut writes the rows once (by batch, where it can), so that a batch is read alone. Rows may
+    hold their batch, as batch_of() gives it: then they are read as they are."""
+    bounded_batches(rows.sparkSession)
+    numbered = rows if "batch" in rows.columns else rows.select("id", "v", batch_of(batches, seed).alias("batch"))
     numbered = cut(numbered) if cut else numbered
     first = numbered.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(k).collect()
     if not first:

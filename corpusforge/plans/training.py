@@ -152,8 +152,10 @@ def cluster(docs: DataFrame, k: int = 10, seed: int = 42, doc: str = "doc_id", c
 
     from corpusforge.plans import clusters
 
-    vectors = tfidf(docs, doc, content).select(F.col("doc").alias("id"), vector_to_array("features").alias("v"))
-    vectors = cut(vectors) if cut else vectors
+    # written as sparse vectors and by batch, so that a batch reads its own rows only
+    made = tfidf(docs, doc, content).select(F.col("doc").alias("id"), "features").withColumn("batch", clusters.batch_of(clusters.BATCHES, seed))
+    made = cut(made) if cut else made
+    vectors = made.select("id", vector_to_array("features").alias("v"), "batch")
     return clusters.assign(vectors, clusters.fit(vectors, k, seed=seed)).withColumnRenamed("id", "doc")
 
 

@@ -61,3 +61,19 @@ def test_triplets(spark, monkeypatch, paired):
     anchors = [r["anchor"] for r in rows]
     assert len(set(anchors)) == len(anchors) and 37 not in anchors and (paired == 4 or set(anchors) == set(range(37)))
     assert clusters.triplets(df.where("cluster = 0")).count() == 0
+
+
+def test_a_batch_reads_its_own_rows(spark, sf_dir, tmp_path, monkeypatch):
+    """Clusters of documents come from vectors written by batch; the clusters are those of vectors in memory."""
+    from corpusforge.plans import training
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    plans, sums = [], clusters._sums
+    monkeypatch.setattr(clusters, "_sums", lambda rows, centres: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), sums(rows, centres))[1])
+
+    def cut(df):
+        df.write.partitionBy("batch").parquet(f"{tmp_path}/v")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/v")
+
+    training.cluster(docs, 4, content="text", cut=cut)
+    assert len(plans) == 3 * clusters.BATCHES and all("PartitionFilters: [isnotnull(batch" in p for p in plans)
