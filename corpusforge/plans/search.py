@@ -18,6 +18,9 @@ from corpusforge.plans.index import LexicalIndex, Tokenizer, tokens
 #: A text's unit vector, and the score of a question with a text: column expressions, or functions on Arrow batches around a model.
 Embedder = Callable[[Column], Column]
 PairScorer = Callable[[Column, Column], Column]
+#: Chunks of documents: a table (chunk_id, doc, content, and words where these are stored), or a function that joins the chunks of
+#: documents to a table of these (doc). A chunk depends on its document only, so with a function no others need be cut.
+Chunks = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def ranked(rows: DataFrame, k: int, score: str = "score", key: str = "doc", query: str = "query_id") -> DataFrame:
@@ -188,23 +191,44 @@ def words_of(chunks: DataFrame) -> Column:
     return F.col("words") if "words" in chunks.columns else F.array_distinct(tokens(F.col("content")))
 
 
-def overlaps(kept: DataFrame, chunks: DataFrame, queries: DataFrame, asked: int, each: int) -> DataFrame:
+def of_documents(found: DataFrame, chunks: Chunks, rows: int) -> DataFrame:
+    """The chunks of the documents found (doc; `rows` rows at most), each once, with _found: the rows that found its document."""
+    others = [c for c in found.columns if c != "doc"]
+    by = few(found.groupBy("doc").agg(F.collect_list(F.struct(*others)).alias("_found")), rows)
+    return chunks.join(by, "doc") if isinstance(chunks, DataFrame) else chunks(by)
+
+
+def of_each(held: DataFrame, *keep: str) -> DataFrame:
+    """What of_documents() gives, a row for each row that found a chunk's document."""
+    return held.select(*keep, F.explode("_found").alias("_f")).select(*keep, "_f.*")
+
+
+def with_content(found: DataFrame, chunks: Chunks, rows: int) -> DataFrame:
+    """Rows found (chunk_id, doc; `rows` at most) with the content of their chunks."""
+    if isinstance(chunks, DataFrame):
+        return few(found, rows).join(chunks.select("chunk_id", "content"), "chunk_id")
+    held = of_each(of_documents(found.withColumnRenamed("chunk_id", "_chunk"), chunks, rows), "chunk_id", "doc", "content")
+    return held.where(F.col("chunk_id") == F.col("_chunk")).drop("_chunk")
+
+
+def overlaps(kept: DataFrame, chunks: Chunks, queries: DataFrame, asked: int, each: int) -> DataFrame:
     """query_id, doc, doc_rank, chunk_id, score: overlap() of each question with the chunks of its documents (kept: query_id, doc,
-    doc_rank; `each` of a question at most, `asked` questions). Of a chunk only its words are read, and only those of documents
+    doc_rank; `each` of a question at most, `asked` questions). A chunk's words are read once, and only those of documents
     that were found; for a small batch of questions they aren't shuffled."""
-    held = few(kept, asked * each).join(chunks.select("chunk_id", "doc", words_of(chunks).alias("_held")), "doc")
+    held = of_documents(kept, chunks, asked * each)
+    held = of_each(held.select("chunk_id", "doc", words_of(held).alias("_held"), "_found"), "chunk_id", "doc", "_held")
     words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_words"))
     shared = F.size(F.array_intersect("_words", "_held")) / F.size("_words")
     rows = held.join(few(words, asked * 64), "query_id")
     return rows.withColumn("score", F.when(F.size("_words") == 0, 0.0).otherwise(shared)).drop("_held", "_words")
 
 
-def nearness(found: DataFrame, chunks: DataFrame, queries: DataFrame, embed: Embedder) -> DataFrame:
-    """Adds score: the inner product of the vectors of each question and chunk that were found. Each text is embedded once, before
-    the joins, and only vectors go through them."""
-    vectors = chunks.select("chunk_id", embed(F.col("content")).alias("_v"))
+def nearness(kept: DataFrame, chunks: Chunks, queries: DataFrame, rows: int, embed: Embedder) -> DataFrame:
+    """The same with the inner product of the vectors of each question and chunk as score (`rows` of kept at most). Each text of the
+    documents found is embedded once, and only vectors go to the questions."""
+    vectors = of_documents(kept, chunks, rows).select("chunk_id", "doc", embed(F.col("content")).alias("_v"), "_found")
     asked = queries.select("query_id", embed(F.col("text")).alias("_q"))
-    return found.join(vectors, "chunk_id").join(asked, "query_id").withColumn("score", dot(F.col("_v"), F.col("_q"))).drop("_v", "_q")
+    return of_each(vectors, "chunk_id", "doc", "_v").join(asked, "query_id").withColumn("score", dot(F.col("_v"), F.col("_q"))).drop("_v", "_q")
 
 
 def rerank(rows: DataFrame, score: Column, k: int, query: str = "query_id", before: str = "rank") -> DataFrame:
@@ -261,11 +285,11 @@ def pair_scores(pairs: DataFrame, limit: int, how: str = "max", tokenize: Tokeni
     return window_scores(windows.select("query_id", "id", "pos", "score"), "score", how)
 
 
-def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), filters: SearchFilter | None = None, earlier_first: bool = False, prefilter: bool = False, embed: Embedder | None = None, score: PairScorer | None = None) -> DataFrame:
+def find(index: LexicalIndex, docs: DataFrame, chunks: Chunks, queries: DataFrame, settings: Settings = Settings(), filters: SearchFilter | None = None, earlier_first: bool = False, prefilter: bool = False, embed: Embedder | None = None, score: PairScorer | None = None) -> DataFrame:
     """query_id, chunk_id, doc, rank, pair_score: the chunks that answer each question.
 
-    docs: doc, type, create_date. chunks: chunk_id, doc, content, and words (their distinct words) where these are stored. queries:
-    query_id, text. The filter comes after the lexical
+    docs: doc, type, create_date. chunks: chunk_id, doc, content, and words (their distinct words) where these are stored, or a
+    function that makes the chunks of the documents found. queries: query_id, text. The filter comes after the lexical
     top-k, so it can leave nothing; prefilter=True puts it before. The order by date only changes how ties stand. With an
     embedder the second stage goes by vectors in place of shared words, and with a scorer its best chunks are ranked by that;
     a pair that the scorer gives null stands after the others, and all stand as they stood if it gives null to all.
@@ -281,11 +305,11 @@ def find(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataF
     if embed is None:
         scored = overlaps(kept, chunks, queries, asked, settings.initial_documents_k)
     else:
-        scored = nearness(few(kept, asked * settings.initial_documents_k).join(chunks.select("chunk_id", "doc"), "doc"), chunks, queries, embed)
+        scored = nearness(kept, chunks, queries, asked * settings.initial_documents_k, embed)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_rank", "chunk_id"))
     near = scored.withColumn("rank", rank).where(F.col("rank") <= settings.initial_chunks_k)
     if score is not None:
-        near = few(near, asked * settings.initial_chunks_k).join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
+        near = with_content(near, chunks, asked * settings.initial_chunks_k).join(queries.select("query_id", "text"), "query_id")
         near = near.withColumn("score", score(F.col("text"), F.col("content"))).drop("content", "text")
     return rerank(near, F.col("score"), settings.final_chunks_k).select("query_id", "chunk_id", "doc", "rank", "pair_score")
 

@@ -15,7 +15,7 @@ from corpusforge.operators.filters import SearchFilter, drop_seen
 from corpusforge.plans.index import LexicalIndex
 from corpusforge.plans.judge import Judge, RuleJudge, status, subquery
 from corpusforge.plans.qa import compose, select_source
-from corpusforge.plans.search import few, find
+from corpusforge.plans.search import Chunks, find, with_content
 
 #: query_id, round (from 1; 0 is after the last), place within a round, kind, payload.
 EVENTS = "query_id bigint, round int, place int, kind string, payload string"
@@ -50,7 +50,7 @@ def event(rows: DataFrame, turn: int, kind: str, payload: Column) -> DataFrame:
     return rows.select("query_id", F.lit(turn).alias("round"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), payload.cast("string").alias("payload"))
 
 
-def answer_traced(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queries: DataFrame, stage: Stage | None = None, attempts: int = 2, sources: DataFrame | None = None, settings: Settings = Settings(), filters: SearchFilter | None = None, cut: Callable[[DataFrame], DataFrame] | None = None, judge: Judge | None = None) -> tuple[DataFrame, DataFrame]:
+def answer_traced(index: LexicalIndex, docs: DataFrame, chunks: Chunks, queries: DataFrame, stage: Stage | None = None, attempts: int = 2, sources: DataFrame | None = None, settings: Settings = Settings(), filters: SearchFilter | None = None, cut: Callable[[DataFrame], DataFrame] | None = None, judge: Judge | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers as answer_adaptive() gives them, and the events that led there.
 
     A stage that still fails for a question after its attempts doesn't end it: all that the round found counts, and the trace has
@@ -73,7 +73,7 @@ def answer_traced(index: LexicalIndex, docs: DataFrame, chunks: DataFrame, queri
         events.append(event(counts.where("`all` = 0 or new > 0"), turn, "found", F.col("new")))
         events.append(event(counts.where("`all` > 0 and new = 0"), turn, "seen", F.col("all")))
         seen = fresh.select("query_id", "chunk_id") if seen is None else seen.union(fresh.select("query_id", "chunk_id"))
-        rows = few(fresh, asked * settings.final_chunks_k).join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
+        rows = with_content(fresh, chunks, asked * settings.final_chunks_k).join(queries.select("query_id", F.col("text").alias("question")), "query_id")
         judged, failures = attempted(cut(rows.select("query_id", "chunk_id", "content", "question", "rank")), stage, attempts, cut)
         judged = cut(judged.where(F.col("relevant") | F.col("error").isNotNull()))
         events.append(event(failures.where(F.col("attempt") < attempts - 1), turn, "retried", F.col("error")))
