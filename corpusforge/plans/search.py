@@ -294,14 +294,15 @@ def find(index: LexicalIndex, docs: DataFrame, chunks: Chunks, queries: DataFram
     embedder the second stage goes by vectors in place of shared words, and with a scorer its best chunks are ranked by that;
     a pair that the scorer gives null stands after the others, and all stand as they stood if it gives null to all.
     """
-    first = bm25(index, queries, settings.initial_documents_k if not prefilter else 1 << 30, settings.k1, settings.b)
-    kept = first.join(docs, "doc").where(filters.column() if filters else F.lit(True))
+    first, asked = bm25(index, queries, settings.initial_documents_k if not prefilter else 1 << 30, settings.k1, settings.b), queries.count()
+    # the documents that were found go to the table of documents, which isn't shuffled
+    kept = (first if prefilter else few(first, asked * settings.initial_documents_k)).join(docs, "doc").where(filters.column() if filters else F.lit(True))
     if prefilter:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
         kept = kept.withColumn("place", place).where(F.col("place") <= settings.initial_documents_k).drop("place")
     order = by_date(kept) if earlier_first else [F.col("rank").asc()]
     kept = kept.withColumn("doc_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    kept, asked = kept.select("query_id", "doc", "doc_rank"), queries.count()
+    kept = kept.select("query_id", "doc", "doc_rank")
     if embed is None:
         scored = overlaps(kept, chunks, queries, asked, settings.initial_documents_k)
     else:
