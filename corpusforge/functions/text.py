@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusforge.functions.clean import once
+
 # Names of months and their numbers.
 MONTHS = {"januari": "01", "februari": "02", "maart": "03", "april": "04", "mei": "05", "juni": "06", "juli": "07", "augustus": "08", "september": "09", "oktober": "10", "november": "11", "december": "12"}
 
@@ -64,15 +66,31 @@ def _dates(c: Column, pattern: str, order: str) -> Column:
     return F.transform(zipped, made)
 
 
+#: Numbers of one to four digits, parted by a sign or a month's name: a date that a text mentions lies within such a run. The
+#: lookahead is the cheapest test at a sign that isn't a digit; the possessive loop needs no stack, however long the run.
+DATE_RUN = rf"(?U)(?=\d)\b\d{{1,4}}\b(?:(?:[-/. ]|\s+(?:{'|'.join(MONTHS)})\s+)\d{{1,4}}\b)++"
+
+
 def mentioned_dates(c: Column, this_year: int) -> Column:
-    """struct<first, last> of the dates that the text mentions, 1950 to next year; months without a day count only if there is no full date."""
+    """struct<first, last> of the dates that the text mentions, 1950 to next year; months without a day count only if there is no full date.
+    The whole text is read once, for its runs of numbers; the months' names and the patterns of dates are looked for in these."""
+    runs = F.array_join(F.regexp_extract_all(c, F.lit(DATE_RUN), F.lit(0)), ";")
+    return once(once(once(runs, _numbered), lambda x: _mentioned(x, this_year)), lambda dates: F.struct(F.array_min(dates).alias("first"), F.array_max(dates).alias("last")))
+
+
+def _numbered(c: Column) -> Column:
+    """Days with a month's name become d-m-y."""
     for name, number in MONTHS.items():
         c = F.regexp_replace(c, rf"(?U)\b(\d{{1,2}})\s+{name}\s+(\d{{4}})\b", f"$1-{number}-$2")
+    return c
+
+
+def _mentioned(c: Column, this_year: int) -> Column:
+    """The full dates; the months, if there are none."""
     sane = lambda dates: F.filter(dates, lambda d: d.isNotNull() & F.year(d).between(1950, this_year + 1))
     full = sane(F.concat(_dates(c, r"(?U)\b(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})\b", "dmy"), _dates(c, r"(?U)\b(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})\b", "ymd")))
     months = sane(F.concat(_dates(c, r"(?U)\b(\d{1,2})[-/. ](\d{4})\b", "my"), _dates(c, r"(?U)\b(\d{4})[-/. ](\d{1,2})\b", "ym")))
-    dates = F.when(F.size(full) > 0, full).otherwise(months)
-    return F.struct(F.array_min(dates).alias("first"), F.array_max(dates).alias("last"))
+    return once(full, lambda x: F.when(F.size(x) > 0, x).otherwise(months))
 
 
 def subject(c: Column) -> Column:
@@ -82,15 +100,20 @@ def subject(c: Column) -> Column:
 
 def _domains(section: Column) -> Column:
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(section, F.lit(r"@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), F.lit(0))))
-    return F.nullif(F.array_join(found, ", "), F.lit(""))
+    return once(found, lambda x: F.when(F.size(x) > 0, F.array_join(x, ", ")))
 
 
 def email_headers(c: Column) -> Column:
     """struct<email_from, email_to, email_cc>: the distinct domains between markers (plain substrings), sorted."""
-    low = F.lower(c)
+    return once(F.lower(c), _headers)
+
+
+def _headers(low: Column) -> Column:
+    # if no cc follows the first to, none follows a later one: the end of the text ends the search, which would begin anew at each
+    to = F.regexp_extract(low, r"(?s)(to|aan).*?(cc|\z)", 0)
     return F.struct(
         _domains(F.regexp_extract(low, r"(?s)(from|van).*?(to|aan|cc|\z)", 0)).alias("email_from"),
-        _domains(F.regexp_extract(low, r"(?s)(to|aan).*?(cc)", 0)).alias("email_to"),
+        once(to, lambda x: _domains(F.when(F.endswith(x, F.lit("cc")), x))).alias("email_to"),
         _domains(F.regexp_extract(low, r"(?s)(cc).*?(to|aan|from|van|\z)", 0)).alias("email_cc"),
     )
 
